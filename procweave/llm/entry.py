@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from procweave.llm import arc_convert, chat_format, license_scan, token_count, url_filter, vp_search
+from procweave.llm import arc_convert, chat_format, license_scan, mixing, quality, token_count, url_filter, vp_search
 
 QUERIES = {
     "op1_arc_to_warc": arc_convert.op1_arc_to_warc,
+    "op2_mixing": mixing.op2_mixing,
     "op3_vp_tree_search": vp_search.op3_vp_tree_search,
     "op4_chat_formatting": chat_format.op4_chat_formatting,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_license_scans": license_scan.op6_license_scans,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_url_filters": url_filter.op10_url_filters,
@@ -15,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_arc_to_warc": arc_convert.ORACLE,
+    "op2_mixing": mixing.ORACLE,
     "op3_vp_tree_search": vp_search.ORACLE,
     "op4_chat_formatting": chat_format.ORACLE,
     "op10_url_filters": url_filter.ORACLE,
