@@ -1,6 +1,7 @@
 """Quality classifier: naive-Bayes features, linear support vectors, dual coordinate descent.
 
-A text's features are the indicators of its byte n-grams, hashed to a fixed number of bins. Each indicator is scaled by
+A text's features are the indicators of its byte n-grams, hashed to a fixed number of bins, and of the n-grams of its
+words' repetition (whether a word is the same as the one before it). Each indicator is scaled by
 the log ratio of the two classes' smoothed counts, the scaled vector is set to length one, and a linear hinge-loss model
 is fitted by dual coordinate descent. A logistic curve, fitted on rows that the model has not seen, turns margins into
 scores from 0 to 1.
@@ -17,6 +18,7 @@ Extra columns pass through, except those named as the added ones, which are repl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -27,14 +29,18 @@ from pyspark.sql import functions as F
 FIT_ROWS = 6000
 
 #: Feature bins, n-gram sizes in bytes, the loss's weight, passes over the sample, and smoothing of counts.
-BINS, SIZES, COST, PASSES, SMOOTH = 1 << 16, (1, 2, 3), 1.0, 12, 1.0
+BYTE_BINS, SIZES, COST, PASSES, SMOOTH = 1 << 16, (1, 2, 3), 1.0, 12, 1.0
+
+#: Bins after those of the bytes: one for each pattern of REPEATS words that repeat the word before or do not.
+REPEATS = 4
+BINS = BYTE_BINS + (1 << REPEATS)
 
 #: Scores from here on mean label 1.
 THRESHOLD = 0.3
 
 
 def features(text: str) -> np.ndarray:
-    """The bins of a text's byte n-grams, in order and once each."""
+    """The bins of a text's byte and repetition n-grams, in order and once each."""
     data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
     hit = np.zeros(BINS, dtype=bool)
     code = np.zeros(len(data), dtype=np.uint32)
@@ -45,6 +51,11 @@ def features(text: str) -> np.ndarray:
         if n in SIZES:
             mixed = (code + np.uint32(n << 29)) * np.uint32(2654435761)
             hit[mixed >> np.uint32(16)] = True
+    words = text.split()
+    same = np.fromiter(map(eq, words[1:], words), dtype=np.int64, count=max(0, len(words) - 1))
+    if len(same) >= REPEATS:
+        pattern = sum(same[n : len(same) - REPEATS + 1 + n] << n for n in range(REPEATS))
+        hit[BYTE_BINS:] = np.bincount(pattern, minlength=1 << REPEATS) > 0
     return np.flatnonzero(hit)
 
 
@@ -177,15 +188,20 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
     return Model(vector(row["ratio"]), vector(row["weight"]), row["bias"], row["slope"], row["shift"])
 
 
-def score_docs(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Add score and predicted to every row."""
+def score_column(model: Model):
+    """A Spark column function: the score of a text column."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([model.score(text) for text in batch], dtype="float64")
 
-    scored = docs.withColumn("score", score(F.coalesce(F.col(text_col), F.lit(""))))
+    return score
+
+
+def score_docs(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Add score and predicted to every row."""
+    scored = docs.withColumn("score", score_column(model)(F.coalesce(F.col(text_col), F.lit(""))))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
@@ -195,3 +211,10 @@ def op5_quality_classifier(spark, sf_dir):
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     held = docs.withColumn("held_out", fold(F.col("doc_id")) == 0)
     return score_docs(held, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that a model fitted on them and their labels does not reject, with their own columns."""
+    model = train(docs, labels)
+    narrow = docs.withColumn("_score", score_column(model)(F.coalesce(F.col("text"), F.lit(""))))
+    return narrow.filter(F.col("_score") >= THRESHOLD).drop("_score")
