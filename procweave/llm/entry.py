@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procweave.llm import arc_convert, chat_format, license_scan, mixing, quality, token_count, url_filter, vp_search
+from procweave.llm import arc_convert, chat_format, decontam, license_scan, minhash, mixing, quality, token_count, url_filter, vp_search
 
 QUERIES = {
     "op1_arc_to_warc": arc_convert.op1_arc_to_warc,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_chat_formatting": chat_format.op4_chat_formatting,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_license_scans": license_scan.op6_license_scans,
+    "op7_minhash_dedup": minhash.op7_minhash_dedup,
+    "op8_decontamination": decontam.op8_decontamination,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_url_filters": url_filter.op10_url_filters,
 }
@@ -20,5 +22,6 @@ ORACLES = {
     "op2_mixing": mixing.ORACLE,
     "op3_vp_tree_search": vp_search.ORACLE,
     "op4_chat_formatting": chat_format.ORACLE,
+    "op7_minhash_dedup": minhash.ORACLE,
     "op10_url_filters": url_filter.ORACLE,
 }

@@ -39,10 +39,6 @@ def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def same(left: DataFrame, right: DataFrame, columns) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
-
-
 def share_out(children: DataFrame, parents: tuple[str, ...], node: str) -> DataFrame:
     """Add each child's budget, given its parent's (``parent_budget``), its capacity and its weight.
 
@@ -100,10 +96,11 @@ def leaf_budgets(counted: DataFrame, weights: Mapping[tuple, int], share: tuple[
     return budget.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(F.lit(0).cast("long")))
 
 
-def with_plan(docs: DataFrame, plan: DataFrame, leaves: int, levels=LEVELS) -> DataFrame:
-    """Join each document to its leaf's row of the plan (columns ``plan_*`` hold its levels)."""
+def with_plan(docs: DataFrame, plan: DataFrame, leaves: int, levels=LEVELS, own: dict[str, Column] | None = None) -> DataFrame:
+    """Join each document to its leaf's row of the plan; own has the levels that are no columns of docs."""
     named = plan.select(*[F.col(c).alias(f"plan_{c}") for c in levels], *[c for c in plan.columns if c not in levels])
-    match = reduce(lambda a, b: a & b, [docs[c].eqNullSafe(named[f"plan_{c}"]) for c in levels])
+    level = {c: docs[c] for c in levels if c in docs.columns} | (own or {})
+    match = reduce(lambda a, b: a & b, [level[c].eqNullSafe(named[f"plan_{c}"]) for c in levels])
     return docs.join(F.broadcast(named) if leaves <= BROADCAST_LEAVES else named, match).drop(*[f"plan_{c}" for c in levels])
 
 
@@ -162,12 +159,13 @@ def mix(
     budgets = materialize(leaf_budgets(counted, weights, share, max_epochs), "mix-budgets")
     leaves = budgets.count()
     plan = materialize(leaf_cuts(counted, budgets, leaves, seed, id_col), "mix-plan")
-    source = docs.withColumn("domain", domain) if keep_text else counted
-    chosen = with_plan(source, plan, leaves).withColumn("key", order_key(seed, F.col("epochs") + 1, F.col(id_col)))
-    copies = F.col("epochs") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0)
-    out = chosen.withColumn("copies", copies.cast("int")).filter("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    named = plan.withColumnsRenamed({"epochs": "_epochs", "cut": "_cut"})
+    chosen = with_plan(docs, named, leaves, own={"domain": domain}) if keep_text else with_plan(counted, named, leaves)
+    partly = order_key(seed, F.col("_epochs") + 1, F.col(id_col)) <= F.col("_cut")
+    copies = (F.col("_epochs") + F.when(partly, 1).otherwise(0)).cast("int")
     names = [c for c in docs.columns if c != "epoch"] if keep_text else counted.columns
-    return out.select(*names, "epoch")
+    taken = chosen.withColumn("_copies", copies).filter("_copies > 0")
+    return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("epoch"))
 
 
 #: Production parameters: parts by level, 4 tokens in 5 of what there is, at most 3 epochs.
