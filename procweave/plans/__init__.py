@@ -1 +1,3 @@
+"""The registered queries, one module for each family; importing this package registers them all."""
 
+from procweave.plans import relational, scalar  # noqa: F401
