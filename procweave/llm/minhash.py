@@ -5,13 +5,13 @@
    packed in bit planes.
 2. Texts with equal sets form one class, held by its smallest doc_id; from here on only classes matter, so thousands of
    copies cost one row each.
-3. Classes that share a band key are candidates. Each class is first paired with the smallest class of each of its bands,
-   which is linear in the rows. Pairs are estimated from the signatures by bit counts, corrected for chance collisions,
-   and those safely under the threshold are dropped.
-4. Pairs are confirmed on the full sets, rebuilt from the texts of the classes concerned. Confirmed links make components;
-   then only pairs between different components are left to look at: first the other pairs of step 3, then, in bands
-   that still hold several components, all pairs across them. So no candidate link is lost, and a large group of near
-   copies, which is one component by then, is never paired within.
+3. Classes that share a band key are candidates. A band's leader is its smallest class. Each class is first paired with one
+   leader, that of most of its bands, so the pairs are no more than the classes. Pairs are estimated from the signatures
+   by bit counts, corrected for chance collisions, and those safely under the threshold are dropped; the others are
+   confirmed on the full sets, rebuilt from the texts of the classes concerned. Confirmed links make components.
+4. Then only bands that still hold several components matter: each of their classes is paired with another component's
+   leader in the same way, and at last all pairs across the components that are left in a band are looked at. So no
+   candidate link is lost, and a large group of near copies, which is one component by then, is never paired within.
 
 A pair at the threshold shares no band with a probability under 3e-6 (42 bands of 6 minima, similarity 0.8). The
 estimate is dropped only when it lies six standard deviations under the threshold.
@@ -44,6 +44,12 @@ HASHES, BAND_ROWS, BITS = 256, 6, 2
 #: Standard deviations by which an estimate may miss before its pair is dropped.
 SAFE_SIGMAS = 6.0
 
+#: Rounds in which every class is paired with one leader, before all pairs across components are looked at.
+STAR_ROUNDS = 2
+
+#: Classes of a block, when blocks are compared in whole.
+BLOCK = 256
+
 #: The most ids that are broadcast to pick out texts (8 bytes each); more are joined.
 BROADCAST_IDS = 500_000
 
@@ -222,12 +228,10 @@ def least_estimate() -> float:
 
 
 def plausible(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose set sizes and signatures allow the threshold, with the estimate."""
+    """Of pairs (a, b), those whose set sizes and signatures allow the threshold."""
     side = lambda x: signed.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(sizes_allow() & (estimate("sig_a", "sig_b") >= least_estimate())).select(
-        "a", "b", estimate("sig_a", "sig_b").alias("estimate")
-    )
+    return both.filter(sizes_allow() & (estimate("sig_a", "sig_b") >= least_estimate())).select("a", "b")
 
 
 def sizes_allow() -> Column:
@@ -319,37 +323,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = classes.select("rep", F.explode("bands").alias("band"))
     leaders = held.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).filter("size > 1")
     shared = materialize(held.join(leaders, "band"), "bands")
-    stars = shared.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = materialize(plausible(stars, classes), "pairs")
-    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), id_col, text_col)
-    sets = materialize(sets, "sets")
-
-    # First one pair for each class, the likeliest; then those that still lie between components.
-    best = pairs.groupBy("b").agg(F.max(F.struct("estimate", (-F.col("a")).alias("minus"))).alias("best"))
-    best = best.select((-F.col("best.minus")).alias("a"), "b")
-    labels = contract(None, confirm(best, sets))
-    across = apart(pairs.select("a", "b"), labels).join(best, ["a", "b"], "left_anti")
-    labels = contract(labels, confirm(across, sets))
-
-    # In bands that still hold several components: all pairs across them that step 3 has not looked at.
-    labelled = relabel(shared.withColumn("label", F.col("rep")), labels, "label").filter("size > 2")
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    facts = classes.select("rep", "n", "sig")
-    rest = labelled.join(mixed, "band", "left_semi").filter("rep <> lead").join(facts, "rep")
-    left = rest.select("band", *[F.col(c).alias(f"{c}_a") for c in ("rep", "label", "n", "sig")])
-    right = rest.select(F.col("band").alias("band_b"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "label", "n", "sig")])
-    met = (
-        (F.col("band") == F.col("band_b"))
-        & (F.col("rep_a") < F.col("rep_b"))
-        & (F.col("label_a") != F.col("label_b"))
-        & sizes_allow()
-        & (estimate("sig_a", "sig_b") >= least_estimate())
-    )
-    others = left.join(right, met).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    others = materialize(others, "others")
-    if not others.isEmpty():
-        more = full_sets(docs, others.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), id_col, text_col)
-        labels = contract(labels, confirm(others, materialize(more, "sets")))
+    labels = tried = None
+    mixed = shared
+    for _ in range(STAR_ROUNDS):
+        # One pair for each class: the leader of most of its bands that lies in another component.
+        stars = mixed.filter("rep <> lead").groupBy(F.col("lead").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("bands"))
+        if tried is not None:
+            stars = apart(stars, labels).join(tried, ["a", "b"], "left_anti")
+        best = stars.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a"))
+        pairs = materialize(best.select("a", "b"), "pairs")
+        labels = contract(labels, confirmed(pairs, classes, docs, id_col, text_col))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        mixed = materialize(still_mixed(shared, labels), "mixed")
+
+    links = links_across(mixed, classes, docs, id_col, text_col)
+    if links is not None:
+        labels = contract(labels, links)
 
     reps = classes.select("f1", "f2", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
     # Rows of one doc_id with different texts hold classes of the same id and so share a label.
@@ -363,8 +352,90 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends have different labels."""
-    both = relabel(relabel(pairs.withColumns({"la": F.col("a"), "lb": F.col("b")}), labels, "la"), labels, "lb")
-    return both.filter("la <> lb").select("a", "b")
+    both = relabel(relabel(pairs.withColumns({"_la": F.col("a"), "_lb": F.col("b")}), labels, "_la"), labels, "_lb")
+    return both.filter("_la <> _lb").drop("_la", "_lb")
+
+
+def still_mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of the bands that hold more than one label, with their labels."""
+    labelled = relabel(shared.withColumn("label", F.col("rep")), labels, "label")
+    bands = labelled.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("band")
+    return labelled.join(bands, "band", "left_semi")
+
+
+def links_across(mixed: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """Links (a, b) between the components that are left in mixed bands, at least one for each two that have any.
+
+    Classes that have a plausible partner in another component of some band are gathered into clusters by their bands.
+    A cluster is cut into blocks of bounded size, and each two blocks are compared in one group: the group tests all of
+    their pairs, yet only confirmed links leave it.
+    """
+    facts = mixed.select("band", "rep", "label").join(classes.select("rep", "n", "sig"), "rep")
+    left = facts.select("band", *[F.col(c).alias(f"{c}_a") for c in ("rep", "label", "n", "sig")])
+    right = facts.select(F.col("band").alias("band_b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "n", "sig")])
+    met = (F.col("band") == F.col("band_b")) & (F.col("label_a") != F.col("label_b")) & sizes_allow() & (estimate("sig_a", "sig_b") >= least_estimate())
+    open_rows = materialize(left.join(right, met, "left_semi").select("band", F.col("rep_a").alias("rep"), F.col("label_a").alias("label")), "open")
+    if open_rows.isEmpty():
+        return None
+    leads = open_rows.groupBy("band").agg(F.min("rep").alias("a"))
+    clusters = contract(None, open_rows.join(leads, "band").select("a", F.col("rep").alias("b")).distinct())
+    members = relabel(open_rows.select("rep", "label").distinct().withColumn("cluster", F.col("rep")), clusters, "cluster")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sets = materialize(full_sets(docs, members.select("rep"), id_col, text_col), "sets")
+    placed = placed.join(classes.select("rep", "sig"), "rep").join(sets, "rep")
+    met_by = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = met_by.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "label", "sig", "set")
+    return pairs.groupBy("cluster", "lo", "hi").applyInPandas(compare_blocks, "a long, b long")
+
+
+def compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """Confirmed links between two blocks (or within one): one for each two components that have any."""
+    rows = rows.sort_values("rep", kind="stable")
+    left, right = rows[rows["own"] == rows["lo"]], rows[rows["own"] == rows["hi"]]
+    none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    if left.empty or right.empty:
+        return none
+    sets = [np.frombuffer(x, dtype=U64) for x in right["set"]]
+    sizes = np.array([x.size for x in sets])
+    hashes, at = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    holders = np.repeat(np.arange(len(sets)), sizes)[order]
+    starts = np.r_[0, np.cumsum(np.bincount(at, minlength=hashes.size))]
+    sig = np.stack(right["sig"].to_numpy()).view(U64)
+    rep, label = right["rep"].to_numpy(), right["label"].to_numpy()
+    words = HASHES // 64
+    a, b, seen = [], [], set()
+    for own, own_label, own_sig, data in zip(left["rep"], left["label"], left["sig"], left["set"], strict=True):
+        differ = np.zeros((len(sets), words), dtype=U64)
+        for p in range(BITS):
+            differ |= sig[:, p * words : (p + 1) * words] ^ np.asarray(own_sig).view(U64)[p * words : (p + 1) * words]
+        agree = 1 - np.bitwise_count(differ).sum(axis=1) / HASHES
+        chance = 2.0**-BITS
+        likely = ((agree - chance) / (1 - chance) >= least_estimate()) & (label != own_label)
+        if not likely.any():
+            continue
+        own_set = np.frombuffer(data, dtype=U64)
+        place = np.minimum(np.searchsorted(hashes, own_set), hashes.size - 1)
+        place = place[hashes[place] == own_set]
+        counts = starts[place + 1] - starts[place]
+        posted = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts[place], counts)
+        shared = np.bincount(holders[posted], minlength=len(sets))
+        linked = likely & (shared * SHARE[1] >= (own_set.size + sizes - shared) * SHARE[0])
+        for n in np.flatnonzero(linked):
+            key = (min(own_label, label[n]), max(own_label, label[n]))
+            if key not in seen:
+                seen.add(key)
+                a.append(own)
+                b.append(rep[n])
+    return pd.DataFrame({"a": a, "b": b}, dtype="int64") if a else none
+
+
+def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of pairs (a, b), those whose full sets are similar enough; the signatures sort out the others first."""
+    likely = materialize(plausible(pairs, signed), "likely")
+    sets = full_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), id_col, text_col)
+    return confirm(likely, materialize(sets, "sets"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
