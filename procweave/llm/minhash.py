@@ -18,8 +18,9 @@ estimate is dropped only when it lies six standard deviations under the threshol
 
 Defined results: texts without words (null, empty) have an empty set, link with nothing and are kept. A text with fewer
 words than a shingle is one shingle. Rows with a null doc_id link with nothing, get a null component and are kept. Rows
-that share a doc_id count as one document: all of its texts are in one component. Extra columns are not carried by
-``near_duplicates``; ``drop_near_duplicates`` keeps the columns of its input. Empty tables give empty results.
+that share a doc_id get the component of their own text; classes whose smallest doc_id is the same are one component.
+``near_duplicates`` does not carry extra columns; ``drop_near_duplicates`` keeps the columns of its input and drops every
+row of a doc_id that has a row which is not kept. Empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -92,9 +92,9 @@ def descend(rows: list[np.ndarray], ratio: np.ndarray, labels: np.ndarray, seed:
     for bins in rows:
         x = ratio[bins]
         length = np.sqrt((x**2).sum())
-        values.append(x / length if length > 0 else x)
+        values.append((x / length if length > 0 else x).astype(np.float32))
     # The bias is a feature of value 1.
-    curve = np.array([(x**2).sum() + 1.0 for x in values])
+    curve = np.array([(x.astype(np.float64) ** 2).sum() + 1.0 for x in values])
     alpha, weight, bias = np.zeros(len(rows)), np.zeros(BINS), 0.0
     random = np.random.default_rng(seed)
     for _ in range(PASSES):
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = pd.concat([pd.DataFrame({"label_id": [], "label": [], "bits": []}), *batches]).sort_values("label_id", kind="stable")
-        rows = [np.flatnonzero(np.unpackbits(np.frombuffer(b, dtype=np.uint8))) for b in whole["bits"]]
+        rows = [np.flatnonzero(np.unpackbits(np.frombuffer(b, dtype=np.uint8))).astype(np.int32) for b in whole["bits"]]
         model = fit(rows, whole["label"].to_numpy(dtype=np.int64))
         yield pd.DataFrame({"ratio": [model.ratio.tobytes()], "weight": [model.weight.tobytes()], "bias": [model.bias], "slope": [model.slope], "shift": [model.shift]})
 
