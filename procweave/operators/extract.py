@@ -15,7 +15,7 @@ from procweave.functions.dialect import snake_case
 HEADER = r"(?i)CREATE\s+(?:OR\s+ALTER\s+)?PROC(?:EDURE)?\s+(?:\[?(\w+)\]?\.)?\[?(\w+)\]?"
 PARAMETER = r"(?i)@(\w+)\s+(\w+(?:\([^)]*\))?)(?:\s*=\s*([^,\s]+))?(?:\s+(OUTPUT|OUT)\b)?"
 CALL = r"(?i)\bEXEC(?:UTE)?[ \t]+(?:\[?(\w+)\]?\.)?(?:\[?(\w+)\]?\.)?\[?(\w+)\]?(?![\w\]]|[ \t]*\.|\()"
-TABLE_WORD = r"(?i)\b(?:FROM|JOIN|INTO|UPDATE|MERGE(?:[ \t]+INTO)?)[ \t]+((?:\[?#{0,2}\w+\]?\.){0,3}\[?#{0,2}\w+\]?)"
+TABLE_WORD = r"(?i)\b(?:FROM|JOIN|INTO|UPDATE|MERGE(?:[ \t]+INTO)?)[ \t]+(?!SET\b|INTO\b)((?:\[?#{0,2}\w+\]?\.){0,3}\[?#{0,2}\w+\]?)"
 
 #: Procedures of the server itself.
 SYSTEM_CALL = r"(?i)^(xp_\w+|sp_executesql|sp_rename|sp_help\w*|sp_who\d?|sp_addlinkedserver|sp_getapplock|sp_releaseapplock)$"
@@ -92,8 +92,8 @@ def column_defs(temps: DataFrame, keys: list[str], columns: str = "columns", mod
     # Commas inside parentheses are hidden while the text is split.
     hidden = F.regexp_replace(columns, r"\(\s*(\w+)\s*,\s*(\w+)\s*\)", "($1\u0001$2)") if mode == "documented" else F.col(columns)
     rows = temps.select(*keys, F.posexplode(F.split(hidden, ",")).alias("place", "item"))
-    item = F.trim(F.replace("item", F.lit("\u0001"), F.lit(",")))
-    words = F.split(F.regexp_replace(item, r"[\[\]]", ""), r"\s+")
+    item = F.trim(F.regexp_replace(F.replace("item", F.lit("\u0001"), F.lit(",")), r"\s+", " "))
+    words = F.split(F.regexp_replace(item, r"[\[\]]", ""), " ")
     return rows.filter(F.size(words) >= 2).select(
         *keys,
         F.col("place").cast("long"),
@@ -146,7 +146,7 @@ def body_lines(procedures: DataFrame, key: str, text: str = "raw_sql") -> DataFr
         out = F.lit("OTHER")
         for name, pattern in reversed(BLOCK_KINDS):
             out = F.when(F.rlike(up, F.lit(pattern)), name).otherwise(out)
-        return F.when(up.isin("", "BEGIN", "END", "GO", "END;"), F.lit(None)).otherwise(out)
+        return F.when(F.rlike(up, F.lit(r"^(BEGIN|GO|BEGIN CATCH|END( TRY| CATCH)?;?)?$")), F.lit(None)).otherwise(out)
 
     marked = F.transform(whole, lambda s, i: F.struct(i.cast("long").alias("line"), s.alias("content"), kind(s).alias("kind")))
     return procedures.select(key, F.slice(marked, start.cast("int") + 1, F.size(whole)).alias("body"))
@@ -164,11 +164,16 @@ def logical_blocks(procedures: DataFrame, key: str, text: str = "raw_sql") -> Da
     so_far = whole.rowsBetween(Window.unboundedPreceding, 0)
     before = whole.rowsBetween(Window.unboundedPreceding, -1)
     opens = F.rlike(up, F.lit(r"^BEGIN\b")) & (F.min("line").over(Window.partitionBy(key)) < F.col("line"))
-    opens = F.coalesce(opens, F.lit(False)) | F.rlike(up, F.lit(r"^(BEGIN (TRY|CATCH|TRAN))"))
-    step = F.when(opens, 1).when(F.rlike(up, F.lit(r"^END\b")), -1).otherwise(0)
+    opens = F.coalesce(opens, F.lit(False)) | F.rlike(up, F.lit(r"^BEGIN TRY"))
+    # TRY and CATCH are one construct, and a transaction has no END.
+    inside = F.rlike(up, F.lit(r"^(BEGIN CATCH|END TRY|BEGIN TRAN)"))
+    step = F.when(inside, 0).when(opens, 1).when(F.rlike(up, F.lit(r"^END\b")), -1).otherwise(0)
     rows = rows.withColumn("step", step).withColumn("depth", F.coalesce(F.sum("step").over(before), F.lit(0)))
+    # A statement is open from its first word to a line that ends it; lines of no kind are blocks of their own.
     ends = F.rlike(F.rtrim("content"), F.lit(";$")) | F.col("kind").isNull()
-    rows = rows.withColumn("ended", F.coalesce(F.lag(ends).over(whole), F.lit(True)))
+    last = lambda condition: F.max(F.when(condition, F.col("line"))).over(before)
+    begun, closed = last(F.col("kind") != "OTHER"), last(ends)
+    rows = rows.withColumn("ended", F.coalesce(begun <= closed, begun.isNull()))
     same_run = (F.col("kind") == "DECLARATION") & (F.lag("kind").over(whole) == "DECLARATION")
     new = F.col("kind").isNotNull() & (F.col("depth") <= 0) & F.col("ended") & ~F.coalesce(same_run, F.lit(False))
     rows = rows.withColumn("block", F.sum(new.cast("int")).over(so_far)).filter("block > 0 and (kind is not null or depth > 0)")
