@@ -17,13 +17,13 @@ from procweave.sources import sinks
 from procweave.sources.corpus import last_definitions, list_files, oracle_corpus, tsql_corpus
 from procweave.streaming import logs
 
-@query("src_tsql_dir", "SELECT 'usp_P' || p_partkey AS procedure_name, CASE WHEN p_partkey % 3 = 0 THEN 'sales' ELSE 'dbo' END AS schema_name FROM part WHERE p_size = 7")
+@query("src_tsql_dir", "SELECT 'usp_P' || s_suppkey AS procedure_name, CASE WHEN s_suppkey % 3 = 0 THEN 'sales' ELSE 'dbo' END AS schema_name FROM supplier")
 def tsql_dir(spark, sf_dir):
     """Procedures written as one file each, read back as a folder of sources; the last definition of a name wins."""
     folder = sinks.shared_folder(spark, "sql")
-    small = table(spark, sf_dir, "part").filter("p_size = 7")
+    made = tsql_corpus(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p_partkey"), F.col("s_nationkey").alias("p_size")))
     # The text sink names files .txt, so the reader takes all of the folder.
-    sinks.write_files(tsql_corpus(small), folder, "sql", "raw_sql")
+    sinks.write_files(made, folder, "sql", "raw_sql")
     read = spark.read.text(f"{folder}/kind=sql", wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.lit(0).alias("file_rank"), F.col("value").alias("raw_sql"))
     name, schema = x.procedure_name(F.col("raw_sql"))
     return last_definitions(read.withColumns({"procedure_name": name, "schema_name": schema})).select("procedure_name", "schema_name")
@@ -37,12 +37,11 @@ def plsql_dir(spark, sf_dir):
     return px.units(read, "k").select("unit").distinct()
 
 
-@query("src_dialect_route", "SELECT 'oracle' AS dialect, count(*)::BIGINT AS files FROM supplier WHERE s_suppkey % 5 = 1")
+@query("src_dialect_route", "SELECT 'oracle' AS dialect, count(*)::BIGINT AS files FROM supplier")
 def dialect_route(spark, sf_dir):
     """The reader of a dialect's own file kinds; files of other kinds are not read."""
     folder = sinks.shared_folder(spark, "route")
-    chosen = table(spark, sf_dir, "supplier").filter("s_suppkey % 5 = 1")
-    sinks.write_files(oracle_corpus(chosen), folder, "prc", "raw_sql")
+    sinks.write_files(oracle_corpus(table(spark, sf_dir, "supplier")), folder, "prc", "raw_sql")
     listed = list_files(spark, f"{folder}/kind=prc").filter(F.col("name").startswith("part-"))
     return listed.agg(F.count("*").alias("files")).select(F.lit("oracle").alias("dialect"), "files")
 

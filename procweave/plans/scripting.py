@@ -48,17 +48,17 @@ def while_if(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", kind.alias("size_class"), steps.alias("steps"))
 
 
-@query("cf_script", "SELECT sum(cast(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS spent, 3::INT AS rounds FROM orders WHERE o_custkey < 30")
+@query("cf_script", "SELECT sum(cast(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS spent, 4::INT AS rounds FROM orders")
 def script(spark, sf_dir):
-    """DECLARE, SET, WHILE and IF as a SQL script; each round reads a third of the keys."""
+    """DECLARE, SET, WHILE and IF as a SQL script; each round adds up the orders of one quarter of the year."""
     table(spark, sf_dir, "orders").createOrReplaceTempView("pw_orders")
     return spark.sql("""
         BEGIN
           DECLARE spent DECIMAL(28,2) DEFAULT 0;
           DECLARE part DECIMAL(28,2) DEFAULT 0;
           DECLARE rounds INT DEFAULT 0;
-          WHILE rounds < 3 DO
-            SET part = (SELECT coalesce(sum(cast(o_totalprice AS DECIMAL(18,2))), 0) FROM pw_orders WHERE o_custkey >= rounds * 10 AND o_custkey < (rounds + 1) * 10);
+          WHILE rounds < 4 DO
+            SET part = (SELECT coalesce(sum(cast(o_totalprice AS DECIMAL(18,2))), 0) FROM pw_orders WHERE quarter(o_orderdate) = rounds + 1);
             SET spent = spent + part;
             SET rounds = rounds + 1;
           END WHILE;

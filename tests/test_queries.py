@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
 import duckdb
+import pandas as pd
 import pytest
 
 import procweave.plans  # noqa: F401  registers the queries
@@ -23,7 +22,7 @@ def duck(small_dir):
 
 
 def shown(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if pd.api.types.is_scalar(value) and pd.isna(value):
         return None
     return f"{value:.12g}" if isinstance(value, float) else str(value)
 
