@@ -66,21 +66,21 @@ def words_of(text: Column) -> Column:
 
 def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
     """Structs (at, label) for every place where a phrase's words stand consecutively."""
-    places = F.lit(None).cast("string")
-    cases = None
-
-    def label_at(w, i):
-        nonlocal cases
-        cases = None
-        for phrase, label in phrases.items():
-            first, *rest = phrase.split()
-            test = w == first
-            for n, word in enumerate(rest, 1):
+    parts = [(phrase.split(), label) for phrase, label in phrases.items()]
+    every = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    # Few places hold a phrase's first word; only those are looked at further.
+    begun = F.filter(every, lambda i: F.get(words, i).isin(*sorted({p[0] for p, _ in parts})))
+
+    def label_at(i):
+        found = F.lit(None).cast("string")
+        for phrase, label in parts:
+            test = F.get(words, i) == phrase[0]
+            for n, word in enumerate(phrase[1:], 1):
                 test = test & (F.get(words, i + n) == word)
-            cases = F.when(test, F.lit(label)) if cases is None else cases.when(test, F.lit(label))
-        return F.struct(i.cast("long").alias("at"), (cases if cases is not None else places).alias("label"))
+            found = F.when(test, F.lit(label)).otherwise(found)
+        return F.struct(i.cast("long").alias("at"), found.alias("label"))
 
-    return F.filter(F.transform(words, label_at), lambda p: p["label"].isNotNull())
+    return F.filter(F.transform(begun, label_at), lambda p: p["label"].isNotNull())
 
 
 def grams(words: Column, k: int) -> Column:
@@ -124,19 +124,19 @@ def scan_licenses(
     texts = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")
     ).withColumn("places", phrase_places(F.col("words"), phrases))
-    rolled = texts.select(
-        "row",
-        F.struct(
-            "id",
-            F.size("words").cast("long").alias("n_words"),
-            F.size("places").cast("long").alias("n_base"),
-            F.array_min("places.at").alias("first_word"),
-            F.array_max("places.at").alias("last_word"),
-            F.array_sort(F.array_distinct("places.label")).alias("base"),
-        ).alias("own"),
-        # The marker stands at position -1, before the text's own k-grams.
-        F.posexplode(F.concat(F.array(F.lit(marker)), grams(F.col("words"), k))).alias("pos", "gram"),
-    ).select("row", F.when(F.col("pos") == 0, F.col("own")).alias("own"), (F.col("pos") - 1).cast("long").alias("d"), "gram")
+    # A text's own figures are made before its k-grams are dealt out, so that no row carries the words along.
+    facts = F.struct(
+        "id",
+        F.size("words").cast("long").alias("n_words"),
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.at").alias("first_word"),
+        F.array_max("places.at").alias("last_word"),
+        F.array_sort(F.array_distinct("places.label")).alias("base"),
+    )
+    # The marker stands at position -1, before the text's own k-grams.
+    dealt = texts.select("row", facts.alias("own"), F.concat(F.array(F.lit(marker)), grams(F.col("words"), k)).alias("grams"))
+    rolled = dealt.select("row", "own", F.posexplode("grams").alias("pos", "gram"))
+    rolled = rolled.select("row", F.when(F.col("pos") == 0, F.col("own")).alias("own"), (F.col("pos") - 1).cast("long").alias("d"), "gram")
     votes = rolled.join(
         F.broadcast(index), (F.xxhash64("gram") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram"))
     )
