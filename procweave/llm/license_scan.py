@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procweave.llm.shared import ascii_lower
+from procweave.llm.shared import ascii_lower, read_spread
 
 #: Fixed value: what separates words.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -197,5 +197,5 @@ def scan_licenses(
 
 def op6_license_scans(spark, sf_dir):
     """Phrases, license spans and labels of every whole text of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
     return scan_licenses(docs).drop("spans")

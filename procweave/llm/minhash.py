@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from procweave.llm.shared import materialize
+from procweave.llm.shared import materialize, read_spread
 
 #: Words of a shingle, and the threshold as a share in whole numbers (4 of 5).
 SHINGLE, SHARE = 4, (80, 100)
@@ -449,7 +449,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op7_minhash_dedup(spark, sf_dir):
     """Near duplicates among all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(read_spread(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 ORACLE = r"""

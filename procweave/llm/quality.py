@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from procweave.llm.shared import read_spread
+
 #: The most labelled rows that the model is fitted on.
 FIT_ROWS = 6000
 
@@ -207,7 +209,7 @@ def score_docs(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
 def op5_quality_classifier(spark, sf_dir):
     """Score every document; the model never sees the held-out fold."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     held = docs.withColumn("held_out", fold(F.col("doc_id")) == 0)
     return score_docs(held, model).select("doc_id", "held_out", "score", "predicted")

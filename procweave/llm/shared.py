@@ -15,6 +15,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Read columns of a table for work that is heavy by row.
+
+    A scan that has fewer parts than there are cores (a small file of one row group) is dealt out to all of them; any
+    larger one is read as it is, without a shuffle.
+    """
+    rows = read_table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of ASCII alone take the faster general function, which does the same to them."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procweave.llm.shared import read_spread
+
 #: Pre-tokens whose counts a worker keeps, and pre-tokens merged at once.
 KNOWN_LIMIT = 400_000
 MERGE_BATCH = 20_000
@@ -168,5 +170,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text_col: s
 
 def op9_token_counts(spark, sf_dir):
     """Tokens of every whole text of documents by the word-end vocabulary."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
     return count_tokens(docs, "word_bpe_49k.json").drop("text")
