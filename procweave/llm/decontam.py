@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procweave.llm.shared import read_spread
+
 #: Words of a passage and of the step from one to the next, most words of an index entry, entries of a block.
 PASSAGE, STEP, ENTRY_WORDS, BLOCK = 64, 32, 48, 16
 
@@ -211,7 +213,9 @@ def mark_leaks(docs: DataFrame, items: list[tuple[int, str, str]], text_col: str
             found = [x for part in runs(batch.tolist()) for x in index.leaks(part)]
             yield pd.Series([[dict(zip(names, leak, strict=True)) for leak in x] for x in found], dtype=object)
 
-    return docs.withColumn(into, find(F.coalesce(F.col(text_col), F.lit(""))))
+    # Else the planner would find the leaks once more to filter by them.
+    once = find.asNondeterministic()
+    return docs.withColumn(into, once(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def drop_leaks(docs: DataFrame, items: list[tuple[int, str, str]], text_col: str = "text") -> DataFrame:
@@ -221,6 +225,6 @@ def drop_leaks(docs: DataFrame, items: list[tuple[int, str, str]], text_col: str
 
 def op8_decontamination(spark, sf_dir):
     """Every document and test item whose question and answer stand in it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
     items = load_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return mark_leaks(docs, items).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
