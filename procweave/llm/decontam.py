@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procweave.llm.shared import read_spread
+from procweave.llm.shared import bound_batches, read_spread
 
 #: Words of a passage and of the step from one to the next, most words of an index entry, entries of a block.
 PASSAGE, STEP, ENTRY_WORDS, BLOCK = 64, 32, 48, 16
@@ -205,6 +205,7 @@ def load_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def mark_leaks(docs: DataFrame, items: list[tuple[int, str, str]], text_col: str = "text", into: str = "leaks") -> DataFrame:
     """Add a column, ``leaks`` by default, of the verified test items in each text, in one narrow pass."""
     index = BlockMaxIndex(items)
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf(LEAKS)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from procweave.llm.shared import materialize, read_spread
+from procweave.llm.shared import bound_batches, materialize, read_spread
 
 #: Words of a shingle, and the threshold as a share in whole numbers (4 of 5).
 SHINGLE, SHARE = 4, (80, 100)
@@ -313,6 +313,7 @@ def relabel(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept."""
+    bound_batches(docs.sparkSession)
     signed = materialize(sign_docs(docs, id_col, text_col), "signed")
     # Band keys and signature follow from the set, so any row's will do.
     classes = (

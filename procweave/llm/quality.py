@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procweave.llm.shared import read_spread
+from procweave.llm.shared import bound_batches, read_spread
 
 #: The most labelled rows that the model is fitted on.
 FIT_ROWS = 6000
@@ -155,6 +155,7 @@ def fold(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit the model on at most fit_rows labelled rows outside the held-out fold."""
+    bound_batches(docs.sparkSession)
     rows = (
         labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0))
         .groupBy(F.col(id_col).alias("label_id"))

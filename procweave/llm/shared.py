@@ -26,6 +26,17 @@ def read_spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> D
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Rows of an Arrow batch of whole texts: some texts are long, and a worker holds two batches at once.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have the session hand whole texts to Python in batches of at most BATCH_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of ASCII alone take the faster general function, which does the same to them."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procweave.llm.shared import read_spread
+from procweave.llm.shared import bound_batches, read_spread
 
 #: Pre-tokens whose counts a worker keeps, and pre-tokens merged at once.
 KNOWN_LIMIT = 400_000
@@ -162,6 +162,7 @@ def token_counter(tokenizer: str):
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text_col: str = "text") -> DataFrame:
     """Add n_bytes, n_tokens and over_limit (n_tokens > limit) to every row."""
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.withColumns(
         {"n_bytes": F.octet_length(text).cast("long"), "n_tokens": token_counter(tokenizer)(text)}
