@@ -122,6 +122,61 @@ def test_remote_objects_and_report(source):
     assert (report["linked_servers"], report["variable_calls"], report["unresolved_count"]) == (2, 2, 3)
 
 
+def numbered(spark, *lines):
+    return spark.createDataFrame([(1, "\n".join(lines))], "k int, raw_sql string")
+
+
+def test_exec_of_text_anywhere_in_a_line(spark):
+    source = numbered(
+        spark,
+        "SELECT @sql = 'SELECT 1'",
+        "EXEC(@sql); -- run",
+        "EXEC(@sql) AT Srv1",
+        "IF @x = 1 BEGIN EXEC(@sql) END",
+        "SET @a = 'it; ELSE'; SET @b = 'B' + f(@a, ';') -- note",
+        "EXEC ( @a ); EXEC(@b)",
+        "EXEC('SELECT f(1) ' + CONVERT(VARCHAR(10), ISNULL(LEN(@a), 0))); PRINT ')'",
+        "EXEC(@c + ' (' + 'it''s',",
+        "EXEC(@none",
+    )
+    got = [(r["line"], r["expression"], r["tier"], r["resolved_sql"]) for r in rows(edge_cases.dynamic_sql(source, "k").orderBy("line", "expression"))]
+    assert got == [
+        (2, "@sql", "simple", "SELECT 1"),
+        (3, "@sql", "simple", "SELECT 1"),
+        (4, "@sql", "simple", "SELECT 1"),
+        (6, "@a", "simple", "it; ELSE"),
+        (6, "@b", "concatenated", "'B' + f(@a, ';')"),
+        (7, "'SELECT f(1) ' + CONVERT(VARCHAR(10), ISNULL(LEN(@a), 0))", "concatenated", None),
+    ]
+
+
+def test_all_assignments_of_a_line(spark):
+    source = numbered(
+        spark,
+        "IF @x = 1 SET @p = 'usp_A' ELSE SET @p = 'usp_B';",
+        "EXEC @p;",
+        "SET @p = 'usp_C'; SET @p = N'usp_D'",
+        "EXEC @p;",
+        "SELECT @n = CASE WHEN a = 1 THEN 'x' ELSE 'y' END, @m = COUNT(*) FROM t; SELECT @q = Name FROM dbo.Map",
+        "EXEC p @n = 1, @m = 2",
+        "SELECT @r = Name",
+        "FROM Map2 WHERE Id = 1",
+    )
+    got = [(r["line"], r["variable"], r["value"], r["kind"]) for r in rows(edge_cases.assignments(source, "k").orderBy("line", "place"))]
+    assert got == [
+        (1, "@p", "'usp_A'", "literal"),
+        (1, "@p", "'usp_B'", "literal"),
+        (3, "@p", "'usp_C'", "literal"),
+        (3, "@p", "N'usp_D'", "literal"),
+        (5, "@n", "CASE WHEN a = 1 THEN 'x' ELSE 'y' END", "expression"),
+        (5, "@m", "COUNT(*) FROM t", "expression"),
+        (5, "@q", "Map.Name", "table_lookup"),
+        (7, "@r", "Map2.Name", "table_lookup"),
+    ]
+    calls = [(r["certainty"], r["resolved_targets"]) for r in rows(edge_cases.variable_calls(source, "k").orderBy("line"))]
+    assert calls == [("conditional", ["usp_A", "usp_B"]), ("resolved", ["usp_D"])]
+
+
 PACKAGE = """CREATE OR REPLACE PACKAGE BODY pkg_orders IS
 FUNCTION total(p_id NUMBER, p_kind IN orders.kind%TYPE DEFAULT 'A') RETURN NUMBER IS
   v_sum NUMBER(18,2);
