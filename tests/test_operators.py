@@ -177,6 +177,12 @@ def test_all_assignments_of_a_line(spark):
     assert calls == [("conditional", ["usp_A", "usp_B"]), ("resolved", ["usp_D"])]
 
 
+def test_all_database_links_of_a_line(spark):
+    source = numbered(spark, "SELECT * FROM a@l1 JOIN own.b@l2 ON 1 = 1", "x := f@l3 + g@l4;", "-- c@l5")
+    got = [(r["line"], r["server"], r["remote_object"], r["operation"]) for r in rows(edge_cases.database_links(source, "k").orderBy("line", "server"))]
+    assert got == [(1, "l1", "a", "SELECT"), (1, "l2", "own.b", "SELECT"), (2, "l3", "f", "REFERENCE"), (2, "l4", "g", "REFERENCE")]
+
+
 PACKAGE = """CREATE OR REPLACE PACKAGE BODY pkg_orders IS
 FUNCTION total(p_id NUMBER, p_kind IN orders.kind%TYPE DEFAULT 'A') RETURN NUMBER IS
   v_sum NUMBER(18,2);
