@@ -20,7 +20,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near duplicates."""
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, size=minhash.STAGE_SHINGLE)
 
 
 def unseen_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

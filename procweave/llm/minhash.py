@@ -36,8 +36,11 @@ from pyspark.sql.types import LongType
 
 from procweave.llm.shared import bound_batches, materialize, read_spread
 
-#: Words of a shingle, and the threshold as a share in whole numbers (4 of 5).
-SHINGLE, SHARE = 4, (80, 100)
+#: Words of a shingle by the contract of op7, and of a stage that drops near duplicates.
+SHINGLE, STAGE_SHINGLE = 4, 5
+
+#: The threshold as a share in whole numbers (4 of 5).
+SHARE = (80, 100)
 
 #: Minima, rows of a band, bits kept of a minimum. The last minima that fill no band only serve the estimate.
 HASHES, BAND_ROWS, BITS = 256, 6, 2
@@ -161,8 +164,8 @@ def signatures(least: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(planes).T).view(np.int64)
 
 
-def sign_batch(texts: list[str]) -> dict[str, list]:
-    sets, bounds = shingle_sets(texts)
+def sign_batch(texts: list[str], size: int = SHINGLE) -> dict[str, list]:
+    sets, bounds = shingle_sets(texts, size)
     sizes = np.diff(bounds)
     some = np.flatnonzero(sizes)
     f1, f2 = np.zeros(len(texts), dtype=U64), np.zeros(len(texts), dtype=U64)
@@ -189,14 +192,14 @@ def runs(texts: list[str], most: int = 400_000) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def sign_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sign_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """Set size, fingerprint, band keys and signature of every row."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             for part in runs(texts):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].array, **sign_batch(texts[part])})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].array, **sign_batch(texts[part], size)})
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return source.mapInPandas(sign, SIGNED)
@@ -239,7 +242,7 @@ def sizes_allow() -> Column:
     return F.least("n_a", "n_b") * SHARE[1] >= F.greatest("n_a", "n_b") * SHARE[0]
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """The shingle sets of the wanted documents (rep), as bytes of sorted hashes."""
     named = docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     few = wanted.count() <= BROADCAST_IDS
@@ -249,7 +252,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
         for batch in batches:
             whole = batch["text"].tolist()
             for part in runs(whole):
-                sets, bounds = shingle_sets(whole[part])
+                sets, bounds = shingle_sets(whole[part], size)
                 data = [sets[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pd.DataFrame({"rep": batch["rep"].iloc[part].array, "set": data})
 
@@ -311,10 +314,10 @@ def relabel(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return joined.withColumn(column, F.coalesce("_to", column)).select(*names)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept; shingles of ``size`` words."""
     bound_batches(docs.sparkSession)
-    signed = materialize(sign_docs(docs, id_col, text_col), "signed")
+    signed = materialize(sign_docs(docs, id_col, text_col, size), "signed")
     # Band keys and signature follow from the set, so any row's will do.
     classes = (
         signed.filter("n_shingles > 0 and doc_id is not null")
@@ -334,11 +337,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             stars = apart(stars, labels).join(tried, ["a", "b"], "left_anti")
         best = stars.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a"))
         pairs = materialize(best.select("a", "b"), "pairs")
-        labels = contract(labels, confirmed(pairs, classes, docs, id_col, text_col))
+        labels = contract(labels, confirmed(pairs, classes, docs, id_col, text_col, size))
         tried = pairs if tried is None else tried.unionByName(pairs)
         mixed = materialize(still_mixed(shared, labels), "mixed")
 
-    links = links_across(mixed, classes, docs, id_col, text_col)
+    links = links_across(mixed, classes, docs, id_col, text_col, size)
     if links is not None:
         labels = contract(labels, links)
 
@@ -365,7 +368,7 @@ def still_mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(bands, "band", "left_semi")
 
 
-def links_across(mixed: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+def links_across(mixed: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame | None:
     """Links (a, b) between the components that are left in mixed bands, at least one for each two that have any.
 
     Classes that have a plausible partner in another component of some band are gathered into clusters by their bands.
@@ -384,7 +387,7 @@ def links_across(mixed: DataFrame, classes: DataFrame, docs: DataFrame, id_col:
     members = relabel(open_rows.select("rep", "label").distinct().withColumn("cluster", F.col("rep")), clusters, "cluster")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    sets = materialize(full_sets(docs, members.select("rep"), id_col, text_col), "sets")
+    sets = materialize(full_sets(docs, members.select("rep"), id_col, text_col, size), "sets")
     placed = placed.join(classes.select("rep", "sig"), "rep").join(sets, "rep")
     met_by = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = met_by.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "label", "sig", "set")
@@ -433,16 +436,16 @@ def compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b}, dtype="int64") if a else none
 
 
-def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets are similar enough; the signatures sort out the others first."""
     likely = materialize(plausible(pairs, signed), "likely")
-    sets = full_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), id_col, text_col)
+    sets = full_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), id_col, text_col, size)
     return confirm(likely, materialize(sets, "sets"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = STAGE_SHINGLE) -> DataFrame:
     """Keep one document of each component."""
-    found = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_dropped"))
+    found = near_duplicates(docs, id_col, text_col, size).filter("not kept").select(F.col("doc_id").alias("_dropped"))
     gone = materialize(found.distinct(), "dropped")
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
@@ -450,7 +453,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op7_minhash_dedup(spark, sf_dir):
     """Near duplicates among all documents."""
-    return near_duplicates(read_spread(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_duplicates(read_spread(spark, sf_dir, "documents", "doc_id", "text"), size=SHINGLE)
 
 
 ORACLE = r"""

@@ -242,6 +242,22 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == sorted(["None", "None", "2", "7", "7"])
 
 
+def test_stage_takes_shingles_of_five_words(spark):
+    """Alike by four words (897 of 1,097), not by five (871 of 1,121): op7 links them, the stage keeps both."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(1000)]
+    few, many = list(words), list(words)
+    few[20::100] = [f"y{i}" for i in range(10)]
+    many[20::40] = [f"x{i}" for i in range(25)]
+    docs = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate((words, many, few))], "doc_id long, text string")
+    by_five = [{tuple(w[i : i + 5]) for i in range(996)} for w in (words, many, few)]
+    alike = {(i, j) for i in range(3) for j in range(i) if 100 * len(by_five[i] & by_five[j]) >= 80 * len(by_five[i] | by_five[j])}
+    assert alike == {(2, 0)}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()) == [0, 1]
+    assert {r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {0}
+
+
 def test_no_near_duplicates_in_nothing(spark):
     assert near(spark, [])[0] == []
     assert near(spark, [(1, "")])[0] == [(1, 0, 1)]
@@ -355,6 +371,17 @@ def test_pipeline_agrees_with_its_stages_by_hand(spark, small_dir):
     assert len(corpus_pipeline.STAGES) == 4
 
 
+def test_pipeline_agrees_with_its_stages_at_five_words(spark, small_dir, monkeypatch):
+    """The whole comparison by hand, with near duplicates by shingles of five words."""
+
+    def by_five(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or (frozenset([tuple(words)]) if words else frozenset())
+
+    monkeypatch.setitem(globals(), "shingles", by_five)
+    test_pipeline_agrees_with_its_stages_by_hand(spark, small_dir)
+
+
 def test_pipeline_stages_take_odd_rows(spark, small_dir):
     import corpus_pipeline
 
