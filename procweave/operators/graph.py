@@ -6,6 +6,8 @@ checkpoint folder, so a lost executor costs a stage and not the run.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,28 +101,113 @@ def callers(edges: DataFrame, targets: DataFrame) -> DataFrame:
     raise RuntimeError("the graph is deeper than the most rounds")
 
 
-def cycles(edges: DataFrame, longest: int = 10, most: int | None = None) -> DataFrame:
-    """Simple cycles of at most ``longest`` calls, each once, from its smallest name and back to it; in order of path.
+def peeled(edges: DataFrame) -> DataFrame:
+    """The edges that are left when names without callers or without calls are taken away until none is."""
+    size = edges.count()
+    for _ in range(MOST_ROUNDS):
+        edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        before, size = size, edges.count()
+        if size in (0, before):
+            return edges
+    raise RuntimeError("the graph is deeper than the most rounds")
+
 
-    A path starts at its smallest name and takes only larger ones, so no cycle is found twice. ``most`` keeps the first
-    ones only, as a report does.
+def components(edges: DataFrame) -> DataFrame:
+    """name and component (its smallest name) of everything on a cycle, of whatever length: strongly connected parts and self calls.
+
+    Every name takes the smallest name that reaches it; those that reach that one back, within its color, are its component.
     """
     e = cut(edges.select("src", "dst").distinct())
+    found = e.filter("src = dst").select(F.col("src").alias("name"), F.col("src").alias("component"))
+    e = peeled(cut(e.filter("src <> dst")))
+    for _ in range(MOST_ROUNDS):
+        if e.isEmpty():
+            break
+        colors = cut(e.select(F.col("src").alias("name"), F.col("src").alias("color")).distinct())
+        for _ in range(MOST_ROUNDS):
+            passed = e.join(colors.withColumnRenamed("name", "src"), "src").select(F.col("dst").alias("name"), "color")
+            new = cut(colors.unionByName(passed).groupBy("name").agg(F.min("color").alias("color")))
+            same = new.join(colors, ["name", "color"], "left_anti").isEmpty()
+            colors = new
+            if same:
+                break
+        else:
+            raise RuntimeError("the graph is deeper than the most rounds")
+        side = lambda end: colors.select(F.col("name").alias(end), F.col("color").alias(f"{end}_color"))
+        inner = cut(e.join(side("src"), "src").join(side("dst"), "dst").filter("src_color = dst_color").select("src", "dst"))
+        members = front = cut(colors.filter("name = color"))
+        for _ in range(MOST_ROUNDS):
+            step = inner.join(front.withColumnRenamed("name", "dst"), "dst").select(F.col("src").alias("name"), "color").distinct()
+            front = cut(step.join(members, ["name", "color"], "left_anti"))
+            if front.isEmpty():
+                break
+            members = cut(members.unionByName(front))
+        else:
+            raise RuntimeError("the graph is deeper than the most rounds")
+        many = members.groupBy("color").agg(F.count("*").alias("n")).filter("n > 1").select("color")
+        found = found.unionByName(members.join(many, "color", "left_semi").select("name", F.col("color").alias("component")))
+        gone = members.select("name")
+        e = peeled(cut(e.join(gone.withColumnRenamed("name", "src"), "src", "left_anti").join(gone.withColumnRenamed("name", "dst"), "dst", "left_anti")))
+    else:
+        raise RuntimeError("the graph is deeper than the most rounds")
+    # A member that also calls itself belongs to the larger component, whose smallest name is at most its own.
+    return cut(found.groupBy("name").agg(F.min("component").alias("component")))
+
+
+def cycles(edges: DataFrame, longest: int = 10, most: int | None = None) -> DataFrame:
+    """Simple cycles, each once, from its smallest name and back to it; in order of path.
+
+    Every component of the graph is reported: all its cycles of at most ``longest`` calls, and if it has none so short,
+    a shortest one through its smallest name. A warning says that longer ones may be left out. A path starts at its
+    smallest name and takes only larger ones, so no cycle is found twice. ``most`` keeps the first ones only, as a report does.
+    """
+    parts = components(edges)
+    side = lambda end: parts.select(F.col("name").alias(end), F.col("component").alias(f"{end}_part"))
+    within = edges.select("src", "dst").distinct().join(side("src"), "src").join(side("dst"), "dst").filter("src_part = dst_part")
+    e = cut(within.select("src", "dst"))
+    first, last = F.get("path", F.lit(0)), F.element_at("path", -1)
     paths = cut(e.filter("src <= dst").select(F.array("src", "dst").alias("path")))
-    found = paths.filter(F.get("path", F.lit(0)) == F.element_at("path", -1))
-    paths = paths.filter(F.get("path", F.lit(0)) != F.element_at("path", -1))
+    found = paths.filter(first == last)
+    paths = paths.filter(first != last)
     for _ in range(longest - 1):
-        first, last = F.get("path", F.lit(0)), F.element_at("path", -1)
-        step = paths.join(e, last == F.col("src")).filter((F.col("dst") == first) | ((F.col("dst") > first) & ~F.array_contains("path", F.col("dst"))))
-        step = cut(step.select(F.array_append("path", F.col("dst")).alias("path")))
+        step = cut(longer(paths, e))
         if step.isEmpty():
             break
-        found = found.unionByName(step.filter(F.get("path", F.lit(0)) == F.element_at("path", -1)))
-        paths = step.filter(F.get("path", F.lit(0)) != F.element_at("path", -1))
+        found = found.unionByName(step.filter(first == last))
+        paths = step.filter(first != last)
+    else:
+        if not paths.isEmpty():
+            warnings.warn(f"cycles of more than {longest} calls are listed only for components without a shorter one", stacklevel=2)
+            found = found.unionByName(shortest_cycles(parts, e, found))
     shown = found.select(F.array_join("path", " -> ").alias("cycle"), (F.size("path") - 1).cast("long").alias("length"))
     return shown.orderBy("cycle").limit(most) if most else shown
 
 
+def longer(paths: DataFrame, e: DataFrame) -> DataFrame:
+    """Paths with one more call, back to their start or on to a larger name that they do not hold."""
+    first, last = F.get("path", F.lit(0)), F.element_at("path", -1)
+    step = paths.join(e, last == F.col("src")).filter((F.col("dst") == first) | ((F.col("dst") > first) & ~F.array_contains("path", F.col("dst"))))
+    return step.select(F.array_append("path", F.col("dst")).alias("path"))
+
+
+def shortest_cycles(parts: DataFrame, e: DataFrame, found: DataFrame) -> DataFrame:
+    """One shortest cycle (path) for each component that has none among those found; one path a name is followed."""
+    first, last = F.get("path", F.lit(0)), F.element_at("path", -1)
+    known = found.select(first.alias("name")).join(parts, "name").select("component").distinct()
+    start = parts.select("component").distinct().join(known, "component", "left_anti")
+    paths = cut(start.select(F.array("component").alias("path")))
+    seen, out = paths.select(first.alias("start"), last.alias("at")), paths.limit(0)
+    for _ in range(MOST_ROUNDS):
+        step = cut(longer(paths, e).groupBy(first.alias("start"), last.alias("at")).agg(F.min("path").alias("path")))
+        out = cut(out.unionByName(step.filter("start = at").select("path")))
+        closed = out.select(first.alias("start"))
+        step = cut(step.join(seen, ["start", "at"], "left_anti").join(closed, "start", "left_anti"))
+        if step.isEmpty():
+            return out
+        seen, paths = cut(seen.unionByName(step.select("start", "at"))), step.select("path")
+    raise RuntimeError("the graph is deeper than the most rounds")
+
+
 def external(names: DataFrame) -> DataFrame:
     """Names that are called but not defined."""
     return names.filter(~F.col("defined")).select("name")

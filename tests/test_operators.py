@@ -183,6 +183,17 @@ def test_all_database_links_of_a_line(spark):
     assert got == [(1, "l1", "a", "SELECT"), (1, "l2", "own.b", "SELECT"), (2, "l3", "f", "REFERENCE"), (2, "l4", "g", "REFERENCE")]
 
 
+def test_cycles_of_any_length_are_reported(spark):
+    """A ring of 12, one of 3 that a bridge joins to it, and a self call on the way; the listing stops at 6 calls."""
+    ring = [(f"a{i:02}", f"a{(i + 1) % 12:02}") for i in range(12)]
+    edges = spark.createDataFrame([*ring, ("a03", "m"), ("m", "b1"), ("b1", "b2"), ("b2", "b3"), ("b3", "b1"), ("b2", "s"), ("s", "s"), ("top", "a00")], "src string, dst string")
+    got = {r["name"]: r["component"] for r in rows(graph.components(edges))}
+    assert got == {f"a{i:02}": "a00" for i in range(12)} | {"b1": "b1", "b2": "b1", "b3": "b1", "s": "s"}
+    with pytest.warns(UserWarning, match="more than 6 calls"):
+        found = {(r["cycle"], r["length"]) for r in rows(graph.cycles(edges, longest=6))}
+    assert found == {(" -> ".join(f"a{i % 12:02}" for i in range(13)), 12), ("b1 -> b2 -> b3 -> b1", 3), ("s -> s", 1)}
+
+
 PACKAGE = """CREATE OR REPLACE PACKAGE BODY pkg_orders IS
 FUNCTION total(p_id NUMBER, p_kind IN orders.kind%TYPE DEFAULT 'A') RETURN NUMBER IS
   v_sum NUMBER(18,2);
