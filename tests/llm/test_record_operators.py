@@ -139,6 +139,66 @@ def test_search_with_ties_copies_and_unusable_vectors(spark):
     assert found(spark, rows, shard_rows=150) == nearest(rows)
 
 
+def by_loop(rows, k, every):
+    """Brute force, squares added one after the other, nothing rounded."""
+    out = set()
+    for q, asked in rows:
+        if q % every == 0:
+            near = []
+            for i, v in rows:
+                total = 0.0
+                for a, b in zip(asked, v, strict=True):
+                    total += (a - b) * (a - b)
+                if i != q:
+                    near.append((float(np.sqrt(total)), i))
+            out |= {(q, r, i, d) for r, (d, i) in enumerate(sorted(near)[:k], 1)}
+    return out
+
+
+def test_near_ties_are_decided_by_the_reported_score(spark):
+    """Differences that are permutations of one list: distances differ in the last bit only, by the order of summing."""
+    random = np.random.default_rng(3)
+    for n in range(4):
+        parts = random.normal(size=24).astype(np.float32).astype(float)
+        rows = [(0, [1.0] * 24)] + [(i, random.permutation(parts).tolist()) for i in range(1, 300)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = vp_search.search(df, df.filter("vec_id % 300 = 0"), shard_rows=(300, 40)[n % 2])
+        assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == by_loop(rows, 10, 300)
+
+
+def test_far_shards_are_not_visited(spark):
+    """Tight clusters far apart: each query's visits stay within its own cluster, and each shard grows one tree."""
+    random = np.random.default_rng(5)
+    rows = [(i, (random.normal(size=4) + 1000 * (i % 6)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked, sent = vp_search.visit_shards, []
+
+    def counted(visits, trees, *rest):
+        sent.append((visits.count(), trees.count(), trees.select("shard").distinct().count()))
+        return asked(visits, trees, *rest)
+
+    vp_search.visit_shards = counted
+    try:
+        got = vp_search.search(df, df.filter("vec_id % 100 = 0"), shard_rows=60)
+        assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == by_loop(rows, 10, 100)
+    finally:
+        vp_search.visit_shards = asked
+    (home, trees, shards), (away, _, _) = sent
+    assert home == 12 and trees == shards >= 20 and home + away < 12 * trees / 2
+
+
+def test_search_with_a_vector_that_a_third_of_all_rows_repeat(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(500)] + [(500 + i, v) for i, v in vectors(400, 2, seed=9)]
+    assert found(spark, rows, shard_rows=50, block_rows=16) == nearest(rows)
+
+
+def test_search_leaves_out_null_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (None, [1.0, 0.0]), (2**60 + 1, [1.0, 0.5])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")
+    got = vp_search.search(df, df.filter("vec_id is null or vec_id = 0"))
+    assert [(r["query_id"], r["vec_id"]) for r in got.orderBy("rank").collect()] == [(0, 2**60 + 1), (0, 1)]
+
+
 def test_search_with_few_candidates(spark):
     rows = [(0, [1.0]), (1, [2.0]), (5, [4.0])]
     assert found(spark, rows) == nearest(rows)
