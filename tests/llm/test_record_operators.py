@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -67,19 +68,100 @@ def test_no_pages(spark):
     assert got.collect() == []
 
 
-def test_written_archives_are_well_formed(spark):
-    path, _ = convert(spark, PAGES)
+def members(data):
+    """The gzip members of a file, each by itself."""
+    out = []
+    while data:
+        one = zlib.decompressobj(31)
+        out.append(one.decompress(data))
+        assert one.eof
+        data = one.unused_data
+    return out
+
+
+def test_written_archives_are_well_formed(spark, monkeypatch):
+    monkeypatch.setattr(arc, "ARCHIVE_BYTES", 2000)
+    path, got = convert(spark, PAGES)
     folder = path.removeprefix("file://").removeprefix("file:")
-    records = 0
+    records, ids, refers = 0, set(), set()
     for name in os.listdir(folder):
-        if name.endswith(".gz"):
-            data = gzip.open(os.path.join(folder, name)).read()
-            for head, block in arc.parse_warc(data):
+        if name.startswith("part-"):
+            with open(os.path.join(folder, name), "rb") as file:
+                data = file.read()
+            whole = members(data)
+            assert b"".join(whole) == gzip.decompress(data)
+            first, *others = [m for m in whole if m]
+            assert b"WARC-Type: warcinfo" in first
+            for one in others:
+                ((head, block),) = arc.parse_warc(one)
                 records += 1
-                assert head.startswith(b"WARC/1.1\r\n")
+                assert head.startswith(b"WARC/1.1\r\n") and one.endswith(b"\r\n\r\n")
                 assert arc.head_value(head, b"WARC-Block-Digest").decode() == "sha1:" + digest(block)
                 assert arc.head_value(head, b"WARC-Date")[-1:] == b"Z"
-    assert records == len(PAGES)
+                ids.add(arc.head_value(head, b"WARC-Record-ID"))
+                refers |= {arc.head_value(head, b"WARC-Refers-To")} - {None}
+    assert records == len(ids) == len(PAGES)
+    assert refers and refers <= ids
+    by_id = {r["record_id"]: r for r in got.collect()}
+    assert all(by_id[r["refers_to_id"]]["key"] == r["refers_to"] for r in by_id.values() if r["record_type"] == "revisit")
+
+
+def legacy(version, *records):
+    """An archive of hand-written header lines (ending in the length) and blocks."""
+    return arc.arc_head(version, "x.arc") + b"".join(f"{line} {len(block)}\n".encode() + block + b"\n" for line, block in records)
+
+
+def test_spaces_in_header_fields_lose_nothing():
+    one = legacy("1", ("http://a/ 1.2.3.4 20010101000000 text/html", b"one"), ("http://b/x y 1.2.3.4 20010101000000 text/html; charset=utf-8", b"two"), ("http://c/ 1.2.3.4 20010101000000", b"three"), ("dns:d - 20010101000000 text/plain", b""))
+    found = list(arc.parse_arc(one))
+    assert [(r.fields["url"], r.fields["mime"], r.block) for r in found] == [("http://a/", "text/html", b"one"), ("http://b/x y", "text/html; charset=utf-8", b"two"), ("http://c/", "", b"three"), ("dns:d", "text/plain", b"")]
+    two = legacy("2", ("http://a/ 1.2.3.4 20010101000000 text/html; charset=x 200 ABC http://a/ b 17 x.arc", b"one"), ("http://b/ 1.2.3.4 20010101000000 text/html - - - 0 -", b"two"))
+    found = list(arc.parse_arc(two))
+    assert [(r.fields["mime"], r.fields["status"], r.fields["location"], r.block) for r in found] == [("text/html; charset=x", "200", "http://a/ b", b"one"), ("text/html", "-", "-", b"two")]
+
+
+@pytest.mark.parametrize("version", ["1", "2"])
+def test_reading_goes_on_after_a_broken_record(version):
+    rest = "" if version == "1" else " 200 - - 0 -"
+    good = [(f"http://{c}/ 1.2.3.4 20010101000000 text/html{rest}", c.encode() * 50) for c in "abc"]
+    whole = legacy(version, *good)
+    blocks = [b for _, b in good]
+    assert [r.block for r in arc.parse_arc(whole)] == blocks
+    garbled = whole.replace(b"http://b/ 1.2.3.4 2001", b"http://b/ \xff 2oo1")
+    assert [r and r.block for r in arc.parse_arc(garbled)] == [blocks[0], None, blocks[2]]
+    too_long = whole.replace(b" 50\nbbb", b" 5000\nbbb")
+    assert [r and r.block for r in arc.parse_arc(too_long)] == [blocks[0], None, blocks[2]]
+    short = whole.replace(b" 50\nbbb", b" 20\nbbb")
+    assert [r and len(r.block) for r in arc.parse_arc(short)] == [50, 20, None, 50]
+    headless = whole.split(b"\n", 3)[-1]
+    assert [r and r.block for r in arc.parse_arc(headless)][-3:] == blocks
+
+
+def test_legacy_files_without_our_keys(spark, tmp_path):
+    """Files as others wrote them, plain and gzipped: identifiers follow from archive and place, and nothing is lost."""
+    block = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nsame body"
+    plain = legacy("1", ("http://a/ 1.2.3.4 20010101000000 text/html", block), ("http://a/ 1.2.3.4 20010101000000 text/html", block), ("http://b/ 1.2.3.4 20010101000000 text/plain", b"no head"))
+    (tmp_path / "one.arc").write_bytes(plain)
+    packed = legacy("2", ("http://c/ 1.2.3.4 20010101000000 text/html 200 - - 0 -", block), ("http://d/ broken", b"lost"), ("http://e/ 1.2.3.4 20010101000000 text/html 200 - - 0 -", b"other"))
+    (tmp_path / "two.arc.gz").write_bytes(b"".join(gzip.compress(packed[i : i + 100]) for i in range(0, len(packed), 100)))
+    out = shared.fresh_path(spark, "test-warc")
+    assert arc.convert(arc.read_arc(spark, str(tmp_path), "*.arc*"), out) == {"records": 5, "broken": 1}
+    got = arc.read_warc(spark, out).collect()
+    assert sorted((r["url"], r["record_type"], r["payload_bytes"]) for r in got if r["url"] in ("http://b/", "http://e/")) == [("http://b/", "resource", 7), ("http://e/", "resource", 5)]
+    same = [r for r in got if r["payload_digest"] == digest(b"same body")]
+    assert sorted(r["record_type"] for r in same) == ["response", "revisit", "revisit"]
+    assert {r["refers_to_id"] for r in same if r["record_type"] == "revisit"} == {r["record_id"] for r in same if r["record_type"] == "response"}
+    assert len({r["record_id"] for r in got}) == 5 and {r["key"] for r in got} == {None}
+
+
+def test_archive_files_come_back(spark):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    path = shared.fresh_path(spark, "test-arc")
+    arc.write_arc(arc.to_arc(df), path)
+    out = shared.fresh_path(spark, "test-warc")
+    assert arc.convert(arc.read_arc(spark, path), out) == {"records": len(PAGES), "broken": 0}
+    found = arc.read_warc(spark, out).select("key", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, found), key=str) == expected_records([(k, h) for k, _, h in PAGES])
 
 
 @pytest.mark.parametrize("version", ["1", "2"])
