@@ -6,12 +6,14 @@ lacks goes to its siblings by weight. Only what a whole subtree lacks reaches th
 whole tokens, so the result is exact and does not depend on the order of rows.
 
 A leaf's budget buys whole epochs and then a prefix of one more epoch, in an order that the seed and the epoch's number
-shuffle. No leaf is ever sorted whole: documents are counted by the first hex digits of their order key, running
-sums over those buckets find the one in which the budget ends, and only that bucket's rows are put in order.
+shuffle. No leaf is ever sorted: its tokens are summed by the next two hex digits of the order key, running sums over
+those buckets (256 a leaf at most) find the one in which the budget ends, and that bucket's rows alone are looked at
+with two digits more, until every such bucket holds one key.
 
 Defined results: null text has no tokens; nulls of a level are a child of their own; a leaf without tokens gives
 nothing. Rows that share an order key (equal ids in a leaf) are taken together or not at all. A prefix never exceeds
-its budget. Extra columns pass through. Empty tables give empty results.
+its budget. Columns of the input pass through, whatever their names, but for one named epoch, which is replaced. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from procweave.llm.shared import materialize
 
 LEVELS = ("domain", "lang", "source")
 
-#: Hex digits of an order key that make a bucket, and the most leaves whose plan is broadcast; more are joined.
-BUCKET_DIGITS, BROADCAST_LEAVES = 3, 10_000
+#: Hex digits of an order key by which a bucket is cut further, and the most leaves whose plan is broadcast; more are joined.
+DIGITS, BROADCAST_LEAVES = 2, 10_000
 
 
 def count_words(text: Column) -> Column:
@@ -96,45 +98,43 @@ def leaf_budgets(counted: DataFrame, weights: Mapping[tuple, int], share: tuple[
     return budget.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(F.lit(0).cast("long")))
 
 
-def with_plan(docs: DataFrame, plan: DataFrame, leaves: int, levels=LEVELS, own: dict[str, Column] | None = None) -> DataFrame:
-    """Join each document to its leaf's row of the plan; own has the levels that are no columns of docs."""
+def with_plan(rows: DataFrame, plan: DataFrame, leaves: int, levels=LEVELS) -> DataFrame:
+    """Join rows that have the levels to their leaf's row of the plan."""
     named = plan.select(*[F.col(c).alias(f"plan_{c}") for c in levels], *[c for c in plan.columns if c not in levels])
-    level = {c: docs[c] for c in levels if c in docs.columns} | (own or {})
-    match = reduce(lambda a, b: a & b, [level[c].eqNullSafe(named[f"plan_{c}"]) for c in levels])
-    return docs.join(F.broadcast(named) if leaves <= BROADCAST_LEAVES else named, match).drop(*[f"plan_{c}" for c in levels])
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"plan_{c}")) for c in levels])
+    return rows.join(F.broadcast(named) if leaves <= BROADCAST_LEAVES else named, match).drop(*[f"plan_{c}" for c in levels])
 
 
-def leaf_cuts(counted: DataFrame, budgets: DataFrame, leaves: int, seed: int, id_col: str, levels=LEVELS) -> DataFrame:
-    """One row a leaf: whole epochs and the largest order key of the next epoch that the rest still buys."""
-    keyed = with_plan(counted.select(id_col, *levels, "n_tokens"), budgets.select(*levels, "epochs", "rest"), leaves, levels).filter("rest > 0")
-    keyed = keyed.withColumn("key", order_key(seed, F.col("epochs") + 1, F.col(id_col)))
-    keyed = keyed.withColumn("bucket", F.substr("key", F.lit(1), F.lit(BUCKET_DIGITS)))
-    by_bucket = keyed.groupBy(*levels, "rest", "bucket").agg(F.sum("n_tokens").alias("tokens"))
+def leaf_cuts(counted: DataFrame, budgets: DataFrame, leaves: int, seed: int, levels=LEVELS) -> DataFrame:
+    """One row a leaf: whole epochs, and the order key from which on the next epoch is not bought."""
+    rows = with_plan(counted.select("id", *levels, "n_tokens"), budgets.select(*levels, "epochs", "rest"), leaves, levels).filter("rest > 0")
+    rows = rows.select(*levels, "rest", "n_tokens", order_key(seed, F.col("epochs") + 1, F.col("id")).alias("key"))
     run = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ends = (
-        by_bucket.withColumn("run", F.sum("tokens").over(run))
-        .filter(F.col("run") > F.col("rest"))
-        .groupBy(*levels)
-        .agg(F.min(F.struct("bucket", (F.col("run") - F.col("tokens")).alias("before"))).alias("end"))
-        .select(*levels, F.col("end.bucket").alias("end_bucket"), F.col("end.before").alias("before"))
-    )
-    last = with_plan(keyed, ends, leaves, levels).filter(F.col("bucket") == F.col("end_bucket"))
-    sums = last.groupBy(*levels, "rest", "before", "key").agg(F.sum("n_tokens").alias("tokens"))
-    in_order = Window.partitionBy(*levels).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
-        sums.withColumn("run", F.col("before") + F.sum("tokens").over(in_order))
-        .filter(F.col("run") <= F.col("rest"))
-        .groupBy(*levels)
-        .agg(F.max("key").alias("last_key"))
-    )
-    # Without a key of the last bucket, the bucket's own digits come before all its keys and after all earlier ones.
-    left = lambda d, right: d.join(
-        right.select(*[F.col(c).alias(f"r_{c}") for c in levels], *[c for c in right.columns if c not in levels]),
-        reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in levels]),
-        "left",
-    ).drop(*[f"r_{c}" for c in levels])
-    plan = left(left(budgets, ends), cuts)
-    return plan.select(*levels, "epochs", F.coalesce("last_key", "end_bucket", F.lit("")).alias("cut"))
+    digits, cuts = 0, None
+    while True:
+        digits += DIGITS
+        bucket = F.substr("key", F.lit(1), F.lit(digits)).alias("bucket")
+        summed = rows.groupBy(*levels, "rest", bucket).agg(F.sum("n_tokens").alias("tokens"), F.min("key").alias("low"), F.max("key").alias("high"))
+        # The bucket in which the budget ends, and what is left of it there.
+        ends = (
+            summed.withColumn("left", F.col("rest") - F.sum("tokens").over(run) + F.col("tokens"))
+            .filter("left < tokens")
+            .groupBy(*levels)
+            .agg(F.min(F.struct("bucket", "left", "low", "high")).alias("end"))
+            .select(*levels, "end.*")
+        )
+        ends = materialize(ends, "mix-ends")
+        settled = ends.filter("low = high").select(*levels, F.col("bucket").alias("cut"))
+        cuts = settled if cuts is None else cuts.unionByName(settled)
+        unsettled = ends.filter("low < high").select(*levels, F.col("bucket").alias("at"), F.col("left").alias("rest"))
+        if unsettled.isEmpty():
+            break
+        # One bucket of 256 of each leaf: the rows that the next digits part.
+        inside = with_plan(rows.drop("rest"), unsettled, leaves, levels).filter(F.col("key").startswith(F.col("at")))
+        rows = materialize(inside.drop("at"), "mix-bucket")
+    cuts = cuts.select(*[F.col(c).alias(f"cut_{c}") for c in levels], "cut")
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"cut_{c}")) for c in levels])
+    return budgets.join(cuts, match, "left").select(*levels, "epochs", F.coalesce("cut", F.lit("")).alias("cut"))
 
 
 def mix(
@@ -150,22 +150,22 @@ def mix(
 ) -> DataFrame:
     """Select documents by target weights; one row for each document and epoch that takes it.
 
-    share is the budget as a fraction of all tokens. The result has the columns of docs (without the text unless
-    keep_text) and epoch, from 1; and domain and n_tokens too if the text is left out.
+    share is the budget as a fraction of all tokens. The result has the columns of docs and epoch, from 1; or, unless
+    keep_text, only the id, the levels, n_tokens and epoch.
     """
     domain = domain if domain is not None else F.lit("all")
-    slim = docs.select(id_col, domain.alias("domain"), "lang", "source", count_words(F.col(text_col)).alias("n_tokens"))
-    counted = materialize(slim, "mix-counted")
+    leaf = [F.col(id_col).alias("id"), domain.alias("domain"), F.col("lang").alias("lang"), F.col("source").alias("source")]
+    counted = materialize(docs.select(*leaf, count_words(F.col(text_col)).alias("n_tokens")), "mix-counted")
     budgets = materialize(leaf_budgets(counted, weights, share, max_epochs), "mix-budgets")
     leaves = budgets.count()
-    plan = materialize(leaf_cuts(counted, budgets, leaves, seed, id_col), "mix-plan")
-    named = plan.withColumnsRenamed({"epochs": "_epochs", "cut": "_cut"})
-    chosen = with_plan(docs, named, leaves, own={"domain": domain}) if keep_text else with_plan(counted, named, leaves)
-    partly = order_key(seed, F.col("_epochs") + 1, F.col(id_col)) <= F.col("_cut")
-    copies = (F.col("_epochs") + F.when(partly, 1).otherwise(0)).cast("int")
-    names = [c for c in docs.columns if c != "epoch"] if keep_text else counted.columns
-    taken = chosen.withColumn("_copies", copies).filter("_copies > 0")
-    return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("epoch"))
+    plan = materialize(leaf_cuts(counted, budgets, leaves, seed), "mix-plan")
+    # The input travels as one column, so no name of its own can clash with one of the plan.
+    own = F.struct(*[F.col(c) for c in docs.columns if c != "epoch"]) if keep_text else F.struct(F.col("id").alias(id_col), *LEVELS, "n_tokens")
+    chosen = with_plan(docs.select(own.alias("own"), *leaf) if keep_text else counted.select(own.alias("own"), "id", *LEVELS), plan, leaves)
+    partly = order_key(seed, F.col("epochs") + 1, F.col("id")) < F.col("cut")
+    copies = (F.col("epochs") + F.when(partly, 1).otherwise(0)).cast("int")
+    taken = chosen.select("own", copies.alias("copies")).filter("copies > 0")
+    return taken.select("own", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("epoch")).select("own.*", "epoch")
 
 
 #: Production parameters: parts by level, 4 tokens in 5 of what there is, at most 3 epochs.
