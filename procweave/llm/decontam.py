@@ -1,31 +1,38 @@
-"""Benchmark decontamination with a block-max index.
+"""Benchmark decontamination by block-max WAND over a BM25 index of test items.
 
 Test items are cut into entries of bounded length and held in an inverted index with BM25 impacts, each divided by the
 score that its entry gives itself, so that 1 is a whole entry and one threshold serves all. The index knows the largest
 impact of every term, over all entries and over every block of neighbouring entries. Each text is cut into overlapping
-passages, and every passage is a query: passages whose terms' largest impacts stay under the threshold are skipped, of the
-others only the blocks whose largest impacts reach it are scored, and every entry at or above it is retrieved. All that
-runs in numpy on many texts at once. A retrieved item counts only if the word n-grams of its question and of its answer
-stand, in large part, around the passage.
+passages, and every passage is a query. The bounds are applied to many passages at once in numpy: passages whose terms'
+largest impacts stay under the threshold end there, and so do, of the others, the blocks whose largest impacts do. In
+the blocks that are left the walk proper runs: one cursor a term, ordered by entry; the first entry at which the largest
+impacts of the cursors up to it reach the threshold is the pivot, cursors before it skip to it, and an entry is scored
+only when all cursors stand there. Every entry at or above the threshold is retrieved. A retrieved item counts only if the
+word n-grams of its question and of its answer stand, in large part, around the passage.
+
+Items are held in indexes of bounded size (INDEX_BYTES of text each). A pass over the texts looks them up in at most
+PASS_INDEXES of them; where there are more, the texts pass again, with what was found so far, for the next ones.
 
 Defined results: null texts and texts without words hold nothing. An item without an answer column is split: its last
-sentence is the answer, if it has more than one. Items with fewer than LEAST_WORDS words cannot be told from chance and
-take no part; neither do null ones. Items that repeat an id are separate entries of that id. Rows are judged one by
-one; extra columns pass through, but for ``leaks``, which is replaced. Empty tables give empty results.
+sentence is the answer, if it has more than one. Items with fewer than SHORT_WORDS words count only where the whole word
+sequences of question and answer stand; items without words, and null ones, take no part. Items that repeat an id are
+separate entries of that id. Rows are judged one by one; columns of the input pass through, whatever their names, but
+for one with the name of the added column, which is replaced. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procweave.llm.shared import bound_batches, read_spread
+from procweave.llm.shared import materialize, read_spread, text_runs
 
 #: Words of a passage and of the step from one to the next, most words of an index entry, entries of a block.
 PASSAGE, STEP, ENTRY_WORDS, BLOCK = 64, 32, 48, 16
@@ -36,12 +43,16 @@ K1, B, LEAST_SCORE = 1.2, 0.75, 0.5
 #: Words of an n-gram, and the least shares of the question's and the answer's n-grams.
 GRAM, LEAST_QUESTION, LEAST_ANSWER = 3, 0.5, 0.5
 
-LEAST_WORDS = 5
+#: Items with fewer words count only if their whole word sequences stand in the text.
+SHORT_WORDS = 5
 
-#: The index travels to every task, so its size is bounded.
-MAX_ITEMS = 50_000
+#: Bytes of item texts in one index, and indexes that one pass over the texts looks up.
+INDEX_BYTES, PASS_INDEXES = 8_000_000, 8
 
 WORD = re.compile(r"\w+")
+#: Bytes of texts that are looked up at once; a single longer text is looked up alone.
+RUN_BYTES = 500_000
+
 LEAKS = "array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>"
 
 
@@ -59,15 +70,50 @@ def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
+def walk(terms: list[int], entries: list[int], impacts: list[float], least: float | None = None) -> Iterator[tuple[int, float]]:
+    """The entries of a block that reach the threshold, and their scores, by a walk of cursors and pivots.
+
+    Postings come as parallel lists, ordered by term and entry.
+    """
+    least = (LEAST_SCORE if least is None else least) - 1e-9
+    cut = [0, *(i for i in range(1, len(terms)) if terms[i] != terms[i - 1]), len(terms)]
+    # A cursor: its place, its end, and the term's largest impact in this block.
+    cursors = [[a, b, max(impacts[a:b])] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    while cursors:
+        cursors.sort(key=lambda c: entries[c[0]])
+        bound, pivot = 0.0, None
+        for cursor in cursors:
+            bound += cursor[2]
+            if bound >= least:
+                pivot = entries[cursor[0]]
+                break
+        if pivot is None:
+            return
+        if entries[cursors[0][0]] == pivot:
+            here = [c for c in cursors if entries[c[0]] == pivot]
+            score = sum(impacts[c[0]] for c in here)
+            if score >= least:
+                yield pivot, score
+            for cursor in here:
+                cursor[0] += 1
+        else:
+            for cursor in cursors:
+                if entries[cursor[0]] >= pivot:
+                    break
+                cursor[0] = bisect_left(entries, pivot, cursor[0], cursor[1])
+        cursors = [c for c in cursors if c[0] < c[1]]
+
+
 class BlockMaxIndex:
     """An inverted index with impacts, largest impacts of terms, and largest impacts of terms by block."""
 
     def __init__(self, items: list[tuple[int, str, str]]):
         self.items = [(i, words_of(q), words_of(a)) for i, q, a in items]
-        self.items = [x for x in self.items if len(x[1]) + len(x[2]) >= LEAST_WORDS]
+        self.items = [x for x in self.items if x[1] or x[2]]
         entries, self.owner = [], []
         for n, (_, question, answer) in enumerate(self.items):
             whole = question + answer
+            # Entries are of about the same length, none longer than ENTRY_WORDS.
             count = -(-len(whole) // ENTRY_WORDS)
             size = -(-len(whole) // count)
             for start in range(0, len(whole), size):
@@ -137,17 +183,22 @@ class BlockMaxIndex:
         alive = key[most >= LEAST_SCORE - 1e-9]
         if not alive.size:
             return
+        # The postings of the blocks that are left, by passage and block.
         near = np.isin(passage, np.unique(alive // blocks))
         passage, term = passage[near], term[near]
         place, source = self.expand(self.starts, term)
-        owner, entry = passage[source], self.entry[place]
-        kept = np.isin(owner * blocks + entry // BLOCK, alive)
-        key, score = self.summed(owner[kept] * (blocks * BLOCK) + entry[kept], self.impact[place][kept])
-        good = score >= LEAST_SCORE - 1e-9
-        for k, s in zip(key[good].tolist(), score[good].tolist(), strict=True):
-            at = k // (blocks * BLOCK)
+        group = passage[source] * blocks + self.entry[place] // BLOCK
+        kept = np.isin(group, alive)
+        group, term, place = group[kept], term[source][kept], place[kept]
+        order = np.lexsort((place, term, group))
+        group, term, place = group[order], term[order], place[order]
+        bounds = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), group.size]
+        for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            at = int(group[start]) // blocks
             text = int(np.searchsorted(base, at, side="right")) - 1
-            yield text, at - int(base[text]), k % (blocks * BLOCK), s
+            own = place[start:stop]
+            for entry, score in walk(term[start:stop].tolist(), self.entry[own].tolist(), self.impact[own].tolist()):
+                yield text, at - int(base[text]), entry, score
 
     def overlaps(self, item: int, words: list[str], passage: int) -> tuple[float, float]:
         """Shares of the question's and of the answer's n-grams that stand around a passage; 1 for what is empty."""
@@ -155,9 +206,11 @@ class BlockMaxIndex:
         reach = len(question) + len(answer)
         around = words[max(0, passage * STEP - reach) : passage * STEP + PASSAGE + reach]
 
+        size = max(len(question), len(answer)) if reach < SHORT_WORDS else GRAM
+
         def share(part: list[str]) -> float:
-            wanted = grams(part, min(GRAM, len(part))) if part else set()
-            return len(wanted & grams(around, min(GRAM, len(part)))) / len(wanted) if wanted else 1.0
+            wanted = grams(part, min(size, len(part))) if part else set()
+            return len(wanted & grams(around, min(size, len(part)))) / len(wanted) if wanted else 1.0
 
         return share(question), share(answer)
 
@@ -181,47 +234,66 @@ class BlockMaxIndex:
         return out
 
 
-def runs(texts: list[str], most: int = 500_000) -> Iterator[list[str]]:
+def load_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None) -> list[tuple[int, str, str]]:
+    """The items as (id, question, answer), in a fixed order. Test items, unlike texts, have to fit the driver."""
+    columns = [F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("q"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a")]
+    rows = items.select(*columns).filter("q is not null").orderBy("i", "q", "a").toLocalIterator()
+    return [(r["i"], r["q"], r["a"] or "") if answer_col else (r["i"], *split_item(r["q"])) for r in rows]
+
+
+def index_parts(items: list[tuple[int, str, str]]) -> Iterator[list[tuple[int, str, str]]]:
+    """Runs of items of bounded size in bytes, at least one item each."""
     part, held = [], 0
-    for text in texts:
-        if part and held + len(text) > most:
+    for item in items:
+        size = len(item[1]) + len(item[2])
+        if part and held + size > INDEX_BYTES:
             yield part
             part, held = [], 0
-        part.append(text)
-        held += len(text)
+        part.append(item)
+        held += size
     if part:
         yield part
 
 
-def load_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None) -> list[tuple[int, str, str]]:
-    """The items as (id, question, answer), in a fixed order; an error if there are more than MAX_ITEMS."""
-    columns = [F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("q"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a")]
-    rows = items.select(*columns).filter("q is not null").orderBy("i", "q", "a").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} test items: run them in several calls")
-    return [(r["i"], r["q"], r["a"] or "") if answer_col else (r["i"], *split_item(r["q"])) for r in rows]
+def finder(spark: SparkSession, items: list[tuple[int, str, str]]):
+    """A Spark column function: the verified items of one index in a text. The index is broadcast, a bounded size each."""
+    sent = spark.sparkContext.broadcast(BlockMaxIndex(items))
+    names = ("item_id", "score", "question_overlap", "answer_overlap")
+    kind = pa.list_(pa.struct([(names[0], pa.int64()), *((n, pa.float64()) for n in names[1:])]))
+
+    @F.arrow_udf(LEAKS)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = sent.value
+        for batch in batches:
+            found = [x for part in text_runs(batch, RUN_BYTES) for x in index.leaks(part)]
+            yield pa.array([[dict(zip(names, leak, strict=True)) for leak in x] for x in found], kind)
 
+    # Else the planner would find the leaks once more where they are filtered by.
+    return find.asNondeterministic()
 
-def mark_leaks(docs: DataFrame, items: list[tuple[int, str, str]], text_col: str = "text", into: str = "leaks") -> DataFrame:
-    """Add a column, ``leaks`` by default, of the verified test items in each text, in one narrow pass."""
-    index = BlockMaxIndex(items)
-    bound_batches(docs.sparkSession)
 
-    @F.pandas_udf(LEAKS)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names = ("item_id", "score", "question_overlap", "answer_overlap")
-        for batch in batches:
-            found = [x for part in runs(batch.tolist()) for x in index.leaks(part)]
-            yield pd.Series([[dict(zip(names, leak, strict=True)) for leak in x] for x in found], dtype=object)
+def with_leaks(docs: DataFrame, items: list[tuple[int, str, str]], text_col: str) -> DataFrame:
+    """Rows of ``own`` (all columns of docs) and ``leaks``; the texts pass once for every PASS_INDEXES indexes."""
+    none = F.array().cast(LEAKS)
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), none.alias("leaks"))
+    text = F.coalesce(F.col("own").getField(text_col), F.lit(""))
+    for n, part in enumerate(index_parts(items)):
+        if n and n % PASS_INDEXES == 0:
+            out = materialize(out, "leaks")
+        found = finder(docs.sparkSession, part)(text)
+        out = out.select("own", (F.concat("leaks", found) if n else found).alias("leaks"))
+    return out
 
-    # Else the planner would find the leaks once more to filter by them.
-    once = find.asNondeterministic()
-    return docs.withColumn(into, once(F.coalesce(F.col(text_col), F.lit(""))))
+
+def mark_leaks(docs: DataFrame, items: list[tuple[int, str, str]], text_col: str = "text", into: str = "leaks") -> DataFrame:
+    """Add a column, ``leaks`` by default, of the verified test items in each text."""
+    own = [F.col("own").getField(c).alias(c) for c in docs.columns if c != into]
+    return with_leaks(docs, items, text_col).select(*own, F.col("leaks").alias(into))
 
 
 def drop_leaks(docs: DataFrame, items: list[tuple[int, str, str]], text_col: str = "text") -> DataFrame:
     """Keep the documents without a verified test item."""
-    return mark_leaks(docs, items, text_col, "_leaks").filter(F.size("_leaks") == 0).drop("_leaks")
+    return with_leaks(docs, items, text_col).filter(F.size("leaks") == 0).select("own.*")
 
 
 def op8_decontamination(spark, sf_dir):

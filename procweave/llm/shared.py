@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,17 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def text_runs(texts: pa.Array, most_bytes: int) -> Iterator[list[str]]:
+    """The texts of an Arrow array in runs of bounded size, at least one text each; only one run at a time is Python strings."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        done = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, done + most_bytes, side="right")))
+        yield texts.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of ASCII alone take the faster general function, which does the same to them."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

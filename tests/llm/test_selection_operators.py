@@ -285,15 +285,22 @@ def test_estimates_are_close():
 
 
 def leaks_by_hand(docs, items):
-    """Items whose question and answer n-grams stand in the text in large part, over the whole text."""
+    """Items whose question and answer n-grams stand in the text in large part, over the whole text; short items stand whole."""
     out = set()
     for i, text in docs:
         words = decontam.words_of(text or "")
+        held = {n: decontam.grams(words, n) for n in range(1, 5)}
         for item, question, answer in items:
             q, a = decontam.words_of(question), decontam.words_of(answer)
-            if len(q) + len(a) < decontam.LEAST_WORDS:
+            if not q and not a:
                 continue
-            share = lambda part: 1.0 if not part else len(decontam.grams(part, min(3, len(part))) & decontam.grams(words, min(3, len(part)))) / len(decontam.grams(part, min(3, len(part))))
+            short = len(q) + len(a) < 5
+
+            def share(part, short=short, held=held):
+                n = len(part) if short else min(3, len(part))
+                wanted = decontam.grams(part, n) if part else set()
+                return len(wanted & held[n]) / len(wanted) if wanted else 1.0
+
             if share(q) >= 0.5 and share(a) >= 0.5:
                 out.add((i, item))
     return out
@@ -340,12 +347,46 @@ def test_block_bounds_lose_nothing():
     assert got == want and got
 
 
+def test_short_items_are_found_where_they_stand_whole(spark):
+    items = [(1, "Is it hot?", "Yes."), (2, "zebra", ""), (3, "one two", "three four"), (4, "Is it cold?", "No.")]
+    docs = [(1, "they asked: is it hot? yes, said he"), (2, "is it not hot? yes"), (3, "a ZEBRA, seen"), (4, "three four one two"), (5, "is it cold yes"), (6, "zebras"), (7, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], x["item_id"]) for r in decontam.mark_leaks(df, items).collect() for x in r["leaks"]}
+    assert got == leaks_by_hand(docs, items) == {(1, 1), (3, 2), (4, 3)}
+
+
+def test_many_items_in_many_indexes_and_passes(spark, monkeypatch):
+    """100,000 items in more indexes than one pass looks up: as from one index, and as by hand."""
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 1_500_000)
+    monkeypatch.setattr(decontam, "PASS_INDEXES", 2)
+    rng = random.Random(12)
+    items = [(n, sentence(rng, 7, 30_000), "") for n in range(100_000)]
+    assert len(list(decontam.index_parts(items))) > 2
+    docs = [(n, sentence(rng, 40, 30_000) + " " + items[n * 4999][1] + " " + sentence(rng, 40, 30_000)) for n in range(20)] + [(99, None)]
+    df = spark.createDataFrame([(i, t, "kept") for i, t in docs], "doc_id long, text string, own string")
+    got = decontam.mark_leaks(df, items).collect()
+    assert {(r["doc_id"], x["item_id"]) for r in got for x in r["leaks"]} == leaks_by_hand(docs, items) and {r["own"] for r in got} == {"kept"}
+
+
+def test_walk_retrieves_all_at_or_above_the_threshold():
+    rng = random.Random(2)
+    for _ in range(300):
+        post = sorted({(rng.randrange(6), rng.randrange(16)) for _ in range(rng.randrange(1, 40))})
+        impacts = [rng.random() / 3 for _ in post]
+        score = {}
+        for (_, entry), impact in zip(post, impacts, strict=True):
+            score[entry] = score.get(entry, 0) + impact
+        got = dict(decontam.walk([t for t, _ in post], [e for _, e in post], impacts))
+        assert sorted(got) == sorted(e for e, x in score.items() if x >= decontam.LEAST_SCORE)
+        assert all(abs(got[e] - score[e]) < 1e-9 for e in got)
+
+
 def test_leaks_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, None)], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontam.drop_leaks(docs, decontam.load_items(items)).count() == 2
     some = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, "a b c d e f"), (4, "a b c d e f")], "item_id long, text string")
-    assert [r["leaks"] and len(r["leaks"]) for r in decontam.mark_leaks(docs, decontam.load_items(some)).orderBy("doc_id").collect()] == [2, []]
+    assert [r["leaks"] and [x["item_id"] for x in r["leaks"]] for r in decontam.mark_leaks(docs, decontam.load_items(some)).orderBy("doc_id").collect()] == [[3, 4, 4], []]
     assert decontam.mark_leaks(docs.limit(0), decontam.load_items(some)).collect() == []
 
 
