@@ -10,7 +10,7 @@ harm. Where no header line can be read, or a declared length does not fit, readi
 header; ``convert`` returns how often that happened beside the number of records, so nothing is lost without a word.
 
 Only slim rows (key, identifier, digest, length) are grouped by digest, so a payload that a third of all records share
-costs nothing; records then meet their decision on their own identifier. Archives are written by Spark's text sink, which
+costs nothing; the decisions then meet the archives that hold their records, and no payload is shuffled. Archives are written by Spark's text sink, which
 commits whole tasks, one archive of bounded size a row, and are read back as binary files. Every WARC record is a gzip
 member of its own behind one warcinfo record; the sink names the files .txt, and readers go by content.
 
@@ -203,8 +203,7 @@ def key_of(head: bytes) -> int | None:
     return int(found) if found and re.fullmatch(rb"-?\d{1,18}", found) else None
 
 
-SLIM = "key long, record_id string, url string, date string, payload_digest string, payload_bytes long, broken long"
-FULL = "key long, record_id string, url string, date string, mime string, head binary, payload binary, payload_digest string"
+SLIM = "name string, key long, record_id string, url string, date string, payload_digest string, payload_bytes long, broken long"
 
 
 def record_uri(name: str, offset: int, date: str, url: str) -> str:
@@ -212,15 +211,13 @@ def record_uri(name: str, offset: int, date: str, url: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {offset} {date} {url}')}>"
 
 
-def parsed(batch: pa.RecordBatch) -> Iterator[list[tuple[str, ArcRecord | None]]]:
-    """The records of each archive of a batch, each with its identifier."""
-    names = batch.column("name").to_pylist()
-    for name, archive in zip(names, batch.column("archive"), strict=True):
-        if archive.is_valid:
-            with opened(archive.as_buffer()) as stream:
-                data = stream.read()
-            name = name or sha1_base32(data)
-            yield [(r and record_uri(name, r.offset, r.fields["date"], r.fields["url"]), r) for r in parse_arc(data)]
+def parsed(name: str, archive: pa.Scalar) -> list[tuple[str | None, ArcRecord | None]]:
+    """The records of an archive, each with its identifier."""
+    if not archive.is_valid:
+        return []
+    with opened(archive.as_buffer()) as stream:
+        data = stream.read()
+    return [(r and record_uri(name, r.offset, r.fields["date"], r.fields["url"]), r) for r in parse_arc(data)]
 
 
 def record_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -232,7 +229,8 @@ def record_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def named(archives: DataFrame) -> DataFrame:
     """Archives with a name; those without one are named by their content."""
-    return archives.select(F.col("name") if "name" in archives.columns else F.lit(None).cast("string").alias("name"), "archive")
+    given = F.col("name") if "name" in archives.columns else F.lit(None).cast("string")
+    return archives.select(F.coalesce(given, F.sha1("archive"), F.lit("")).alias("name"), "archive")
 
 
 def arc_digests(archives: DataFrame) -> DataFrame:
@@ -240,36 +238,19 @@ def arc_digests(archives: DataFrame) -> DataFrame:
 
     def digest(batches):
         for batch in batches:
-            for records in parsed(batch):
+            for name, archive in zip(batch.column("name").to_pylist(), batch.column("archive"), strict=True):
                 rows = []
-                for uri, record in records:
+                for uri, record in parsed(name, archive):
                     if record is None:
-                        rows.append((None, None, None, None, None, None, 1))
+                        rows.append((name, None, None, None, None, None, None, 1))
                     else:
                         head, payload = record.http()
-                        rows.append((key_of(head), uri, record.fields["url"], record.fields["date"], sha1_base32(payload), len(payload), 0))
+                        rows.append((name, key_of(head), uri, record.fields["url"], record.fields["date"], sha1_base32(payload), len(payload), 0))
                 yield record_batch(rows, SLIM)
 
     return named(archives).mapInArrow(digest, SLIM)
 
 
-def arc_records(archives: DataFrame) -> DataFrame:
-    """The whole records of ARC files."""
-
-    def parse(batches):
-        for batch in batches:
-            for records in parsed(batch):
-                rows = []
-                for uri, record in records:
-                    if record is not None:
-                        head, payload = record.http()
-                        f = record.fields
-                        rows.append((key_of(head), uri, f["url"], f["date"], f["mime"], head, payload, sha1_base32(payload)))
-                yield record_batch(rows, FULL)
-
-    return named(archives).mapInArrow(parse, FULL)
-
-
 def warc_date(date: str) -> str:
     d = re.sub(r"\D", "", date).ljust(14, "0")[:14]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z"
@@ -282,9 +263,11 @@ def warc_info() -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def warc_record(key, record_id, url, date, mime, head, payload, digest, refers) -> bytes:
+def warc_record(record_id: str, record: ArcRecord, refers: dict | None) -> bytes:
     """One WARC record; a revisit keeps the HTTP head and leaves the payload out."""
-    revisit, plain = refers is not None, not head
+    head, payload = record.http()
+    url, date, mime = (record.fields[f] for f in ("url", "date", "mime"))
+    key, digest, revisit, plain = key_of(head), sha1_base32(payload), refers is not None, not head
     block = head + b"\r\n\r\n" if revisit and not plain else b"" if revisit else payload if plain else head + b"\r\n\r\n" + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'resource' if plain else 'response'}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {warc_date(date)}", f"WARC-Target-URI: {url}"]
     if revisit:
@@ -319,24 +302,28 @@ def convert(archives: DataFrame, path: str, least_bytes: int = 0) -> dict[str, i
     first = slim.filter(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("of")).agg(F.min(own).alias("first"))
     same = (F.col("key") == F.col("first.key")) | (F.col("record_id") == F.col("first.record_id"))
     revisits = slim.join(first, F.col("payload_digest") == F.col("of")).filter(~F.coalesce(same, F.lit(False)))
-    decided = revisits.select(F.col("record_id").alias("decided_id"), "first").dropDuplicates(["decided_id"])
-    joined = arc_records(archives).join(decided, F.col("record_id") == F.col("decided_id"), "left")
+    # Gathered by archive, so no payload is shuffled: archives meet their decisions as they are stored, and packed.
+    decided = revisits.groupBy("name").agg(F.collect_set(F.struct("record_id", F.struct("first.*").alias("first"))).alias("decided"))
+    joined = named(archives).join(decided, "name", "left").select("name", "archive", "decided")
 
     def write(batches):
         held, size = [member(warc_info())], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                record = warc_record(*row)
-                if size and size + len(record) > ARCHIVE_BYTES:
-                    yield one_row(b"".join(held), "warc")
-                    held, size = held[:1], 0
-                held.append(member(record))
-                size += len(record)
+            for name, archive, decided in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                refers = {d["record_id"]: d["first"] for d in decided.as_py() or []}
+                for uri, found in parsed(name, archive):
+                    if found is None:
+                        continue
+                    record = warc_record(uri, found, refers.get(uri))
+                    if size and size + len(record) > ARCHIVE_BYTES:
+                        yield one_row(b"".join(held), "warc")
+                        held, size = held[:1], 0
+                    held.append(member(record))
+                    size += len(record)
         if size:
             yield one_row(b"".join(held), "warc")
 
-    columns = [*(f.split()[0] for f in FULL.split(", ")), "first"]
-    write_files(joined.select(*columns).mapInArrow(write, "warc binary"), "warc", path)
+    write_files(joined.mapInArrow(write, "warc binary"), "warc", path)
     return counts
 
 
