@@ -75,8 +75,62 @@ def test_url_tables_without_rows_and_rules_without_tokens(spark):
     df = spark.createDataFrame([(1, "http://a.com/tracker"), (2, "http://a.com/x")], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in rows(url_filter.judge_urls(df, [], [url_filter.pattern_rule("track*er")]))}
     assert got == {1: "block", 2: "allow"}
-    with pytest.raises(ValueError):
-        url_filter.judge_urls(df, url_filter.BASE_RULES * 2000, [])
+    many = url_filter.judge_urls(df, url_filter.BASE_RULES * 2000, [])
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in rows(many)} == {1: (None, "allow"), 2: (None, "allow")}
+
+
+def fitting(url, pattern):
+    """Whether a pattern fits a URL, without regular expressions."""
+    body = pattern.removeprefix("@@")
+    anchored, body = body.startswith("||"), body.removeprefix("||").lower()
+    url = "".join(c.lower() if c.isascii() else c for c in url or "")
+    pieces = body.split("*")
+
+    def follows(at):
+        for n, piece in enumerate(pieces):
+            at = (at if url.startswith(piece, at) else -1) if n == 0 else url.find(piece, at)
+            if at < 0:
+                return False
+            at += len(piece)
+        return True
+
+    if not anchored:
+        return any(follows(i) for i in range(len(url) + 1))
+    scheme, colon, rest = url.partition(":")
+    if not rest.startswith("//"):
+        return False
+    begin = len(scheme) + 3
+    end = url.find("/", begin) if "/" in url[begin:] else len(url)
+    return any(follows(i) for i in range(begin, end + 1) if i == begin or url[i - 1] == ".")
+
+
+def verdict_by_hand(url, patterns):
+    best = judge(url)[2]
+    found = [p for p in patterns if fitting(url, p)]
+    return best[0] if best else "block" if found and not any(p.startswith("@@") for p in found) else "allow"
+
+
+def test_patterns_agree_with_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["ads", "track", "login", "cart", "news", "docs", "spam-farm", "en", "x", "getapk", "a.apk", "tag", "download", "v1.zip", "utm_source=1", "?s=", "&q=", "com", "example.org", "_", "%41"]
+    urls = ["http://" + "".join(rng.choice(words) + rng.choice("./?&-/") for _ in range(rng.randrange(1, 6))) for _ in range(400)] + [*URLS, "ads./ads/", "x:y://ads.", "HTTP://TRACK.X/ADS/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    patterns = url_filter.PATTERNS.split()
+    got = {r["page_id"]: r["verdict"] for r in rows(url_filter.judge_urls(df, url_filter.BASE_RULES, url_filter.PATTERN_RULES))}
+    assert got == {i: verdict_by_hand(u, patterns) for i, u in enumerate(urls)}
+    assert len(set(got.values())) == 2
+
+
+def test_fifty_thousand_rules(spark):
+    urls = [f"http://h{i % 70_000}.example.com/p{i}/" for i in range(0, 100_000, 97)]
+    rules = [url_filter.host_rule(("block", "allow")[i % 2], f"h{i}.example.com/") for i in range(49_990)] + [url_filter.host_rule("block", "com/")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in rows(url_filter.judge_urls(df, rules, []))}
+    for i, u in enumerate(urls):
+        n = int(u.split(".")[0].removeprefix("http://h"))
+        assert got[i] == ((f"h{n}.example.com/", ("block", "allow")[n % 2]) if n < 49_990 else ("com/", "block"))
 
 
 # Token counts
