@@ -241,6 +241,100 @@ def test_license_spans_are_found_and_verified(spark):
     assert got[10]["labels"] == "" and got[10]["score"] == 0
 
 
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def spans_by_hand(text, templates):
+    """Spans (first, last, template, covered, matched) by plain loops over all pairs of places."""
+    k, gap = license_scan.K, license_scan.GAP
+    words, sound = license_words(text), []
+    for name, body in templates.items():
+        own = license_words(body)
+        diagonals, places = {}, {}
+        for t in range(len(own) - k + 1):
+            places.setdefault(tuple(own[t : t + k]), []).append(t)
+        for d in range(len(words) - k + 1):
+            for t in places.get(tuple(words[d : d + k]), []):
+                diagonals.setdefault(d - t, []).append(d)
+        bands, before = [], None
+        for g in sorted(diagonals):
+            if before is None or g - before > gap:
+                bands.append([])
+            bands[-1].append(g)
+            before = g
+        for band in bands:
+            spans, reached = [], None
+            for first, g in sorted((min(diagonals[g]), g) for g in band):
+                if reached is None or first > reached + k + gap:
+                    spans.append([])
+                spans[-1].append(g)
+                reached = max(diagonals[g]) if reached is None else max(reached, max(diagonals[g]))
+            for span in spans:
+                ds, ts = {d for g in span for d in diagonals[g]}, {d - g for g in span for d in diagonals[g]}
+                covered, matched = (len({p + i for p in places for i in range(k)}) for places in (ds, ts))
+                first, last = min(ds), max(ds) + k - 1
+                if covered >= license_scan.LEAST_COVER * (last - first + 1) and matched >= min(license_scan.LEAST_WORDS, license_scan.LEAST_SHARE * len(own)):
+                    sound.append((first, last, name, covered, matched, len(own)))
+    sound.sort(key=lambda x: x[:3])
+    islands, reached = [], -1
+    for x in sound:
+        if not islands or x[0] > reached:
+            islands.append([])
+        islands[-1].append(x)
+        reached = max(reached, x[1])
+    kept = []
+    for island in islands:
+        best = max(island, key=lambda x: (x[3], x[4] / x[5], -x[0], x[2]))
+        kept += [x for x in island if x == best or x[0] > best[1] or x[1] < best[0]]
+    return kept
+
+
+@pytest.mark.parametrize("piece", [200_000, 40, 7])
+def test_license_labels_scores_and_spans_agree_with_brute_force(spark, monkeypatch, piece):
+    import random
+
+    monkeypatch.setattr(license_scan, "PIECE", piece)
+    rng = random.Random(9)
+    names = ["mit", "boost", "bsd-2-clause", "bsd-3-clause", "isc", "gpl", "lgpl", "cc-by", "cc-by-nc/short", "apache", "mpl"]
+    templates = {n: license_scan.TEMPLATES[n] for n in names}
+    texts = [None, "", "mit license", "x " * 300 + "the general public license", "ü" * 90 + " mit  license"]
+    for n in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            words += [rng.choice(["plain", "words", "of", "the", "software"]) for _ in range(rng.randrange(0, 40))]
+            own = templates[rng.choice(names)].split()
+            at = rng.randrange(len(own)) if n % 3 else 0
+            own = own[at : at + rng.choice([8, 40, 400])]
+            for _ in range(rng.randrange(0, 1 + len(own) // 8)):
+                i = rng.randrange(len(own))
+                own[i : i + rng.randrange(0, 2)] = rng.choice([[], ["changed"], ["two", "words"]])
+            words += own
+        texts.append(" ".join(words) if n % 2 else "\n".join(words).upper())
+    texts.append(texts[10])
+    got = rows(license_scan.scan_licenses(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, piece string, words string"), templates=templates))
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r["doc_id"]]
+        spans = spans_by_hand(text, templates)
+        facts = license_facts(text)
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == facts
+        assert [(x["first"], x["last"], x["template"], x["covered"], x["matched"]) for x in r["spans"]] == [x[:5] for x in spans]
+        labels = {x[2].split("/")[0] for x in spans} | set(filter(None, facts[4].split(",")))
+        assert r["labels"] == ",".join(sorted(labels))
+        assert r["score"] == (1.0 if facts[1] else max((x[4] / x[5] for x in spans), default=0.0))
+    assert {x for r in got for x in r["labels"].split(",")} > {"bsd-2-clause", "bsd-3-clause", "mit"}
+
+
+def test_whole_licenses_get_their_own_label_only(spark):
+    made = [(n, f"Some heading\n{text}\nand a foot") for n, text in license_scan.TEMPLATES.items()]
+    got = {r["name"]: r for r in rows(license_scan.scan_licenses(spark.createDataFrame(made, "name string, text string"), id_col="name"))}
+    for name in license_scan.TEMPLATES:
+        base = set(filter(None, got[name]["base_labels"].split(",")))
+        assert set(got[name]["labels"].split(",")) == {name.split("/")[0]} | base
+        assert got[name]["score"] == 1.0
+
+
 def test_license_scan_of_nothing(spark):
     assert rows(license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, text string"))) == []
 
