@@ -2,6 +2,11 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns the documents it keeps, with the
 columns of documents; the last adds the epoch. Between stages the documents are written as Parquet and read again.
+
+Defined results: a document with a null text is one without words: the classifier scores it as an empty text, it is no
+near duplicate, holds no test item and has no tokens. Documents with a null doc_id are never near duplicates; all rows of a
+doc_id leave together where one of them does. Repeated rows with one doc_id and text stay or leave together. Columns may
+have any names, but for epoch, which the last stage replaces. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near duplicates."""
-    return minhash.drop_near_duplicates(docs, size=minhash.STAGE_SHINGLE)
+    return minhash.drop_near_duplicates(docs)
 
 
 def unseen_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
