@@ -10,8 +10,13 @@
    by bit counts, corrected for chance collisions, and those safely under the threshold are dropped; the others are
    confirmed on the full sets, rebuilt from the texts of the classes concerned. Confirmed links make components.
 4. Then only bands that still hold several components matter: each of their classes is paired with another component's
-   leader in the same way, and at last all pairs across the components that are left in a band are looked at. So no
-   candidate link is lost, and a large group of near copies, which is one component by then, is never paired within.
+   leader in the same way, and at last all pairs across the components that are left in a band are looked at, by blocks
+   of bounded size: first on the signatures alone, then, for the classes that have a plausible partner in the other block,
+   on the full sets. So no candidate link is lost, a large group of near copies, which is one component by then, is never
+   paired within, and no task gets more of a hot band than two blocks.
+
+Texts pass in runs of bounded size, and a single long text in pieces, so beside the text itself a worker holds about 16
+bytes for each of its shingles.
 
 A pair at the threshold shares no band with a probability under 3e-6 (42 bands of 6 minima, similarity 0.8). The
 estimate is dropped only when it lies six standard deviations under the threshold.
@@ -20,7 +25,7 @@ Defined results: texts without words (null, empty) have an empty set, link with
 words than a shingle is one shingle. Rows with a null doc_id link with nothing, get a null component and are kept. Rows
 that share a doc_id get the component of their own text; classes whose smallest doc_id is the same are one component.
 ``near_duplicates`` does not carry extra columns; ``drop_near_duplicates`` keeps the columns of its input and drops every
-row of a doc_id that has a row which is not kept. Empty tables give empty results.
+row of a doc_id that has a row which is not kept. Columns of the input may have any names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,14 +35,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from procweave.llm.shared import bound_batches, materialize, read_spread
+from procweave.llm.shared import materialize, read_spread
 
-#: Words of a shingle by the contract of op7, and of a stage that drops near duplicates.
-SHINGLE, STAGE_SHINGLE = 4, 5
+#: Words of a shingle, and those that the contract of op7 fixes.
+SHINGLE, OP7_SHINGLE = 5, 4
 
 #: The threshold as a share in whole numbers (4 of 5).
 SHARE = (80, 100)
@@ -51,8 +58,12 @@ SAFE_SIGMAS = 6.0
 #: Rounds in which every class is paired with one leader, before all pairs across components are looked at.
 STAR_ROUNDS = 2
 
-#: Classes of a block, when blocks are compared in whole.
-BLOCK = 256
+#: Classes of a block whose full sets are compared, blocks that are compared at once by signatures, and the most rows of a
+#: band in which partners are looked for by a join on the band.
+BLOCK, BLOCKS_AT_ONCE, SMALL_BAND = 256, 8, 256
+
+#: Bytes of texts that are hashed at once; a longer text is hashed alone, in pieces of PIECE bytes.
+RUN_BYTES, PIECE = 400_000, 1 << 20
 
 #: The most ids that are broadcast to pick out texts (8 bytes each); more are joined.
 BROADCAST_IDS = 500_000
@@ -85,9 +96,9 @@ def space_table() -> np.ndarray:
     return table
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the number of the text that each stands in. Only A-Z is lower-cased."""
-    raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    raw = [t.lower() for t in texts]
     sizes = np.array([len(b) + 1 for b in raw], dtype=np.int64)
     data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
     space = space_table()[data]
@@ -100,34 +111,102 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64)), np.searchsorted(np.cumsum(sizes), starts, side="right")
 
 
-def shingle_sets(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted within each text, and where each text's begin (one more bound at the end)."""
-    words, owner = word_hashes(texts)
-    counts = np.bincount(owner, minlength=len(texts)) if words.size else np.zeros(len(texts), dtype=np.int64)
-    rolled = np.zeros(max(0, words.size - size + 1), dtype=U64)
-    for n in range(size):
-        rolled = rolled * (BASE | U64(1)) + words[n : n + rolled.size]
-    whole = owner[: rolled.size] == owner[size - 1 :]
-    rolled = mix(rolled[whole])
+@lru_cache(maxsize=1)
+def lower_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table
+
+
+def piece_words(data: np.ndarray) -> Iterator[np.ndarray]:
+    """The hashes of a long text's words, piece by piece; a word that a cut parts is put together again."""
+    up, down = powers(PIECE)
+    value, length = U64(0), 0
+    for at in range(0, data.size, PIECE):
+        part = lower_table()[data[at : at + PIECE]]
+        space = space_table()[part]
+        starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        ends = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+        total = np.zeros(part.size + 1, dtype=U64)
+        np.cumsum((part.astype(U64) + U64(1)) * up[: part.size], out=total[1:])
+        values, sizes = (total[ends] - total[starts]) * down[starts], (ends - starts).astype(U64)
+        if length and not (starts.size and starts[0] == 0):
+            values, sizes = np.r_[value, values], np.r_[U64(length), sizes]
+        elif length:
+            values[0] = value + values[0] * U64(pow(int(BASE | U64(1)), length, 1 << 64))
+            sizes[0] += U64(length)
+        value, length = U64(0), 0
+        if not space[-1]:
+            value, length = values[-1], int(sizes[-1])
+            values, sizes = values[:-1], sizes[:-1]
+        yield mix(values + sizes)
+    if length:
+        yield mix(np.array([value + U64(length)]))
+
+
+def rolled_up(words: np.ndarray, size: int) -> np.ndarray:
+    """One hash for every run of ``size`` words."""
+    count = max(0, words.size - size + 1)
+    rolled = words[:count].copy()
+    for n in range(1, size):
+        rolled *= BASE | U64(1)
+        rolled += words[n : n + count]
+    return mix(rolled)
+
+
+def short_hash(words: np.ndarray) -> np.uint64:
+    """The one hash of a text with fewer words than a shingle."""
+    value = np.array([words.size], dtype=U64)
+    for w in words:
+        value = mix(value * BASE + w)
+    return value[0]
+
+
+def long_set(data: np.ndarray, size: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of one long text."""
+    parts, tail, n = [], np.zeros(0, dtype=U64), 0
+    for words in piece_words(data):
+        n += words.size
+        held = np.r_[tail, words]
+        parts.append(rolled_up(held, size))
+        tail = held[max(0, held.size - size + 1) :]
+    if n < size:
+        return np.array([short_hash(tail)] if n else [], dtype=U64)
+    out = np.concatenate(parts)
+    del parts
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
+
+
+def shingle_sets(texts: list, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, sorted within each text, and where each text's begin (one more bound at the end).
+
+    Texts are strings or UTF-8 bytes; a single long one is taken in pieces.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in texts]
+    if len(raw) == 1 and len(raw[0]) > RUN_BYTES:
+        out = long_set(np.frombuffer(raw[0], dtype=np.uint8), size)
+        return out, np.array([0, out.size])
+    raw = list(map(bytes, raw))
+    words, owner = word_hashes(raw)
+    counts = np.bincount(owner, minlength=len(raw)) if words.size else np.zeros(len(raw), dtype=np.int64)
+    whole = owner[: max(0, words.size - size + 1)] == owner[size - 1 :]
+    rolled = rolled_up(words, size)[whole]
     made = np.maximum(counts - size + 1, np.minimum(counts, 1))
     bounds = np.r_[0, np.cumsum(made)]
     out = np.empty(int(bounds[-1]), dtype=U64)
-    short = (counts > 0) & (counts < size)
     long_rows = np.ones(out.size, dtype=bool)
     first_word = np.r_[0, np.cumsum(counts)]
-    for i in np.flatnonzero(short):
-        value = np.array([counts[i]], dtype=U64)
-        for w in words[first_word[i] : first_word[i + 1]]:
-            value = mix(value * BASE + w)
-        out[bounds[i]] = value[0]
+    for i in np.flatnonzero((counts > 0) & (counts < size)):
+        out[bounds[i]] = short_hash(words[first_word[i] : first_word[i + 1]])
         long_rows[bounds[i]] = False
     out[long_rows] = rolled
     for i in np.flatnonzero(made > 1):
         out[bounds[i] : bounds[i + 1]].sort()
-    row = np.repeat(np.arange(len(texts)), made)
+    row = np.repeat(np.arange(len(raw)), made)
     fresh = np.ones(out.size, dtype=bool)
     fresh[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
-    return out[fresh], np.r_[0, np.cumsum(np.bincount(row[fresh], minlength=len(texts)))] if out.size else np.zeros(len(texts) + 1, dtype=np.int64)
+    return out[fresh], np.r_[0, np.cumsum(np.bincount(row[fresh], minlength=len(raw)))] if out.size else np.zeros(len(raw) + 1, dtype=np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -164,45 +243,58 @@ def signatures(least: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(planes).T).view(np.int64)
 
 
-def sign_batch(texts: list[str], size: int = SHINGLE) -> dict[str, list]:
+def set_digests(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both halves of each set's fingerprint and its minima; a long set, which comes alone, is gone through in slices."""
+    f1, f2, least = np.zeros(starts.size, dtype=U64), np.zeros(starts.size, dtype=U64), np.full((HASHES, starts.size), 0xFFFFFFFF, dtype=np.uint32)
+    step = PIECE if starts.size == 1 else max(1, sets.size)
+    for at in range(0, sets.size, step):
+        part = sets[at : at + step]
+        f1 += np.add.reduceat(mix(part), starts)
+        f2 += np.add.reduceat(mix(part ^ U64(0x5851F42D4C957F2D)), starts)
+        np.minimum(least, minima(part, starts), out=least)
+    return f1, f2, least
+
+
+def sign_batch(texts: list, size: int = SHINGLE) -> dict[str, list]:
     sets, bounds = shingle_sets(texts, size)
     sizes = np.diff(bounds)
     some = np.flatnonzero(sizes)
     f1, f2 = np.zeros(len(texts), dtype=U64), np.zeros(len(texts), dtype=U64)
     bands, sig = [[]] * len(texts), [[]] * len(texts)
     if some.size:
-        starts = bounds[:-1][some]
-        f1[some] = np.add.reduceat(mix(sets), starts)
-        f2[some] = np.add.reduceat(mix(sets ^ U64(0x5851F42D4C957F2D)), starts)
-        least = minima(sets, starts)
+        f1[some], f2[some], least = set_digests(sets, bounds[:-1][some])
         for i, keys, packed in zip(some, band_keys(least).T.astype(np.int64), signatures(least), strict=True):
             bands[i], sig[i] = keys, packed
     return {"n_shingles": sizes, "f1": f1.astype(np.int64), "f2": f2.astype(np.int64), "bands": bands, "sig": sig}
 
 
-def runs(texts: list[str], most: int = 400_000) -> Iterator[slice]:
-    """Runs of texts of bounded size, at least one text each."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and held + len(text) > most:
-            yield slice(start, i)
-            start, held = i, 0
-        held += len(text)
-    if texts:
-        yield slice(start, len(texts))
+def raw_runs(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, list]]:
+    """Runs of texts of bounded size as bytes, at least one text each, and their ids. The bytes are views, not copies."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        done = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, done + RUN_BYTES, side="right")))
+        part = texts.slice(start, stop - start)
+        yield ids.slice(start, stop - start), [t.as_buffer() if stop - start == 1 else t.as_buffer().to_pybytes() for t in part]
+        start = stop
+
+
+SIGNED_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
 
 def sign_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """Set size, fingerprint, band keys and signature of every row."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            for part in runs(texts):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].array, **sign_batch(texts[part], size)})
+            for ids, texts in raw_runs(batch.column(0), batch.column(1)):
+                made = sign_batch(texts, size)
+                columns = [pa.array(c, t) for c, t in zip(made.values(), SIGNED_TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", *made])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInPandas(sign, SIGNED)
+    return source.mapInArrow(sign, SIGNED)
 
 
 def matching(a: str, b: str) -> Column:
@@ -248,15 +340,14 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, si
     few = wanted.count() <= BROADCAST_IDS
     texts = named.join(F.broadcast(wanted) if few else wanted, "rep", "left_semi")
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = batch["text"].tolist()
-            for part in runs(whole):
-                sets, bounds = shingle_sets(whole[part], size)
-                data = [sets[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pd.DataFrame({"rep": batch["rep"].iloc[part].array, "set": data})
+            for ids, part in raw_runs(batch.column(0), batch.column(1)):
+                sets, bounds = shingle_sets(part, size)
+                data = [memoryview(sets[s:e]).cast("B") for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(map(bytes, data), pa.binary())], ["rep", "set"])
 
-    return texts.mapInPandas(build, "rep long, set binary").filter(F.octet_length("set") > 0)
+    return texts.mapInArrow(build, "rep long, set binary").filter(F.octet_length("set") > 0)
 
 
 @F.pandas_udf(LongType())
@@ -316,7 +407,6 @@ def relabel(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept; shingles of ``size`` words."""
-    bound_batches(docs.sparkSession)
     signed = materialize(sign_docs(docs, id_col, text_col, size), "signed")
     # Band keys and signature follow from the set, so any row's will do.
     classes = (
@@ -371,15 +461,19 @@ def still_mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
 def links_across(mixed: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame | None:
     """Links (a, b) between the components that are left in mixed bands, at least one for each two that have any.
 
-    Classes that have a plausible partner in another component of some band are gathered into clusters by their bands.
-    A cluster is cut into blocks of bounded size, and each two blocks are compared in one group: the group tests all of
-    their pairs, yet only confirmed links leave it.
+    In small bands, classes without a plausible partner in another component leave first. What is left is gathered into
+    clusters by shared bands, and a cluster is cut into blocks of bounded size. Groups of two runs of blocks compare
+    signatures and name the classes that have a plausible partner in a block; only those bring their full sets to the
+    group of the two blocks, and only confirmed links leave it.
     """
     facts = mixed.select("band", "rep", "label").join(classes.select("rep", "n", "sig"), "rep")
-    left = facts.select("band", *[F.col(c).alias(f"{c}_a") for c in ("rep", "label", "n", "sig")])
-    right = facts.select(F.col("band").alias("band_b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "n", "sig")])
+    rows = facts.join(facts.groupBy("band").agg((F.count("*") > SMALL_BAND).alias("hot")), "band")
+    small = rows.filter("not hot")
+    left = small.select("band", *[F.col(c).alias(f"{c}_a") for c in ("rep", "label", "n", "sig")])
+    right = small.select(F.col("band").alias("band_b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "n", "sig")])
     met = (F.col("band") == F.col("band_b")) & (F.col("label_a") != F.col("label_b")) & sizes_allow() & (estimate("sig_a", "sig_b") >= least_estimate())
-    open_rows = materialize(left.join(right, met, "left_semi").select("band", F.col("rep_a").alias("rep"), F.col("label_a").alias("label")), "open")
+    paired = left.join(right, met, "left_semi").select("band", F.col("rep_a").alias("rep"), F.col("label_a").alias("label"))
+    open_rows = materialize(paired.unionByName(rows.filter("hot").select("band", "rep", "label")), "open")
     if open_rows.isEmpty():
         return None
     leads = open_rows.groupBy("band").agg(F.min("rep").alias("a"))
@@ -387,13 +481,54 @@ def links_across(mixed: DataFrame, classes: DataFrame, docs: DataFrame, id_col:
     members = relabel(open_rows.select("rep", "label").distinct().withColumn("cluster", F.col("rep")), clusters, "cluster")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    sets = materialize(full_sets(docs, members.select("rep"), id_col, text_col, size), "sets")
-    placed = placed.join(classes.select("rep", "sig"), "rep").join(sets, "rep")
-    met_by = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = met_by.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "label", "sig", "set")
+    placed = materialize(placed.join(classes.select("rep", "n", "sig"), "rep"), "placed")
+    run = F.floor(F.col("own") / BLOCKS_AT_ONCE).cast("int")
+    met_by = placed.withColumn("run", run).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / BLOCKS_AT_ONCE).cast("int"))))
+    slim = met_by.select("cluster", F.least("run", "other").alias("lo"), F.greatest("run", "other").alias("hi"), "run", "own", "rep", "label", "n", "sig")
+    asked = slim.groupBy("cluster", "lo", "hi").applyInPandas(plausible_blocks, "cluster long, rep long, lo int, hi int")
+    asked = materialize(asked.distinct(), "asked")
+    if asked.isEmpty():
+        return None
+    sets = materialize(full_sets(docs, asked.select("rep").distinct(), id_col, text_col, size), "sets")
+    own = placed.select(F.col("rep").alias("own_rep"), "own", "label", "sig")
+    pairs = asked.join(own, F.col("rep") == F.col("own_rep")).join(sets, "rep").select("cluster", "lo", "hi", "own", "rep", "label", "sig", "set")
     return pairs.groupBy("cluster", "lo", "hi").applyInPandas(compare_blocks, "a long, b long")
 
 
+def agreeing(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Similarities estimated between many signatures and one."""
+    words = HASHES // 64
+    differ = np.zeros((len(sig), words), dtype=U64)
+    for p in range(BITS):
+        differ |= sig[:, p * words : (p + 1) * words] ^ one[p * words : (p + 1) * words]
+    chance = 2.0**-BITS
+    return (1 - np.bitwise_count(differ).sum(axis=1) / HASHES - chance) / (1 - chance)
+
+
+def plausible_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """For two runs of blocks (or one and itself): the classes that have a plausible partner in a block, by block pair.
+
+    Both partners are named, so at most as many rows come out as there are classes times blocks of a run.
+    """
+    rows = rows.sort_values("rep", kind="stable")
+    lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
+    left, right = rows[rows["run"] == lo], rows[rows["run"] == hi]
+    if left.empty or right.empty:
+        return pd.DataFrame({"cluster": [], "rep": [], "lo": [], "hi": []}, dtype="int64")
+    sig = np.stack(right["sig"].to_numpy()).view(U64)
+    label, n, block, reps = (right[c].to_numpy() for c in ("label", "n", "own", "rep"))
+    found = set()
+    for rep, own, own_label, own_n, own_sig in left[["rep", "own", "label", "n", "sig"]].itertuples(index=False):
+        fits = (label != own_label) & (np.minimum(n, own_n) * SHARE[1] >= np.maximum(n, own_n) * SHARE[0])
+        if not fits.any():
+            continue
+        for i in np.flatnonzero(fits & (agreeing(sig, np.asarray(own_sig).view(U64)) >= least_estimate())):
+            pair = (min(own, block[i]), max(own, block[i]))
+            found |= {(rep, *pair), (reps[i], *pair)}
+    cluster = rows["cluster"].iloc[0]
+    return pd.DataFrame([(cluster, *x) for x in sorted(found)], columns=["cluster", "rep", "lo", "hi"], dtype="int64")
+
+
 def compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     """Confirmed links between two blocks (or within one): one for each two components that have any."""
     rows = rows.sort_values("rep", kind="stable")
@@ -409,15 +544,9 @@ def compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     starts = np.r_[0, np.cumsum(np.bincount(at, minlength=hashes.size))]
     sig = np.stack(right["sig"].to_numpy()).view(U64)
     rep, label = right["rep"].to_numpy(), right["label"].to_numpy()
-    words = HASHES // 64
     a, b, seen = [], [], set()
     for own, own_label, own_sig, data in zip(left["rep"], left["label"], left["sig"], left["set"], strict=True):
-        differ = np.zeros((len(sets), words), dtype=U64)
-        for p in range(BITS):
-            differ |= sig[:, p * words : (p + 1) * words] ^ np.asarray(own_sig).view(U64)[p * words : (p + 1) * words]
-        agree = 1 - np.bitwise_count(differ).sum(axis=1) / HASHES
-        chance = 2.0**-BITS
-        likely = ((agree - chance) / (1 - chance) >= least_estimate()) & (label != own_label)
+        likely = (agreeing(sig, np.asarray(own_sig).view(U64)) >= least_estimate()) & (label != own_label)
         if not likely.any():
             continue
         own_set = np.frombuffer(data, dtype=U64)
@@ -443,17 +572,18 @@ def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str,
     return confirm(likely, materialize(sets, "sets"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = STAGE_SHINGLE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """Keep one document of each component."""
-    found = near_duplicates(docs, id_col, text_col, size).filter("not kept").select(F.col("doc_id").alias("_dropped"))
+    found = near_duplicates(docs, id_col, text_col, size).filter("not kept").select(F.col("doc_id").alias("dropped"))
     gone = materialize(found.distinct(), "dropped")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(F.broadcast(gone) if few else gone, F.col("id") == F.col("dropped"), "left_anti").select("own.*")
 
 
 def op7_minhash_dedup(spark, sf_dir):
     """Near duplicates among all documents."""
-    return near_duplicates(read_spread(spark, sf_dir, "documents", "doc_id", "text"), size=SHINGLE)
+    return near_duplicates(read_spread(spark, sf_dir, "documents", "doc_id", "text"), size=OP7_SHINGLE)
 
 
 ORACLE = r"""
