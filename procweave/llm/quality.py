@@ -22,10 +22,11 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procweave.llm.shared import bound_batches, read_spread
+from procweave.llm.shared import read_spread, text_runs
 
 #: The most labelled rows that the model is fitted on.
 FIT_ROWS = 6000
@@ -37,6 +38,9 @@ BYTE_BINS, SIZES, COST, PASSES, SMOOTH = 1 << 16, (1, 2, 3), 1.0, 12, 1.0
 REPEATS = 4
 BINS = BYTE_BINS + (1 << REPEATS)
 
+#: Bytes of texts that are Python strings at once; a single longer text is alone.
+RUN_BYTES = 4_000_000
+
 #: Scores from here on mean label 1.
 THRESHOLD = 0.3
 
@@ -155,7 +159,6 @@ def fold(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit the model on at most fit_rows labelled rows outside the held-out fold."""
-    bound_batches(docs.sparkSession)
     rows = (
         labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0))
         .groupBy(F.col(id_col).alias("label_id"))
@@ -194,10 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
 def score_column(model: Model):
     """A Spark column function: the score of a text column."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([model.score(text) for text in batch], dtype="float64")
+            yield pa.array([model.score(text) for run in text_runs(batch, RUN_BYTES) for text in run], pa.float64())
 
     return score
 
@@ -217,7 +220,7 @@ def op5_quality_classifier(spark, sf_dir):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that a model fitted on them and their labels does not reject, with their own columns."""
+    """The documents that a model fitted on them and their labels does not reject, with their own columns, whatever their names."""
     model = train(docs, labels)
-    narrow = docs.withColumn("_score", score_column(model)(F.coalesce(F.col("text"), F.lit(""))))
-    return narrow.filter(F.col("_score") >= THRESHOLD).drop("_score")
+    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), score_column(model)(F.coalesce(F.col("text"), F.lit(""))).alias("score"))
+    return scored.filter(F.col("score") >= THRESHOLD).select("own.*")

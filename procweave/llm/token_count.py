@@ -17,17 +17,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procweave.llm.shared import bound_batches, read_spread
+from procweave.llm.shared import read_spread, text_runs
 
 #: Pre-tokens whose counts a worker keeps, and pre-tokens merged at once.
 KNOWN_LIMIT = 400_000
 MERGE_BATCH = 20_000
 
+#: Bytes of texts that are counted at once; a single longer text is counted alone.
+RUN_BYTES = 2_000_000
+
 #: Fixed value: the pre-token pattern of the vocabulary, white space spelled out.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 
@@ -130,39 +133,24 @@ def counter(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def slices(texts: list[str], most_chars: int = 2_000_000) -> Iterator[list[str]]:
-    """Runs of texts of bounded size, at least one text each."""
-    part, held = [], 0
-    for text in texts:
-        if part and held + len(text) > most_chars:
-            yield part
-            part, held = [], 0
-        part.append(text)
-        held += len(text)
-    if part:
-        yield part
-
-
 def token_counter(tokenizer: str):
     """A Spark column function: the number of tokens of a text column, by the named public vocabulary or a path."""
 
-    @F.pandas_udf("long")
-    def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import os
 
         import public_tokenizers
 
         bpe = counter(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer))
         for batch in batches:
-            texts = batch.fillna("").tolist()
-            yield pd.Series([n for part in slices(texts) for n in bpe.count(part)], dtype="int64")
+            yield pa.array([n for part in text_runs(batch, RUN_BYTES) for n in bpe.count(part)], pa.int64())
 
     return n_tokens
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text_col: str = "text") -> DataFrame:
     """Add n_bytes, n_tokens and over_limit (n_tokens > limit) to every row."""
-    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.withColumns(
         {"n_bytes": F.octet_length(text).cast("long"), "n_tokens": token_counter(tokenizer)(text)}

@@ -186,7 +186,7 @@ def components(docs):
 
 
 def near(spark, docs):
-    got = minhash.near_duplicates(spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, rep int"))
+    got = minhash.near_duplicates(spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, rep int"), size=minhash.OP7_SHINGLE)
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str), got
 
 
@@ -229,8 +229,41 @@ def test_many_unlike_texts_that_share_bands(spark, monkeypatch):
         for at in rng.sample(range(120), 5):
             copy[at] = f"n{i}-{at}"
         docs.append((i, " ".join(copy)))
-    got, _ = near(spark, docs)
-    assert got == sorted(components(docs), key=str)
+    for small in (256, 4):
+        monkeypatch.setattr(minhash, "SMALL_BAND", small)
+        monkeypatch.setattr(minhash, "BLOCKS_AT_ONCE", 2)
+        got, _ = near(spark, docs)
+        assert got == sorted(components(docs), key=str)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """A text in pieces, words cut by them, has the set and the digests that it has at once."""
+    rng = random.Random(7)
+    texts = [sentence(rng, 900) + " " * 40 + "x" * 300 + "\tÄÖ " + sentence(rng, 40).upper(), "y" * 1000, "z" * 64, "a b", " " * 500, "A" * 31 + " " + "b" * 33]
+    for size in (1, 4, 5):
+        whole = [minhash.sign_batch([t.encode()], size) for t in texts]
+        sets = [minhash.shingle_sets([t], size)[0].tolist() for t in texts]
+        monkeypatch.setattr(minhash, "RUN_BYTES", 0)
+        monkeypatch.setattr(minhash, "PIECE", 32)
+        for t, one, held in zip(texts, whole, sets, strict=True):
+            assert minhash.shingle_sets([t], size)[0].tolist() == held
+            again = minhash.sign_batch([t.encode()], size)
+            assert all(np.array_equal(np.asarray(one[c][0]), np.asarray(again[c][0])) for c in one)
+        monkeypatch.undo()
+
+
+def test_a_very_long_text_takes_little_memory():
+    """200 MB of one text (33,333,334 words): the worker's peak stays under 1.5 GB, the text itself included."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run(
+        [sys.executable, "-c", "import resource, numpy as np\nfrom procweave.llm import minhash\ndata = np.random.default_rng(1).integers(97, 123, 200_000_000, dtype=np.uint8)\ndata[::6] = 32\nmade = minhash.sign_batch([memoryview(data)])\nprint(int(made['n_shingles'][0]), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"],
+        cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, check=True,
+    )
+    shingles, peak = map(int, said.stdout.split())
+    assert shingles == 33_333_330 and peak < 1500
 
 
 def test_near_duplicates_with_null_and_repeated_ids(spark):
@@ -255,7 +288,8 @@ def test_stage_takes_shingles_of_five_words(spark):
     alike = {(i, j) for i in range(3) for j in range(i) if 100 * len(by_five[i] & by_five[j]) >= 80 * len(by_five[i] | by_five[j])}
     assert alike == {(2, 0)}
     assert sorted(r["doc_id"] for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()) == [0, 1]
-    assert {r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {0}
+    assert {r["component_id"] for r in minhash.near_duplicates(docs, size=minhash.OP7_SHINGLE).collect()} == {0}
+    assert sorted(r["doc_id"] for r in minhash.drop_near_duplicates(docs).collect()) == [0, 1]
 
 
 def test_no_near_duplicates_in_nothing(spark):
@@ -270,7 +304,7 @@ def test_estimates_are_close():
     for at in rng.sample(range(3000), 150):
         other[at] = "x"
     texts = [" ".join(base), " ".join(other)]
-    sets, bounds = minhash.shingle_sets(texts)
+    sets, bounds = minhash.shingle_sets(texts, minhash.OP7_SHINGLE)
     least = minhash.minima(sets, bounds[:-1])
     sig = minhash.signatures(least).view(np.uint64)
     words = minhash.HASHES // 64
