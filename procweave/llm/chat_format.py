@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 HEAD, HEAD_END, TURN_END = "### ", ":\n", "\n</turn>\n"
 
-#: Bytes that are assembled at once; a single longer turn is assembled alone.
-BLOCK_BYTES = 4_000_000
+#: Bytes that are assembled at once; a single longer turn is assembled alone, and segments from LONG_SEGMENT on are copied
+#: whole instead of byte by byte, so a long turn needs no indices.
+BLOCK_BYTES, LONG_SEGMENT = 4_000_000, 65_536
 
 FORMATTED = "conv_id long, part long, n_turns long, formatted binary, loss array<struct<start: long, end: long>>"
 READ_BACK = (
@@ -43,19 +44,27 @@ def escape(column: pa.Array) -> pa.Array:
     return column
 
 
-def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text, flags=re.S) if "\\" in text else text
+def unescape(text):
+    """Undo ``escape`` on a string or on its bytes."""
+    if isinstance(text, str):
+        return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text, flags=re.S) if "\\" in text else text
+    return re.sub(rb"\\(.)", lambda m: b"\n" if m[1] == b"n" else m[1], text, flags=re.S) if b"\\" in text else text
 
 
 def scatter(out: np.ndarray, starts: np.ndarray, column: pa.Array) -> None:
     """Copy each row of a binary column into out, at its start."""
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     lengths = np.diff(offsets)
-    total = int(lengths.sum())
-    if total:
-        source = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-        shift = starts - (offsets[:-1] - offsets[0])
-        out[np.arange(total) + np.repeat(shift, lengths)] = source
+    if not lengths.any():
+        return
+    source = np.frombuffer(column.buffers()[2], dtype=np.uint8)
+    large = lengths >= LONG_SEGMENT
+    for start, at, size in zip(starts[large], offsets[:-1][large], lengths[large], strict=True):
+        out[start : start + size] = source[at : at + size]
+    starts, begins, lengths = starts[~large], offsets[:-1][~large], lengths[~large]
+    # Where each byte of the other segments comes from and goes to.
+    within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[within + np.repeat(starts, lengths)] = source[within + np.repeat(begins, lengths)]
 
 
 def byte_lengths(column: pa.Array) -> np.ndarray:
@@ -131,7 +140,13 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return ordered.select("conv_id", "role", "text").mapInArrow(format_batches, FORMATTED)
 
 
-MARKED = re.compile(r"### (.*?):\n(.*?)\n</turn>\n", re.S)
+MARKED = re.compile(rb"### (.*?):\n(.*?)\n</turn>\n", re.S)
+
+
+def count_chars(data) -> int:
+    """Code points of UTF-8 bytes, a bounded number of bytes at a time."""
+    whole = np.frombuffer(data, dtype=np.uint8)
+    return sum(int(((whole[at : at + BLOCK_BYTES] & 0xC0) != 0x80).sum()) for at in range(0, whole.size, BLOCK_BYTES))
 
 
 def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,21 +165,23 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         done = []
-        for item in batch.to_pylist():
-            if item["part"] == 0:
+        ids, parts, spans = (batch.column(n).to_pylist() for n in ("conv_id", "part", "loss"))
+        for conv_id, part, loss, formatted in zip(ids, parts, spans, batch.column("formatted"), strict=True):
+            if part == 0:
                 if state:
                     done.append(row())
-                open_id, state = item["conv_id"], [hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-            data = item["formatted"]
-            text = data.decode()
-            for role, body in MARKED.findall(text):
-                state[0].update(f"{unescape(role)}\n{unescape(body)}\n".encode())
+                open_id, state = conv_id, [hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+            # A view of the bytes: a long conversation is not copied but turn by turn.
+            data = memoryview(formatted.as_buffer())
+            for turn in MARKED.finditer(data):
+                for piece in (unescape(turn[1]), b"\n", unescape(turn[2]), b"\n"):
+                    state[0].update(piece)
                 state[1] += 1
-            for span in item["loss"]:
-                taught = unescape(data[span["start"] : span["end"]].decode())
-                state[2].update(taught.encode())
-                state[3] += len(taught)
-            state[4] += len(text)
+            for span in loss:
+                taught = unescape(bytes(data[span["start"] : span["end"]]))
+                state[2].update(taught)
+                state[3] += count_chars(taught)
+            state[4] += count_chars(data)
         yield packed(done)
     if state:
         yield packed([row()])
