@@ -95,14 +95,22 @@ def columns(defined: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def primary_keys(defined: DataFrame, keys: list[str], scope: str = "table") -> DataFrame:
-    """Columns of named primary keys; ``scope="script"`` is the coded rule, by which every table gets all keys."""
+def primary_keys(defined: DataFrame, keys: list[str], scope: str = "table", script: str | None = None) -> DataFrame:
+    """Columns of named primary keys; ``scope="script"`` is the coded rule, by which every table gets all keys of its script.
+
+    script is the column that tells scripts apart; without one, all tables come from one script.
+    """
     pattern = r"(?i)CONSTRAINT\s+\w+\s+PRIMARY\s+KEY\s*(?:CLUSTERED\s*|NONCLUSTERED\s*)?\(([^)]*)\)"
     named = defined.select(*keys, F.explode(found(F.col("body"), pattern, 1)).alias("names"))
     rows = named.select(*keys, F.posexplode(F.split("names", ",")).alias("at", "name"))
     own = rows.select(*keys, F.col("at").cast("long").alias("key_place"), F.regexp_replace(F.trim("name"), r"^\[?(\w+)\]?.*$", "$1").alias("column_name"))
     inline = columns(defined, keys).filter("is_primary_key").select(*keys, F.lit(0).cast("long").alias("key_place"), "column_name")
-    return own.unionByName(inline) if scope == "table" else own.select("column_name").distinct().join(defined.select(*keys))
+    if scope == "table":
+        return own.unionByName(inline)
+    of = F.col(script) if script else F.lit(1)
+    named = defined.select(of.alias("_script"), F.explode(found(F.col("body"), pattern, 1)).alias("names")).select("_script", F.explode(F.split("names", ",")).alias("name"))
+    all_keys = named.select("_script", F.regexp_replace(F.trim("name"), r"^\[?(\w+)\]?.*$", "$1").alias("column_name")).distinct()
+    return defined.select(of.alias("_script"), *keys).join(all_keys, "_script").select("column_name", *keys)
 
 
 def foreign_keys(defined: DataFrame, keys: list[str]) -> DataFrame:

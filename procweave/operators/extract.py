@@ -27,9 +27,18 @@ def found(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value made once however often it is used there."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Whichever of a block comment, a line comment and a literal begins first hides the others.
+HIDDEN = r"(?s)/\*.*?\*/|--[^\n]*|\bN?'[^']*+(?:''[^']*+)*+'|'[^']*+(?:''[^']*+)*+'"
+
+
 def bare(text: Column) -> Column:
-    """A text without line comments."""
-    return F.regexp_replace(text, "--[^\n]*", "")
+    """A text whose comments and literals are blanks, so that only code is left."""
+    return F.regexp_replace(text, HIDDEN, " ")
 
 
 def procedure_name(text: Column) -> tuple[Column, Column]:
@@ -64,6 +73,7 @@ def staging_name(temp: Column) -> Column:
 
 
 CREATE_TEMP = r"(?i)CREATE\s+TABLE\s+(#{1,2}\w+)\s*\(((?:[^()]|\([^()]*\))*)\)"
+#: Fixed value: the coded rule ends at the first closing bracket.
 CODED_CREATE_TEMP = r"(?i)CREATE\s+TABLE\s+(#{1,2}\w+)\s*\(([^)]+)\)"
 INTO_TEMP = r"(?i)\bSELECT\b[^;]*?\bINTO\s+(#{1,2}\w+)"
 
@@ -110,15 +120,48 @@ def called_procedures(text: Column, mode: str = "documented") -> Column:
     return F.filter(names, lambda n: ~F.rlike(n, F.lit(system)))
 
 
+#: Words that end a table's place and so are never its alias, nor a table.
+CLAUSE = (
+    r"(?:ON|WHERE|INNER|LEFT|RIGHT|FULL|CROSS|OUTER|JOIN|GROUP|ORDER|HAVING|SET|SELECT|VALUES|UNION|EXCEPT|INTERSECT|MINUS|WHEN|USING|WITH|OUTPUT|FROM|EXEC|EXECUTE|OPTION"
+    r"|FOR|INTO|UPDATE|DELETE|INSERT|MERGE|DECLARE|IF|ELSE|BEGIN|END|RETURN|WHILE|PRINT|DEFAULT|GO|TOP|OPEN|FETCH|CLOSE|COMMIT|ROLLBACK|CONNECT|START|RETURNING|LOOP|BULK|STATISTICS)\b"
+)
+TABLE_NAME = r"(?:\[?#{0,2}\w+\]?\.){0,3}\[?#{0,2}\w+\]?"
+TABLE_ITEM = rf"(?!{CLAUSE}){TABLE_NAME}(?:(?:\s+AS)?\s+(?!{CLAUSE}|AS\b)\[?\w+\]?)?(?:\s*WITH\s*\([^)]*\))?"
+TABLE_LIST = rf"(?i)\b(?:FROM|JOIN|USING|INTO|UPDATE|(?:INSERT|MERGE|DELETE)(?:\s+(?:INTO|FROM))?)\s+({TABLE_ITEM}(?:\s*,\s*{TABLE_ITEM})*+)"
+COMMON_TABLE = r"(?i)(?:\bWITH|,)\s+(\w+)(?:\s*\([^)]*\))?\s+AS\s*\("
+CURSOR_READ = r"(?i)\bFETCH\s+(?:(?:NEXT|PRIOR|FIRST|LAST)\s+)?FROM\s+\w+"
+
+
+def listed(lists: Column) -> Column:
+    """The tables of comma lists, in order: structs (name, alias in lower case or null)."""
+    items = F.flatten(F.transform(lists, lambda x: F.split(F.regexp_replace(x, r"(?i)\s*WITH\s*\([^)]*\)", ""), r"\s*,\s*")))
+
+    def parts(item):
+        words = F.split(F.trim(F.regexp_replace(item, r"[\[\]]", "")), r"\s+(?:(?i:AS)\s+)?")
+        return F.struct(F.get(words, F.lit(0)).alias("name"), F.lower(F.get(words, F.lit(1))).alias("alias"))
+
+    return F.transform(items, parts)
+
+
 def referenced_tables(text: Column) -> Column:
-    """Tables after FROM, JOIN, INTO, UPDATE and MERGE, each once, in order of appearance.
+    """Tables after FROM (lists too), JOIN, USING, INTO, INSERT, UPDATE, DELETE and MERGE, each once, in order of appearance.
 
-    Temporary and pseudo tables are none, and neither are objects of other servers (four-part names).
+    Temporary and pseudo tables are none, and neither are objects of other servers (four-part names), names of common
+    table expressions, cursors, aliases that an UPDATE or DELETE names, or what stands in comments and literals.
     """
-    names = found(bare(text), TABLE_WORD, 1)
-    local = F.filter(names, lambda n: F.size(F.split(n, "[.]")) < 4)
-    last = F.transform(local, lambda n: F.regexp_replace(F.element_at(F.split(n, "[.]"), -1), r"[\[\]]", ""))
-    return F.array_distinct(F.filter(last, lambda n: ~n.startswith("#") & ~F.lower(n).isin(*PSEUDO_TABLES)))
+
+    def named(code):
+        tables = listed(found(code, TABLE_LIST, 1)).alias("tables")
+        return let(F.struct(tables, F.transform(found(code, COMMON_TABLE, 1), lambda n: F.lower(n)).alias("common")), local)
+
+    def local(s):
+        # A bare name that is another table's alias stands for that table.
+        own = lambda t: t["alias"].isNotNull() | ~F.exists(s["tables"], lambda o: F.coalesce(o["alias"] == F.lower(t["name"]), F.lit(False)))
+        here = F.filter(s["tables"], lambda t: (F.size(F.split(t["name"], "[.]")) < 4) & own(t))
+        names = F.array_distinct(F.transform(here, lambda t: F.element_at(F.split(t["name"], "[.]"), -1)))
+        return F.filter(names, lambda n: ~n.startswith("#") & ~F.lower(n).isin(*PSEUDO_TABLES) & ~F.array_contains(s["common"], F.lower(n)))
+
+    return let(F.regexp_replace(bare(text), CURSOR_READ, " "), named)
 
 
 #: First words of a line and the block that they open, in the order of the tests.

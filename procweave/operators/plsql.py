@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procweave.functions.dialect import snake_case
-from procweave.operators.extract import bare, found
+from procweave.operators.extract import CLAUSE, COMMON_TABLE, bare, found, let, listed
 from procweave.sources.corpus import lines_of
 
 SPEC = r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?PACKAGE\s+(?!BODY)"
@@ -100,12 +100,25 @@ def called(text: Column) -> Column:
     return F.array_distinct(F.concat(by_call, F.filter(qualified, lambda n: ~F.upper(F.substring_index(n, ".", 1)).isin(*SYSTEM_PACKAGES))))
 
 
+PL_ITEM = rf"(?!{CLAUSE})(?:\w+\.)?\w+\b(?!\s*[(@.])(?:\s+(?!{CLAUSE}|AS\b)\w+\b(?!\s*[(.:]))?"
+PL_LIST = rf"(?i)\b(?:FROM|JOIN|INTO|UPDATE|DELETE(?:\s+FROM)?|MERGE\s+INTO)\s+({PL_ITEM}(?:\s*,\s*{PL_ITEM})*+)"
+
+
 def tables(text: Column) -> Column:
-    """Tables after FROM, JOIN, INTO, UPDATE and MERGE INTO, each once; no links, calls, DUAL, variables or own types."""
-    own = bare(body(text))
-    names = found(own, r"(?i)\b(?:FROM|JOIN|INTO|UPDATE|MERGE\s+INTO)\s+(?:\w+\.)?(\w+)\b(?!\s*[(@.])", 1)
-    temps = F.transform(collections(text), lambda t: F.upper(t))
-    return F.array_distinct(F.filter(names, lambda n: (F.upper(n) != "DUAL") & ~F.rlike(n, F.lit("^[vlp]_")) & ~F.array_contains(temps, F.upper(n))))
+    """Tables after FROM (lists too), JOIN, INTO, UPDATE, DELETE and MERGE INTO, each once.
+
+    Links, calls, DUAL, variables, own types, common table expressions and what stands in comments and literals are none.
+    """
+
+    def named(own):
+        names = F.transform(listed(found(own, PL_LIST, 1)), lambda t: F.element_at(F.split(t["name"], "[.]"), -1))
+        other = F.concat(F.transform(collections(text), lambda t: F.upper(t)), F.transform(found(own, COMMON_TABLE, 1), lambda n: F.upper(n)), F.array(F.lit("DUAL")))
+        return let(F.struct(names.alias("names"), other.alias("other")), kept)
+
+    def kept(s):
+        return F.array_distinct(F.filter(s["names"], lambda n: ~F.rlike(n, F.lit("^[vlp]_")) & ~F.array_contains(s["other"], F.upper(n))))
+
+    return let(bare(body(text)), named)
 
 
 #: First words of a line and the block that they open, in the order of the tests.

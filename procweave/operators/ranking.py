@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from procweave.operators.graph import cut
 
-def global_row_number(df: DataFrame, value: str, ties: list[str], descending: bool = True, buckets: int = 64, into: str = "row_num") -> DataFrame:
-    """Number rows from 1 by a numeric column (nulls last), ties in the given order.
 
-    Approximate quantiles cut the values into ranges. Each range is numbered by itself and moved up by the number of
-    rows in the ranges before it, so no task sees more than a range; equal values always share one.
+def global_row_number(df: DataFrame, value: str, ties: list[str], descending: bool = True, into: str = "row_num") -> DataFrame:
+    """Number rows from 1 by a column (nulls last), ties in the given order.
+
+    Rows are dealt by ranges of the value and the ties together, so a value that many rows share fills many ranges. Each
+    range is numbered by itself and moved up by the number of rows in the ranges before it. The dealt rows are written
+    once, so a range keeps its rows whatever is lost later.
     """
-    cuts = df.select(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 1000).alias("q")).first()["q"]
-    bounds = sorted(set(cuts or []))
-    number = F.col(value).cast("double")
-    above = sum((F.when(number > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
-    place = (F.lit(len(bounds)) - above if descending else above).cast("int")
-    ranged = df.withColumn("_range", F.when(number.isNull(), F.lit(len(bounds) + 1)).otherwise(place))
+    order = [F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last(), *[F.col(t).asc() for t in ties]]
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    # At most one row a range: bounded by buckets.
+    # One row a range: bounded by the number of shuffle partitions.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("_range"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    within = Window.partitionBy("_range").orderBy(order, *[F.col(t) for t in ties])
+    within = Window.partitionBy("_range").orderBy(*order)
     numbered = ranged.join(F.broadcast(starts), "_range").withColumn(into, F.row_number().over(within) + F.col("_start"))
     return numbered.drop("_range", "_start").withColumn(into, F.col(into).cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from procweave.operators import catalog as c
 from procweave.operators import extract as x
-from procweave.plans.extraction import WITH, corpus
+from procweave.plans.extraction import PLAIN_TABLES, WITH, corpus
 from procweave.registry import query
 from procweave.session import table
 
@@ -94,8 +94,7 @@ def info_references(spark, sf_dir):
     return refs.join(usage, "unique_name").select("table_name", "column_name", "referenced_table", "referenced_column")
 
 
-REFERENCED = f"""{WITH}, found AS (SELECT k, unnest(regexp_extract_all(raw_sql, '(?:FROM|JOIN|INTO|UPDATE) ([#\\w.]+)', 1)) AS t FROM corpus),
-refd AS (SELECT DISTINCT t AS table_name FROM found WHERE NOT starts_with(t, '#') AND NOT contains(t, '.'))"""
+REFERENCED = f"{PLAIN_TABLES}, refd AS (SELECT DISTINCT t AS table_name FROM true_tables)"
 
 
 def referenced(spark, sf_dir):

@@ -171,7 +171,7 @@ def syspkg(spark, sf_dir):
 
 
 @query("px_table_refs", f"""{UNITS}, f AS (SELECT unit, unnest(regexp_extract_all(raw_sql, '(?:FROM|INTO|UPDATE) (\\w+)[^\\w@]', 1)) AS t FROM units)
-SELECT DISTINCT unit, t AS table_name FROM f WHERE NOT regexp_matches(t, '^[vlp]_')""")
+SELECT DISTINCT unit, t AS table_name FROM f WHERE NOT regexp_matches(t, '^[vlp]_') AND t <> 'old_rows'""")
 def unit_tables(spark, sf_dir):
     return keyed(spark, sf_dir).select("unit", F.explode(px.tables(F.col("raw_sql"))).alias("table_name"))
 

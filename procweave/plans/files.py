@@ -198,11 +198,9 @@ def capture(spark, sf_dir):
 @query("lg_websocket", "SELECT event_id, event_type FROM events WHERE user_id = 3")
 def websocket(spark, sf_dir):
     """One subscriber's own query over the stream, to the end of what is there."""
-    import uuid
-
-    name = f"follow_{uuid.uuid4().hex}"
-    logs.follow(logs.read_log(spark, log_copy(spark, sf_dir)), 3, name, sinks.shared_folder(spark, "mark")).awaitTermination()
-    return spark.table(name).select("event_id", "event_type")
+    out, mark = sinks.shared_folder(spark, "followed"), sinks.shared_folder(spark, "mark")
+    logs.follow(logs.read_log(spark, log_copy(spark, sf_dir)), 3, out, mark).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "event_type")
 
 
 @query("lg_poll", "SELECT user_id AS run_id, count(*)::BIGINT AS open_entries FROM events WHERE event_type NOT IN ('purchase', 'error') GROUP BY 1")

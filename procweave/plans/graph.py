@@ -116,6 +116,9 @@ UNION ALL SELECT k, '#WorkSet' || (k % 5), 'USES_TEMP_TABLE', NULL FROM corpus
 UNION ALL SELECT k, '##SharedRows', 'USES_TEMP_TABLE', NULL FROM corpus WHERE k % 2 = 0
 UNION ALL SELECT p_partkey, unnest(['T' || p_size, 'U' || (p_partkey % 7)]), 'USES_TABLE', NULL FROM part
 UNION ALL SELECT k, 'OrderTotals', 'USES_TABLE', NULL FROM corpus WHERE k % 5 = 0
+UNION ALL SELECT k, unnest(['Alpha', 'Beta']), 'USES_TABLE', NULL FROM corpus WHERE k % 6 = 1
+UNION ALL SELECT k, 'Base', 'USES_TABLE', NULL FROM corpus WHERE k % 6 = 4
+UNION ALL SELECT k, 'OldRows', 'USES_TABLE', NULL FROM corpus WHERE k % 6 = 0
 UNION ALL SELECT k, 'ActionMap', 'USES_TABLE', NULL FROM corpus WHERE k % 10 = 7)"""
 
 

@@ -83,6 +83,11 @@ def tsql_corpus(parts: DataFrame) -> DataFrame:
         at(7, 3, F.lit("    EXEC xp_logevent 60000, 'done';")),
         F.concat(F.lit("    SELECT a.x FROM T"), s(F.col("p_size")), F.lit(" a JOIN U"), s(k % 7), F.lit(" b ON a.x = b.x;")),
         at(5, 0, F.lit("    UPDATE OrderTotals SET x = 1 WHERE Id = @Id;")),
+        at(6, 0, F.lit("    DELETE OldRows;")),
+        at(6, 1, F.lit("    SELECT a.x FROM Alpha a, dbo.Beta AS b, #WorkSet0 c WHERE a.x = b.x;")),
+        at(6, 2, F.lit("    /* SELECT x FROM Ghost; EXEC dbo.usp_Ghost; */")),
+        at(6, 3, F.lit("    SET @note = 'select y from Str';")),
+        at(6, 4, F.lit("    WITH Recent AS (SELECT x FROM Base) SELECT x FROM Recent;")),
         at(4, 1, F.lit("    SET @sql = 'SELECT 1';")),
         at(4, 1, F.lit("    EXEC(@sql);")),
         at(4, 2, F.lit("    SET @sql = 'SELECT * FROM ' + @Mode;")),
@@ -114,6 +119,11 @@ corpus AS (SELECT p_partkey AS k, concat_ws(chr(10),
   CASE WHEN p_partkey % 7 = 3 THEN '    EXEC xp_logevent 60000, ''done'';' END,
   '    SELECT a.x FROM T' || p_size || ' a JOIN U' || (p_partkey % 7) || ' b ON a.x = b.x;',
   CASE WHEN p_partkey % 5 = 0 THEN '    UPDATE OrderTotals SET x = 1 WHERE Id = @Id;' END,
+  CASE WHEN p_partkey % 6 = 0 THEN '    DELETE OldRows;' END,
+  CASE WHEN p_partkey % 6 = 1 THEN '    SELECT a.x FROM Alpha a, dbo.Beta AS b, #WorkSet0 c WHERE a.x = b.x;' END,
+  CASE WHEN p_partkey % 6 = 2 THEN '    /* SELECT x FROM Ghost; EXEC dbo.usp_Ghost; */' END,
+  CASE WHEN p_partkey % 6 = 3 THEN '    SET @note = ''select y from Str'';' END,
+  CASE WHEN p_partkey % 6 = 4 THEN '    WITH Recent AS (SELECT x FROM Base) SELECT x FROM Recent;' END,
   CASE WHEN p_partkey % 4 = 1 THEN '    SET @sql = ''SELECT 1'';' END,
   CASE WHEN p_partkey % 4 = 1 THEN '    EXEC(@sql);' END,
   CASE WHEN p_partkey % 4 = 2 THEN '    SET @sql = ''SELECT * FROM '' + @Mode;' END,

@@ -38,10 +38,9 @@ def append_log(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def follow(stream: DataFrame, run_id: int, name: str, checkpoint: str):
-    """One subscriber's query: the entries of one run, into a table in memory, until all that is there is read."""
-    mine = stream.filter(F.col("user_id") == run_id)
-    return mine.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def follow(stream: DataFrame, run_id: int, path: str, checkpoint: str):
+    """One subscriber's query: the entries of one run, appended to a folder of its own, until all that is there is read."""
+    return append_log(stream.filter(F.col("user_id") == run_id), path, checkpoint)
 
 
 def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

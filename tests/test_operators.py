@@ -332,3 +332,48 @@ def test_filters_and_columns_reach_the_scan(spark, small_dir):
     assert "PushedFilters: [IsNotNull(o_custkey)" in plan and "o_orderpriority" not in plan
     top = registry.QUERIES["so_top_n"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in top
+
+
+# Tables and calls that plain patterns miss or make up
+
+
+TRICKY = r"""CREATE PROC dbo.usp_T @d INT AS
+BEGIN
+/* select x FROM Ghost; EXEC usp_Ghost
+   FROM Ghost2 */
+SELECT 'it''s FROM Str -- no comment', N'EXEC usp_Str' FROM A a, [dbo].[B] AS b WITH (NOLOCK), C; -- FROM Line; EXEC usp_Line
+WITH x AS (SELECT 1 AS n FROM D), y (n) AS (SELECT n FROM x) INSERT INTO E SELECT n FROM y LEFT JOIN F ON 1 = 1;
+DELETE G WHERE n = 1; DELETE FROM H; UPDATE h SET n = 1 FROM Things h JOIN #tmp t ON t.n = h.n;
+MERGE INTO I USING J AS j ON I.n = j.n WHEN MATCHED THEN UPDATE SET n = 1;
+FETCH NEXT FROM cur INTO @d;
+SELECT n FROM Srv.Db.dbo.Remote; SELECT n FROM inserted
+EXEC dbo.usp_Real @d; INSERT K VALUES (1)
+END"""
+
+
+def test_tables_and_calls_in_code_only(spark):
+    df = spark.createDataFrame([(1, TRICKY)], "k long, raw_sql string")
+    (r,) = rows(df.select(extract.referenced_tables(F.col("raw_sql")).alias("tables"), extract.called_procedures(F.col("raw_sql")).alias("calls")))
+    # h is an alias of Things, so DELETE FROM H is taken for it too.
+    assert r["tables"] == ["A", "B", "C", "D", "E", "F", "G", "Things", "I", "J", "K"]
+    assert r["calls"] == ["usp_Real"]
+
+
+def test_oracle_tables_in_code_only(spark):
+    text = """CREATE OR REPLACE PROCEDURE p IS
+BEGIN
+  /* SELECT x FROM ghost; */
+  SELECT a.id INTO v_n FROM first_tab a, app.second_tab b WHERE a.t = 'FROM str';
+  DELETE third_tab WHERE id = 1; DELETE FROM fourth_tab;
+  WITH w AS (SELECT 1 n FROM fifth_tab) SELECT n INTO v_n FROM w, dual;
+  SELECT n INTO v_n FROM remote_tab@link1;
+END;"""
+    df = spark.createDataFrame([(1, text)], "k long, raw_sql string")
+    (r,) = rows(df.select(plsql.tables(F.col("raw_sql")).alias("tables")))
+    assert r["tables"] == ["first_tab", "second_tab", "third_tab", "fourth_tab", "fifth_tab"]
+
+
+def test_numbers_spread_one_value_over_many_ranges(spark):
+    df = spark.range(1000).select(F.lit(7).alias("v"), ((F.col("id") * 37) % 1000).alias("id"))
+    got = {r["id"]: r["n"] for r in rows(ranking.global_row_number(df, "v", ["id"], into="n"))}
+    assert got == {i: i + 1 for i in range(1000)}
