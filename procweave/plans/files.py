@@ -14,7 +14,7 @@ from procweave.plans.graph import RELATIONS, relations
 from procweave.registry import query
 from procweave.session import table
 from procweave.sources import sinks
-from procweave.sources.corpus import last_definitions, list_files, oracle_corpus, tsql_corpus
+from procweave.sources.corpus import last_definitions, list_files, oracle_corpus, read_sources, tsql_corpus
 from procweave.streaming import logs
 
 @query("src_tsql_dir", "SELECT 'usp_P' || s_suppkey AS procedure_name, CASE WHEN s_suppkey % 3 = 0 THEN 'sales' ELSE 'dbo' END AS schema_name FROM supplier")
@@ -22,9 +22,10 @@ def tsql_dir(spark, sf_dir):
     """Procedures written as one file each, read back as a folder of sources; the last definition of a name wins."""
     folder = sinks.shared_folder(spark, "sql")
     made = tsql_corpus(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p_partkey"), F.col("s_nationkey").alias("p_size")))
-    # The text sink names files .txt, so the reader takes all of the folder.
-    sinks.write_files(made, folder, "sql", "raw_sql")
-    read = spark.read.text(f"{folder}/kind=sql", wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.lit(0).alias("file_rank"), F.col("value").alias("raw_sql"))
+    # Every second file begins with a byte-order mark, which the reader drops. The text sink names files .txt.
+    marked = made.withColumn("raw_sql", F.concat(F.when(F.col("k") % 2 == 0, "\ufeff").otherwise(""), "raw_sql"))
+    sinks.write_files(marked, folder, "sql", "raw_sql")
+    read = read_sources(spark, f"{folder}/kind=sql", kinds=("*.txt",))
     name, schema = x.procedure_name(F.col("raw_sql"))
     return last_definitions(read.withColumns({"procedure_name": name, "schema_name": schema})).select("procedure_name", "schema_name")
 
@@ -32,8 +33,10 @@ def tsql_dir(spark, sf_dir):
 @query("src_plsql_dir", f"{UNITS} SELECT DISTINCT unit FROM units")
 def plsql_dir(spark, sf_dir):
     folder = sinks.shared_folder(spark, "plsql")
-    sinks.write_files(oracle_corpus(table(spark, sf_dir, "supplier")), folder, "sql", "raw_sql")
-    read = spark.read.text(f"{folder}/kind=sql", wholetext=True).select(F.col("_metadata.file_path").alias("k"), F.rtrim("value", F.lit("\n")).alias("raw_sql"))
+    made = oracle_corpus(table(spark, sf_dir, "supplier"))
+    for n, kind in enumerate(("sql", "pkb", "prc")):
+        sinks.write_files(made.filter(F.col("k") % 3 == n), folder, kind, "raw_sql")
+    read = read_sources(spark, folder, "oracle", kinds=("*.txt",)).select(F.col("source_file").alias("k"), F.rtrim("raw_sql", F.lit("\n")).alias("raw_sql"))
     return px.units(read, "k").select("unit").distinct()
 
 
@@ -203,6 +206,25 @@ def websocket(spark, sf_dir):
     return spark.read.parquet(out).select("event_id", "event_type")
 
 
+@query("lg_stage_fsm", """SELECT user_id AS run_id, coalesce(arg_min(CASE event_type WHEN 'purchase' THEN 'completed' ELSE 'failed' END, ts) FILTER (event_type IN ('purchase', 'error')), 'running') AS status
+FROM events GROUP BY 1""")
+def stage_status(spark, sf_dir):
+    """The state machine of each run's stage over the stream of its entries: the last state that it told."""
+    out, mark = sinks.shared_folder(spark, "states"), sinks.shared_folder(spark, "mark")
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
+    entries = logs.read_log(spark, log_copy(spark, sf_dir), files_each=2).select(F.col("user_id").alias("run_id"), F.lit("main").alias("stage"), status.alias("status"), "ts")
+    logs.append_log(logs.stage_states(entries), out, mark, mode="update").awaitTermination()
+    return spark.read.parquet(out).groupBy("run_id").agg(F.max_by("status", "batch").alias("status"))
+
+
+@query("lg_rollup", "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def rollup(spark, sf_dir):
+    """Extension: counts by hour and type in event-time windows with a watermark, over the stream."""
+    out, mark = sinks.shared_folder(spark, "counts"), sinks.shared_folder(spark, "mark")
+    logs.append_counts(logs.windowed_counts(logs.read_log(spark, log_copy(spark, sf_dir), files_each=2)), out, mark).awaitTermination()
+    return spark.read.parquet(out).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
 @query("lg_poll", "SELECT user_id AS run_id, count(*)::BIGINT AS open_entries FROM events WHERE event_type NOT IN ('purchase', 'error') GROUP BY 1")
 def poll(spark, sf_dir):
     """What a poller still sees as running."""

@@ -244,19 +244,6 @@ def classify(spark, sf_dir):
     return classified(table(spark, sf_dir, "events").withColumn("message", text)).select("event_id", "level")
 
 
-@query("lg_stage_fsm", "SELECT user_id AS run_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1")
-def stage_status(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return q.latest_status(rows.withColumn("run_id", F.col("user_id")), ["run_id"], ["event_id"], "event_type").withColumnRenamed("event_type", "status")
-
-
-@query("lg_rollup", "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
-def rollup(spark, sf_dir):
-    """Extension: counts by hour and type in event-time windows."""
-    grouped = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
-
-
 @query("lg_registry", "SELECT user_id AS run_id, count(*)::BIGINT AS entries, max(event_id) AS last_entry FROM events GROUP BY 1")
 def registry(spark, sf_dir):
     """One log channel a run: how much it holds and where it ends."""

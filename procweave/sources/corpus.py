@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 KINDS = {"tsql": ("*.sql",), "oracle": ("*.sql", "*.pkb", "*.prc")}
 
 
-def read_sources(spark: SparkSession, folder: str, dialect: str = "tsql") -> DataFrame:
-    """source_file, file_rank and raw_sql of every source in a folder; an error if the folder does not exist."""
+def read_sources(spark: SparkSession, folder: str, dialect: str = "tsql", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """source_file, file_rank and raw_sql of every source in a folder; an error if the folder does not exist.
+
+    kinds are the patterns of file names, those of the dialect if none are given; later ones win.
+    """
     if dialect not in KINDS:
         raise ValueError(f"dialect {dialect!r} is none of {', '.join(KINDS)}")
     parts = []
-    for rank, pattern in enumerate(KINDS[dialect]):
+    for rank, pattern in enumerate(kinds or KINDS[dialect]):
         read = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
         parts.append(read.select(F.col("_metadata.file_path").alias("source_file"), F.lit(rank).alias("file_rank"), F.regexp_replace("value", "^﻿", "").alias("raw_sql")))
     out = parts[0]

@@ -26,7 +26,7 @@ def read_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA, files_eac
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(path)
 
 
-def append_log(stream: DataFrame, path: str, checkpoint: str):
+def append_log(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Append classified entries to a durable log and stop when all that is there is read.
 
     Each batch writes its own folder, so a batch that runs again after a failure replaces itself.
@@ -35,7 +35,7 @@ def append_log(stream: DataFrame, path: str, checkpoint: str):
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def follow(stream: DataFrame, run_id: int, path: str, checkpoint: str):
@@ -48,19 +48,33 @@ def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
 
 
+def append_counts(stream: DataFrame, path: str, checkpoint: str):
+    """Keep a table of the windowed counts: every batch replaces it by the counts so far."""
+    return stream.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stage_states(stream: DataFrame) -> DataFrame:
     """The state of every stage of every run (run_id, stage, status, ts) as entries come in.
 
-    pending goes to running, and running to completed or failed; a final state is not left again.
+    pending goes to running, and running to the final state that comes first by time, which is not left again. Entries may
+    come in any order: a state is kept as the earliest final entry and the earliest running one.
     """
 
+    def earliest(held: tuple, frame: pd.DataFrame) -> tuple:
+        if frame.empty:
+            return held
+        status, ts = frame.sort_values(["ts", "status"]).iloc[0][["status", "ts"]]
+        return (status, int(ts.value)) if held[0] is None or int(ts.value) < held[1] else held
+
     def advance(key, frames: Iterator[pd.DataFrame], state):
-        now, since = state.get if state.exists else ("pending", 0)
+        kept = state.get if state.exists else (None,) * 4
+        final, running = kept[:2], kept[2:]
         for frame in frames:
-            for status, ts in frame.sort_values("ts")[["status", "ts"]].itertuples(index=False):
-                if now not in FINAL and status != "pending":
-                    now, since = status, int(ts.value)
-        state.update((now, since))
+            ends = frame["status"].isin(FINAL)
+            final, running = earliest(final, frame[ends]), earliest(running, frame[~ends & (frame["status"] != "pending")])
+        state.update((*final, *running))
+        now, since = final if final[0] is not None else running if running[0] is not None else ("pending", 0)
         yield pd.DataFrame({"run_id": [key[0]], "stage": [key[1]], "status": [now], "since": [since]})
 
-    return stream.groupBy("run_id", "stage").applyInPandasWithState(advance, "run_id long, stage string, status string, since long", "status string, since long", "update", "NoTimeout")
+    held = "final string, final_at long, running string, running_at long"
+    return stream.groupBy("run_id", "stage").applyInPandasWithState(advance, "run_id long, stage string, status string, since long", held, "update", "NoTimeout")
