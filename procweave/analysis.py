@@ -81,3 +81,36 @@ def generate(prompts: DataFrame, write: Callable[[str], str], name: str = "proce
             yield pd.DataFrame(out, columns=["name", "output", "error"])
 
     return prompts.select(name, prompt).mapInPandas(run, "name string, output string, error string")
+
+
+def generate_in_order(planned: DataFrame, prompts: DataFrame, write: Callable[[str], str]) -> DataFrame:
+    """Generate what a plan (name, level, defined) orders: name, level, outcome, output, error.
+
+    Names that the corpus does not define are skipped, failures are kept beside what succeeded. Levels are independent
+    of each other but for their order, so all of them run in one pass.
+    """
+    made = generate(prompts, write).withColumnRenamed("name", "made")
+    joined = planned.join(made, F.col("defined") & (F.col("name") == F.col("made")), "left")
+    outcome = F.when(~F.col("defined"), "skipped").when(F.col("error").isNotNull(), "failed").when(F.col("made").isNotNull(), "migrated").otherwise("no prompt")
+    return joined.select("name", "level", outcome.alias("outcome"), "output", "error")
+
+
+def generate_in_chunks(chunks: DataFrame, write: Callable[[str, str, str], str], key: str = "procedure_name", content: str = "sql_content") -> DataFrame:
+    """Generate a large procedure chunk by chunk (key, chunk, position, content): key, output, error.
+
+    write gets a chunk, its position (first, middle, last, only) and its own output for the chunk before; the outputs are
+    joined. A group holds the chunks of one procedure, which one call after the other must see in order.
+    """
+    kind = chunks.schema[key].dataType.simpleString()
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        made, before, error = [], "", None
+        try:
+            for text, position in rows.sort_values("chunk")[[content, "position"]].itertuples(index=False):
+                before = write(text, position, before)
+                made.append(before + "\n")
+        except Exception as problem:  # noqa: BLE001  as above
+            error = f"{type(problem).__name__}: {problem}"
+        return pd.DataFrame({key: [rows[key].iloc[0]], "output": [None if error else "".join(made)], "error": [error]})
+
+    return chunks.select(key, "chunk", "position", content).groupBy(key).applyInPandas(fold, f"{key} {kind}, output string, error string")

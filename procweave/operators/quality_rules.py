@@ -100,12 +100,6 @@ def split_text(df: DataFrame, keys: list[str], text: str, size: int, overlap: in
     )
 
 
-def fold_chunks(chunks: DataFrame, key: str, most_context: int = 200) -> DataFrame:
-    """Hand each chunk the tail of what came before it, in order: a window, as only the last output is passed on."""
-    before = Window.partitionBy(key).orderBy("chunk")
-    return chunks.withColumn("previous_tail", F.right(F.coalesce(F.lag("content").over(before), F.lit("")), F.lit(most_context)))
-
-
 def latest_status(events: DataFrame, keys: list[str], order: list[str], status: str) -> DataFrame:
     """The last status of each key."""
     return events.groupBy(*keys).agg(F.max_by(status, F.struct(*order)).alias(status))

@@ -8,13 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from procweave.analysis import generate_in_chunks, generate_in_order
 from procweave.operators import catalog as c
 from procweave.operators import edge_cases as ec
 from procweave.operators import extract as x
+from procweave.operators import graph as g
 from procweave.operators import quality_rules as q
 from procweave.operators.changes import delete_cascade, update_where
 from procweave.plans.edge_cases import REPORT, report
 from procweave.plans.extraction import STATEMENTS, WITH, corpus
+from procweave.plans.graph import LEVELS, tree
 from procweave.registry import query
 from procweave.session import table
 
@@ -39,12 +42,17 @@ def splits(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("begin")).alias("covered"), F.bool_and(F.length("content") <= 2000).alias("within"))
 
 
-@query("ck_fold", "SELECT doc_id, length(text)::BIGINT AS chars, true AS carries FROM documents WHERE length(text) > 0")
+@query("ck_fold", f"""{STATEMENTS}, b AS (SELECT k, block, string_agg(s, chr(10) ORDER BY n) AS content FROM numbered GROUP BY k, block),
+g AS (SELECT k, block // 5 AS chunk, string_agg(content, chr(10) || chr(10) ORDER BY block) AS sql_content FROM b GROUP BY ALL),
+f AS (SELECT k, chunk, sum(length(sql_content)) OVER (PARTITION BY k ORDER BY chunk) AS o, row_number() OVER (PARTITION BY k ORDER BY chunk) = 1 AS first FROM g)
+SELECT k, string_agg(CASE WHEN first THEN 'first ' ELSE 'then ' END || o, chr(10) ORDER BY chunk) || chr(10) AS output, NULL::VARCHAR AS error FROM f GROUP BY k""")
 def folds(spark, sf_dir):
-    """Every chunk after the first gets the tail of the one before."""
-    rows = q.fold_chunks(chunks(spark, sf_dir), "doc_id")
-    carried = F.bool_and((F.col("chunk") == 0) == (F.col("previous_tail") == ""))
-    return rows.groupBy("doc_id").agg(F.max("end").alias("chars"), carried.alias("carries"))
+    """Chunked generation: every chunk gets the output of the one before; the generator adds its chunk's length to that."""
+
+    def write(text, position, before):
+        return f"{'first' if position in ('first', 'only') else 'then'} {len(text) + int(before.split()[-1] if before else 0)}"
+
+    return generate_in_chunks(q.group_blocks(x.logical_blocks(corpus(spark, sf_dir), "k"), "k"), write, "k")
 
 
 @query("ck_context", f"""{WITH} SELECT k, 'procedure usp_P' || k || '; temp #WorkSet' || (k % 5) || ' -> stg_work_set' || (k % 5) || CASE WHEN k % 2 = 0 THEN ', ##SharedRows -> stg_shared_rows' ELSE '' END AS context FROM corpus""")
@@ -90,11 +98,23 @@ def edge_context(spark, sf_dir):
     return linked.groupBy("k").agg(F.array_join(listed, "\n").alias("context"))
 
 
-@query("mg_loop", """WITH e AS (SELECT event_type AS stage, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'migrated' END AS outcome FROM events) SELECT stage, outcome, count(*)::BIGINT AS n FROM e GROUP BY ALL""")
+@query("mg_loop", f"""{LEVELS}, o AS (SELECT k, max(level)::BIGINT AS level FROM l GROUP BY k)
+SELECT 'usp_P' || k AS name, level, CASE WHEN k % 11 = 5 THEN 'skipped' WHEN k % 7 = 3 THEN 'failed' ELSE 'migrated' END AS outcome,
+CASE WHEN k % 11 <> 5 AND k % 7 <> 3 THEN 'USP_P' || k END AS output, CASE WHEN k % 11 <> 5 AND k % 7 = 3 THEN 'ValueError: usp_P' || k END AS error FROM o""")
 def loop(spark, sf_dir):
-    """One failure does not stop the others: every item has an outcome."""
-    outcome = F.when(F.col("event_type") == "error", "failed").otherwise("migrated")
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage"), outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    """The order's items, one in eleven of them external: externals are skipped, and one failure does not stop the others."""
+    edges = tree(spark, sf_dir)
+    defined = corpus(spark, sf_dir).filter(F.col("k") % 11 != 5).select(F.concat(F.lit("usp_P"), F.col("k").cast("string")).alias("name"))
+    nodes = g.nodes(edges, defined)
+
+    def write(prompt):
+        if int(prompt.removeprefix("usp_P")) % 7 == 3:
+            raise ValueError(prompt)
+        return prompt.upper()
+
+    planned = g.levels(edges, nodes.select("name")).join(nodes, "name")
+    prompts = nodes.filter("defined").select(F.col("name").alias("procedure_name"), F.col("name").alias("prompt"))
+    return generate_in_order(planned, prompts, write)
 
 
 def validated(spark, sf_dir):
