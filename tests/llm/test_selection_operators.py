@@ -132,6 +132,57 @@ def test_quality_without_labels_or_with_one_class(spark):
     assert quality.score_docs(docs.limit(0), quality.train(docs.limit(0), ones)).collect() == []
 
 
+def bins_by_hand(text):
+    """Bins of the distinct byte n-grams and of the patterns of repeated words, one by one."""
+    data, out = text.encode(), set()
+    for n in (1, 2, 3):
+        for i in range(len(data) - n + 1):
+            code = (int.from_bytes(data[i : i + n], "big") + (n << 29)) % 2**32
+            out.add((code * 2654435761 % 2**32) >> 16)
+    words = text.split()
+    same = [a == b for a, b in zip(words, words[1:], strict=False)]
+    for i in range(len(same) - 3):
+        out.add((1 << 16) + sum(same[i + j] << j for j in range(4)))
+    return out
+
+
+def test_model_and_scores_agree_with_brute_force(monkeypatch):
+    """Features, ratios, the fitted optimum (by projected gradient on the whole dual problem) and scores, all by hand."""
+    monkeypatch.setattr(quality, "PASSES", 5000)
+    rng = random.Random(11)
+    texts = [sentence(rng, rng.randrange(3, 12), 40) for _ in range(20)] + [" ".join([rng.choice(["buy", "now", "buy buy"])] * rng.randrange(3, 9)) + f" {i}" for i in range(20)]
+    labels = np.array([1] * 20 + [0] * 20)
+    flip = rng.sample(range(40), 4)
+    labels[flip] = 1 - labels[flip]
+    rows = [quality.features(t) for t in texts]
+    assert [set(r.tolist()) for r in rows] == [bins_by_hand(t) for t in texts]
+    counts = [{}, {}]
+    for t, y in zip(texts, labels, strict=True):
+        for b in bins_by_hand(t):
+            counts[y][b] = counts[y].get(b, 0) + 1
+    total = [sum(c.values()) + quality.BINS for c in counts]
+    ratio = np.array([np.log(((counts[1].get(b, 0) + 1) / total[1]) / ((counts[0].get(b, 0) + 1) / total[0])) for b in range(quality.BINS)])
+    assert np.allclose(quality.count_ratios(rows, labels), ratio)
+    x = np.zeros((40, quality.BINS + 1))
+    for i, t in enumerate(texts):
+        own = sorted(bins_by_hand(t))
+        x[i, own] = ratio[own] / np.sqrt((ratio[own] ** 2).sum())
+        x[i, -1] = 1
+    sign = 2 * labels - 1
+    gram = (x @ x.T) * np.outer(sign, sign)
+    most = quality.COST * 40 / (2 * np.bincount(labels))[labels]
+    alpha, step = np.zeros(40), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(200_000):
+        alpha = np.clip(alpha + step * (1 - gram @ alpha), 0, most)
+    weight = x.T @ (alpha * sign)
+    found, bias = quality.descend(rows, ratio, labels)
+    model = quality.Model(ratio, found, bias, 1.7, -0.2)
+    for i, t in enumerate(texts):
+        margin = float(x[i] @ weight)
+        assert abs(model.margin(rows[i]) - margin) < 2e-2
+        assert abs(model.score(t) - 1 / (1 + np.exp(-(1.7 * margin - 0.2)))) < 1e-2
+
+
 def test_descent_reaches_the_optimum():
     """The duality gap of the fitted hinge-loss model is small."""
     rng = np.random.default_rng(2)
@@ -427,7 +478,7 @@ def test_leaks_of_nothing(spark):
 # Pipeline
 
 
-def test_pipeline_agrees_with_its_stages_by_hand(spark, small_dir):
+def pipeline_by_hand(spark, small_dir):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
@@ -454,7 +505,7 @@ def test_pipeline_agrees_with_its_stages_at_five_words(spark, small_dir, monkeyp
         return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or (frozenset([tuple(words)]) if words else frozenset())
 
     monkeypatch.setitem(globals(), "shingles", by_five)
-    test_pipeline_agrees_with_its_stages_by_hand(spark, small_dir)
+    pipeline_by_hand(spark, small_dir)
 
 
 def test_pipeline_stages_take_odd_rows(spark, small_dir):

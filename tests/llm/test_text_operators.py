@@ -177,9 +177,8 @@ def test_token_counts_agree_on_all_assigned_characters(bpe, library):
     want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
     got = bpe.count(texts)
     odd = [c for c, a, b in zip(letters, got, want, strict=True) if a != b]
-    # The two libraries know different versions of Unicode; only recent letters may differ.
-    assert len(odd) < 6000
-    assert all(ord(c) > 0x2FF for c in odd)
+    # The two libraries know different versions of Unicode; only private or recent letters may differ.
+    assert not [c for c in odd if unicodedata.category(c) != "Co"]
 
 
 def test_token_counts_of_documents(spark, small_dir, library):
