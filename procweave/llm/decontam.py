@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procweave.llm.shared import materialize, read_spread, text_runs
+from procweave.llm.shared import bound_batches, materialize, read_spread, text_runs
 
 #: Words of a passage and of the step from one to the next, most words of an index entry, entries of a block.
 PASSAGE, STEP, ENTRY_WORDS, BLOCK = 64, 32, 48, 16
@@ -298,6 +298,7 @@ def drop_leaks(docs: DataFrame, items: list[tuple[int, str, str]], text_col: str
 
 def op8_decontamination(spark, sf_dir):
     """Every document and test item whose question and answer stand in it."""
+    bound_batches(spark)
     docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
     items = load_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return mark_leaks(docs, items).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from procweave.llm.shared import materialize, read_spread
+from procweave.llm.shared import bound_batches, materialize, read_spread
 
 #: Words of a shingle, and those that the contract of op7 fixes.
 SHINGLE, OP7_SHINGLE = 5, 4
@@ -60,7 +60,7 @@ STAR_ROUNDS = 2
 
 #: Classes of a block whose full sets are compared, blocks that are compared at once by signatures, and the most rows of a
 #: band in which partners are looked for by a join on the band.
-BLOCK, BLOCKS_AT_ONCE, SMALL_BAND = 256, 8, 256
+BLOCK, BLOCKS_AT_ONCE, SMALL_BAND = 256, 4, 256
 
 #: Bytes of texts that are hashed at once; a longer text is hashed alone, in pieces of PIECE bytes.
 RUN_BYTES, PIECE = 400_000, 1 << 20
@@ -417,7 +417,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(classes, "classes")
     held = classes.select("rep", F.explode("bands").alias("band"))
     leaders = held.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    shared = materialize(held.join(leaders, "band"), "bands")
+    shared = materialize(by_band(held, materialize(leaders, "leaders"), "inner"), "bands")
     labels = tried = None
     mixed = shared
     for _ in range(STAR_ROUNDS):
@@ -451,11 +451,23 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter("_la <> _lb").drop("_la", "_lb")
 
 
+def by_band(rows: DataFrame, bands: DataFrame, how: str) -> DataFrame:
+    """Join rows to their bands (band, size). Large bands are few and broadcast, so none of their rows is dealt by band.
+
+    Where even they are more than BROADCAST_IDS, all bands are joined alike and skew is left to the adaptive planner.
+    """
+    hot, small = bands.filter(F.col("size") > SMALL_BAND), bands.filter(F.col("size") <= SMALL_BAND)
+    if hot.count() > BROADCAST_IDS:
+        return rows.join(bands, "band", how)
+    others = rows.join(F.broadcast(hot.select("band")), "band", "left_anti")
+    return rows.join(F.broadcast(hot), "band", how).unionByName(others.join(small, "band", how))
+
+
 def still_mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of the bands that hold more than one label, with their labels."""
     labelled = relabel(shared.withColumn("label", F.col("rep")), labels, "label")
-    bands = labelled.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("band")
-    return labelled.join(bands, "band", "left_semi")
+    bands = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("size").alias("size"))
+    return by_band(labelled, materialize(bands.filter("low <> high").select("band", "size"), "mixed-bands"), "left_semi")
 
 
 def links_across(mixed: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame | None:
@@ -466,18 +478,18 @@ def links_across(mixed: DataFrame, classes: DataFrame, docs: DataFrame, id_col:
     signatures and name the classes that have a plausible partner in a block; only those bring their full sets to the
     group of the two blocks, and only confirmed links leave it.
     """
-    facts = mixed.select("band", "rep", "label").join(classes.select("rep", "n", "sig"), "rep")
-    rows = facts.join(facts.groupBy("band").agg((F.count("*") > SMALL_BAND).alias("hot")), "band")
-    small = rows.filter("not hot")
-    left = small.select("band", *[F.col(c).alias(f"{c}_a") for c in ("rep", "label", "n", "sig")])
+    # A band's size was counted when its leader was found, so no row of a hot band is dealt by band here.
+    rows = mixed.select("band", "rep", "label", "lead", (F.col("size") > SMALL_BAND).alias("hot"))
+    small = rows.filter("not hot").join(classes.select("rep", "n", "sig"), "rep").withColumnRenamed("lead", "lead_a")
+    left = small.select("band", "lead_a", *[F.col(c).alias(f"{c}_a") for c in ("rep", "label", "n", "sig")])
     right = small.select(F.col("band").alias("band_b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "n", "sig")])
     met = (F.col("band") == F.col("band_b")) & (F.col("label_a") != F.col("label_b")) & sizes_allow() & (estimate("sig_a", "sig_b") >= least_estimate())
-    paired = left.join(right, met, "left_semi").select("band", F.col("rep_a").alias("rep"), F.col("label_a").alias("label"))
-    open_rows = materialize(paired.unionByName(rows.filter("hot").select("band", "rep", "label")), "open")
+    paired = left.join(right, met, "left_semi").select(F.col("lead_a").alias("lead"), F.col("rep_a").alias("rep"), F.col("label_a").alias("label"))
+    open_rows = materialize(paired.unionByName(rows.filter("hot").select("lead", "rep", "label")).distinct(), "open")
     if open_rows.isEmpty():
         return None
-    leads = open_rows.groupBy("band").agg(F.min("rep").alias("a"))
-    clusters = contract(None, open_rows.join(leads, "band").select("a", F.col("rep").alias("b")).distinct())
+    # The leader stands for its bands, whether it is among the rows or not.
+    clusters = contract(None, open_rows.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
     members = relabel(open_rows.select("rep", "label").distinct().withColumn("cluster", F.col("rep")), clusters, "cluster")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -516,17 +528,22 @@ def plausible_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     if left.empty or right.empty:
         return pd.DataFrame({"cluster": [], "rep": [], "lo": [], "hi": []}, dtype="int64")
     sig = np.stack(right["sig"].to_numpy()).view(U64)
-    label, n, block, reps = (right[c].to_numpy() for c in ("label", "n", "own", "rep"))
-    found = set()
-    for rep, own, own_label, own_n, own_sig in left[["rep", "own", "label", "n", "sig"]].itertuples(index=False):
+    label, n, block = (right[c].to_numpy() for c in ("label", "n", "own"))
+    # Which blocks of the other run hold a partner of each class.
+    left_hit, right_hit = np.zeros((len(left), BLOCKS_AT_ONCE), dtype=bool), np.zeros((len(right), BLOCKS_AT_ONCE), dtype=bool)
+    for row, (own, own_label, own_n, own_sig) in enumerate(left[["own", "label", "n", "sig"]].itertuples(index=False)):
         fits = (label != own_label) & (np.minimum(n, own_n) * SHARE[1] >= np.maximum(n, own_n) * SHARE[0])
-        if not fits.any():
-            continue
-        for i in np.flatnonzero(fits & (agreeing(sig, np.asarray(own_sig).view(U64)) >= least_estimate())):
-            pair = (min(own, block[i]), max(own, block[i]))
-            found |= {(rep, *pair), (reps[i], *pair)}
-    cluster = rows["cluster"].iloc[0]
-    return pd.DataFrame([(cluster, *x) for x in sorted(found)], columns=["cluster", "rep", "lo", "hi"], dtype="int64")
+        if fits.any():
+            partners = np.flatnonzero(fits & (agreeing(sig, np.asarray(own_sig).view(U64)) >= least_estimate()))
+            left_hit[row, block[partners] % BLOCKS_AT_ONCE] = True
+            right_hit[partners, own % BLOCKS_AT_ONCE] = True
+    parts = []
+    for side, hit, first in ((left, left_hit, hi), (right, right_hit, lo)):
+        row, other = np.nonzero(hit)
+        own, other = side["own"].to_numpy()[row], other + first * BLOCKS_AT_ONCE
+        parts.append(pd.DataFrame({"rep": side["rep"].to_numpy()[row], "lo": np.minimum(own, other), "hi": np.maximum(own, other)}))
+    found = pd.concat(parts).drop_duplicates()
+    return found.assign(cluster=rows["cluster"].iloc[0])[["cluster", "rep", "lo", "hi"]].astype("int64")
 
 
 def compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
@@ -583,6 +600,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op7_minhash_dedup(spark, sf_dir):
     """Near duplicates among all documents."""
+    bound_batches(spark)
     return near_duplicates(read_spread(spark, sf_dir, "documents", "doc_id", "text"), size=OP7_SHINGLE)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procweave.llm.shared import read_spread, text_runs
+from procweave.llm.shared import bound_batches, read_spread, text_runs
 
 #: The most labelled rows that the model is fitted on.
 FIT_ROWS = 6000
@@ -213,6 +213,7 @@ def score_docs(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
 def op5_quality_classifier(spark, sf_dir):
     """Score every document; the model never sees the held-out fold."""
+    bound_batches(spark)
     docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     held = docs.withColumn("held_out", fold(F.col("doc_id")) == 0)

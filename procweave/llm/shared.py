@@ -30,6 +30,17 @@ def read_spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> D
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Rows of an Arrow batch of whole texts: some texts are long, and both ends of a worker's pipe hold batches.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """For queries and the pipeline, whose session it is: batches of at most BATCH_ROWS rows. Operators leave sessions alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_runs(texts: pa.Array, most_bytes: int) -> Iterator[list[str]]:
     """The texts of an Arrow array in runs of bounded size, at least one text each; only one run at a time is Python strings."""
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procweave.llm.shared import read_spread, text_runs
+from procweave.llm.shared import bound_batches, read_spread, text_runs
 
 #: Pre-tokens whose counts a worker keeps, and pre-tokens merged at once.
 KNOWN_LIMIT = 400_000
@@ -159,5 +159,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text_col: s
 
 def op9_token_counts(spark, sf_dir):
     """Tokens of every whole text of documents by the word-end vocabulary."""
+    bound_batches(spark)
     docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
     return count_tokens(docs, "word_bpe_49k.json").drop("text")
