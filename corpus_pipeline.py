@@ -15,21 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procweave.llm import decontam, minhash, mixing, quality
-from procweave.llm.shared import materialize, read_table
+from procweave.llm.shared import bound_batches, materialize, read_table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    bound_batches(spark)
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near duplicates."""
+    bound_batches(spark)
     return minhash.drop_near_duplicates(docs)
 
 
 def unseen_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
+    bound_batches(spark)
     return decontam.drop_leaks(docs, decontam.load_items(read_table(spark, sf_dir, "benchmark")))
 
 
