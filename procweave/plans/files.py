@@ -65,8 +65,8 @@ def plsql_file(spark, sf_dir):
 @query("px_route", "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'package body' ELSE 'standalone' END AS kind FROM supplier")
 def px_route(spark, sf_dir):
     """Specifications give nothing, package bodies are unwrapped, the rest stands alone."""
-    spec, body = F.rlike("raw_sql", F.lit(px.SPEC)), F.rlike("raw_sql", F.lit(px.PACKAGE))
-    kind = F.when(body, "package body").when(spec, "specification").otherwise("standalone")
+    body = px.package_of(F.col("raw_sql"))["body"]
+    kind = F.when(body, "package body").when(~body, "specification").otherwise("standalone")
     return oracle_corpus(table(spark, sf_dir, "supplier")).select("k", kind.alias("kind"))
 
 
