@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from procweave.llm import arc_convert, chat_format, decontam, license_scan, minhash, mixing, quality, token_count, url_filter, vp_search
+from procweave.llm import (
+    arc_convert,
+    chat_format,
+    decontam,
+    hard_negatives,
+    language_id,
+    license_scan,
+    merkle,
+    minhash,
+    mixing,
+    quality,
+    token_count,
+    url_filter,
+    vp_search,
+)
 
 QUERIES = {
     "op1_arc_to_warc": arc_convert.op1_arc_to_warc,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_url_filters": url_filter.op10_url_filters,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 ORACLES = {
@@ -24,4 +41,6 @@ ORACLES = {
     "op4_chat_formatting": chat_format.ORACLE,
     "op7_minhash_dedup": minhash.ORACLE,
     "op10_url_filters": url_filter.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
