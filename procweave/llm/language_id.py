@@ -8,8 +8,8 @@ straight from Arrow's buffers: only one piece is ever unpacked.
 2. Within the family, each pair of languages has a linear hinge-loss model over square roots of counts at length one,
    fitted by dual coordinate descent; the language with most votes wins, ties go to the larger sum of margins.
 
-The model is fitted on a bounded sample (FIT_ROWS rows, dealt evenly over the languages, those first in the order of a hash
-of their id); prediction reads every whole text in one narrow pass.
+The model is fitted on a bounded sample (FIT_ROWS rows at most, as many of each language, drawn by hashes of their ids);
+prediction reads every whole text in one narrow pass.
 
 Defined results: texts that are null or hold no letter are `und` with score 0, as is everything where nothing could be
 learned. Only rows with text, lang and doc_id that hold a letter are learned from; a doc_id with several rows is fitted once
@@ -264,9 +264,16 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", tex
     """Fit the model on at most fit_rows rows outside the held-out fold, as many of each language as can be."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & (fold(F.col("id")) != HELD_OUT))
-    # At most fit_rows ids of each language get a rank: Spark cuts the rows before the window.
+    # As many rows of each language as there is room for: about twice as many get a rank, chosen by a hash, so that no task
+    # ranks all rows of a frequent language.
+    per_lang = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    languages = per_lang.count()
+    share = max(1, -(-fit_rows // max(1, languages)))
+    cuts = per_lang.select(F.col("lang").alias("cut_lang"), (F.lit(2.0 * share + 100) / F.col("rows")).alias("cut"))
+    near = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) / float(1 << 20) < F.col("cut")
+    some = known.select("id", "lang").join(cuts, (F.col("lang") == F.col("cut_lang")) & near).select("id", "lang")
     hashed = F.md5(F.col("id").cast("string"))
-    drawn = known.select("id", "lang").withColumn("rank", F.dense_rank().over(Window.partitionBy("lang").orderBy(hashed, "id"))).filter(F.col("rank") <= fit_rows)
+    drawn = some.withColumn("rank", F.dense_rank().over(Window.partitionBy("lang").orderBy(hashed, "id"))).filter(F.col("rank") <= share)
     drawn = drawn.groupBy("id").agg(F.min("lang").alias("drawn_lang"), F.min("rank").alias("rank")).orderBy("rank", F.md5(F.col("id").cast("string")), "id").limit(fit_rows)
     sample = known.join(F.broadcast(drawn.select(F.col("id").alias("drawn_id"), "drawn_lang")), (F.col("id") == F.col("drawn_id")) & (F.col("lang") == F.col("drawn_lang")))
     sample = sample.groupBy("id", "lang").agg(F.min("text").alias("text"))
