@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procweave.functions.dialect import snake_case
+from procweave.operators.code import let, stripped, unified
 
 #: Fixed value: the header of a procedure: optional schema, then name, brackets optional.
 HEADER = r"(?i)CREATE\s+(?:OR\s+ALTER\s+)?PROC(?:EDURE)?\s+(?:\[?(\w+)\]?\.)?\[?(\w+)\]?"
@@ -27,11 +28,6 @@ def found(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with the value made once however often it is used there."""
-    return F.transform(F.array(value), use)[0]
-
-
 #: Whichever of a block comment, a line comment and a literal begins first hides the others.
 HIDDEN = r"(?s)/\*.*?\*/|--[^\n]*|\bN?'[^']*+(?:''[^']*+)*+'|'[^']*+(?:''[^']*+)*+'"
 
@@ -180,19 +176,26 @@ BLOCK_KINDS = (
 
 
 def body_lines(procedures: DataFrame, key: str, text: str = "raw_sql") -> DataFrame:
-    """The lines after the first line that is only AS, as an array: structs (line from 0, content, kind)."""
-    whole = F.split(text, "\n", -1)
-    start = F.array_position(F.transform(whole, lambda s: F.upper(F.trim(s)) == "AS"), F.lit(True))
+    """The lines after the header, which ends at the first line that begins with AS, as an array: structs (line from 0, content, kind).
+
+    What stands after AS on its line is the body's as well.
+    """
+    lines = F.split(unified(F.col(text)), "\n", -1)
+    start = F.array_position(F.transform(lines, lambda s: F.rlike(s, F.lit(r"(?i)^\s*AS\b"))), F.lit(True)).cast("int")
+    rest = F.regexp_replace(F.get(lines, start - 1), r"(?i)^\s*AS\b\s*", "")
+    more = (start > 0) & (rest != "")
+    whole = F.when(more, F.transform(lines, lambda s, i: F.when(i == start - 1, rest).otherwise(s))).otherwise(lines)
+    start = F.when(more, start - 1).otherwise(start)
 
     def kind(s):
-        up = F.upper(F.trim(s))
+        up = F.upper(stripped(s))
         out = F.lit("OTHER")
         for name, pattern in reversed(BLOCK_KINDS):
             out = F.when(F.rlike(up, F.lit(pattern)), name).otherwise(out)
         return F.when(F.rlike(up, F.lit(r"^(BEGIN|GO|BEGIN CATCH|END( TRY| CATCH)?;?)?$")), F.lit(None)).otherwise(out)
 
     marked = F.transform(whole, lambda s, i: F.struct(i.cast("long").alias("line"), s.alias("content"), kind(s).alias("kind")))
-    return procedures.select(key, F.slice(marked, start.cast("int") + 1, F.size(whole)).alias("body"))
+    return procedures.select(key, F.slice(marked, start + 1, F.size(whole)).alias("body"))
 
 
 def logical_blocks(procedures: DataFrame, key: str, text: str = "raw_sql") -> DataFrame:
@@ -202,7 +205,7 @@ def logical_blocks(procedures: DataFrame, key: str, text: str = "raw_sql") -> Da
     so running sums over the lines find the blocks: a line opens a block unless a construct or a statement is open.
     """
     rows = body_lines(procedures, key, text).select(key, F.inline("body"))
-    up = F.upper(F.trim("content"))
+    up = F.upper(stripped(F.col("content")))
     whole = Window.partitionBy(key).orderBy("line")
     so_far = whole.rowsBetween(Window.unboundedPreceding, 0)
     before = whole.rowsBetween(Window.unboundedPreceding, -1)
@@ -213,7 +216,7 @@ def logical_blocks(procedures: DataFrame, key: str, text: str = "raw_sql") -> Da
     step = F.when(inside, 0).when(opens, 1).when(F.rlike(up, F.lit(r"^END\b")), -1).otherwise(0)
     rows = rows.withColumn("step", step).withColumn("depth", F.coalesce(F.sum("step").over(before), F.lit(0)))
     # A statement is open from its first word to a line that ends it; lines of no kind are blocks of their own.
-    ends = F.rlike(F.rtrim("content"), F.lit(";$")) | F.col("kind").isNull()
+    ends = F.rlike("content", F.lit(r";\s*$")) | F.col("kind").isNull()
     last = lambda condition: F.max(F.when(condition, F.col("line"))).over(before)
     begun, closed = last(F.col("kind") != "OTHER"), last(ends)
     rows = rows.withColumn("ended", F.coalesce(begun <= closed, begun.isNull()))

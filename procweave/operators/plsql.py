@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procweave.functions.dialect import snake_case
-from procweave.operators.edge_cases import BRACKETS
-from procweave.operators.extract import CLAUSE, COMMON_TABLE, bare, found, let, listed
+from procweave.operators.code import coded, let, stripped, unified, up_to_close
+from procweave.operators.extract import CLAUSE, COMMON_TABLE, bare, found, listed
 from procweave.sources.corpus import lines_of
 
 UNIT = r"(?i)^\s*(?:PROCEDURE|FUNCTION)\s+(?:(\w+)\.)?(\w+)"
@@ -49,10 +49,11 @@ def package_of(text: Column) -> Column:
 
 
 def units(sources: DataFrame, key: str, text: str = "raw_sql") -> DataFrame:
-    """One row a unit: key, unit (package.name within packages), place, and its own text. Specifications give none.
+    """One row a unit: key, unit (package.name within packages), place, and its own text with line feeds alone. Specifications give none.
 
     A package's units begin at the headers that stand outside of BEGIN and END; the depth is a running sum over lines.
     """
+    sources = sources.withColumn(text, unified(F.col(text)))
     opened_by = package_of(F.col(text))
     bodies = sources.filter(F.coalesce(opened_by["body"], F.lit(True)))
     package = opened_by["name"]
@@ -113,14 +114,16 @@ def collections(text: Column) -> Column:
     return F.array_distinct(F.filter(names, lambda n: n.isNotNull()))
 
 
-GTT = r"(?i)\b" + r"\s+".join(("CREATE", "GLOBAL", "TEMPORARY", "TABLE")) + rf"\s+(\w+)\s*({BRACKETS})"
+#: Fixed value: how a global temporary table is made.
+GLOBAL_TEMP = r"(?i)\bCREATE\s+GLOBAL\s+TEMPORARY\s+TABLE\s+(\w+)\s*\("
 
 
 def global_temps(rows: DataFrame, keys: list[str], text: str = "raw_sql") -> DataFrame:
-    """Global temporary tables with the text of their columns."""
-    inside = F.transform(found(F.col(text), GTT, 2), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
-    hits = F.arrays_zip(found(F.col(text), GTT, 1).alias("name"), inside.alias("columns"))
-    return rows.select(*keys, F.explode(hits).alias("t")).select(*keys, "t.name", "t.columns").dropDuplicates([*keys, "name"])
+    """Global temporary tables with the text of their columns, up to the bracket that closes it."""
+    begun = rows.select(*keys, F.posexplode(F.split(coded(F.col(text))["code"], GLOBAL_TEMP)).alias("place", "rest"), found(coded(F.col(text))["code"], GLOBAL_TEMP, 1).alias("names"))
+    first = Window.partitionBy(*keys, "name").orderBy("place")
+    made = begun.filter("place > 0").select(*keys, "place", F.get("names", F.col("place") - 1).alias("name"), up_to_close(F.col("rest")).alias("columns"))
+    return made.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*keys, "name", "columns")
 
 
 def staging_name(name: Column) -> Column:
@@ -174,8 +177,8 @@ BLOCK_KINDS = (
 
 def blocks(rows: DataFrame, keys: list[str], text: str = "raw_sql") -> DataFrame:
     """The statements and constructs of a body, each to its end; nested ones belong to the outer one."""
-    lines = lines_of(rows.select(*keys, body(F.col(text)).alias(text)), text, first=0)
-    up = F.upper(F.trim("content"))
+    lines = lines_of(rows.select(*keys, unified(body(F.col(text))).alias(text)), text, first=0)
+    up = F.upper(stripped(F.col("content")))
     kind = F.lit("OTHER")
     for name, pattern in reversed(BLOCK_KINDS):
         kind = F.when(F.rlike(up, F.lit(pattern)), name).otherwise(kind)
@@ -184,7 +187,7 @@ def blocks(rows: DataFrame, keys: list[str], text: str = "raw_sql") -> DataFrame
     whole = Window.partitionBy(*keys).orderBy("line")
     lines = lines.withColumns({"kind": F.when(~skip, kind), "step": step, "skip": skip})
     lines = lines.withColumn("depth", F.coalesce(F.sum("step").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ended = F.coalesce(F.lag(F.rlike(F.rtrim("content"), F.lit(";$")) | F.col("skip")).over(whole), F.lit(True))
+    ended = F.coalesce(F.lag(F.rlike("content", F.lit(r";\s*$")) | F.col("skip")).over(whole), F.lit(True))
     lines = lines.withColumn("new", F.col("kind").isNotNull() & (F.col("depth") <= 0) & ended)
     lines = lines.withColumn("block", F.sum(F.col("new").cast("int")).over(whole.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     inside = lines.filter("block >= 0 and (not skip or depth > 0)")

@@ -6,13 +6,18 @@ from pyspark.sql import functions as F
 
 from procweave.operators import edge_cases as ec
 from procweave.operators import plsql as px
+from procweave.operators import structure
 from procweave.plans.extraction import WITH, corpus
 from procweave.registry import query
-from procweave.session import table
-from procweave.sources.corpus import ORACLE_UNITS, lines_of, oracle_corpus
+from procweave.session import spread, table
+from procweave.sources.corpus import BRANCHES, ORACLE_UNITS, TSQL_CORPUS, branchy_corpus, lines_of, oracle_corpus
 
 #: The corpus's lines in DuckDB, from 1.
-LINES = f"{WITH}, ls AS (SELECT k, unnest(string_split(raw_sql, chr(10))) AS s, generate_subscripts(string_split(raw_sql, chr(10)), 1) AS line FROM corpus)"
+LINES = f"{WITH}, ls AS (SELECT k, unnest(c) AS s, generate_subscripts(c, 1) AS line FROM (SELECT k, string_split(replace(raw_sql, chr(13), ''), chr(10)) AS c FROM corpus))"
+
+
+def branchy(spark, sf_dir):
+    return branchy_corpus(spread(table(spark, sf_dir, "part").select("p_partkey")))
 
 
 @query("ec_linked", f"""{LINES} SELECT k, line::BIGINT AS line, regexp_extract(s, '(Srv\\d)', 1) AS server, 'Db' AS database, 'dbo.' || regexp_extract(s, '(Remote\\d+)', 1) AS remote_object,
@@ -50,18 +55,37 @@ def trace_last(spark, sf_dir):
     return ec.trace_last(uses, sets, "k")
 
 
-@query("ec_trace_all", f"""{LINES} SELECT k, line::BIGINT AS line, '@step' AS variable, unnest(['''usp_P1''', '''usp_P2''']) AS value FROM ls WHERE contains(s, 'EXEC @step')""")
+@query("ec_trace_all", f"""WITH RECURSIVE {BRANCHES}
+SELECT DISTINCT w.k, w.line::BIGINT AS line, '@p' AS variable, f.value FROM walk w JOIN flow f ON f.k = w.k AND f.line = w.def WHERE w.uses AND w.def > 0""")
 def trace_all(spark, sf_dir):
-    rows = lines_of(corpus(spark, sf_dir)).filter(F.rlike("content", F.lit("EXEC @step")))
-    uses = rows.select("k", "line", F.lit("@step").alias("variable"))
-    return ec.trace_all(uses, ec.assignments(corpus(spark, sf_dir), "k"), "k").select("k", "line", "variable", "value")
-
-
-@query("ec_var_call", f"""{LINES}, u AS (SELECT k, line, regexp_extract(s, 'EXEC (@\\w+)', 1) AS variable FROM ls WHERE regexp_matches(s, 'EXEC @\\w+'))
+    """The assignments that reach the calls by variable of nested code."""
+    rows = branchy(spark, sf_dir)
+    found = ec.statement_table(rows, "k")
+    uses = ec.executions(found, "k").filter("variable is not null").select("k", "line", "at", "variable")
+    return ec.trace_all(uses, ec.assignments(rows, "k", found=found), found, "k").filter("a_line is not null").select("k", "line", "variable", "value")
+
+
+@query("tx_block_tree", f"""WITH RECURSIVE {BRANCHES}
+SELECT t.k, t.line::BIGINT AS start_line, t.last::BIGINT AS end_line, t.kind AS block_type, count(o.line)::BIGINT AS depth, max(o.line)::BIGINT AS parent_line
+FROM tree t LEFT JOIN tree o ON o.k = t.k AND o.line < t.line AND o.last >= t.line AND o.last > o.line GROUP BY ALL""")
+def block_tree(spark, sf_dir):
+    """Every statement and construct of nested code, with the line that its parent begins on."""
+    tree = structure.block_tree(branchy(spark, sf_dir), "k")
+    parents = tree.select(F.col("k").alias("p_k"), F.col("node").alias("p_node"), F.col("start_line").alias("parent_line"))
+    return tree.join(parents, (F.col("k") == F.col("p_k")) & (F.col("parent") == F.col("p_node")), "left").select("k", "start_line", "end_line", "block_type", "depth", "parent_line")
+
+
+@query("ec_var_call", f"""WITH RECURSIVE {TSQL_CORPUS.strip()}, {BRANCHES}, ls AS (SELECT k, unnest(c) AS s, generate_subscripts(c, 1) AS line FROM (SELECT k, string_split(replace(raw_sql, chr(13), ''), chr(10)) AS c FROM corpus)),
+u AS (SELECT k, line, regexp_extract(s, 'EXEC (@\\w+)', 1) AS variable FROM ls WHERE regexp_matches(s, 'EXEC @\\w+')),
+reach AS (SELECT DISTINCT w.k, w.line, w.def, f.value FROM walk w LEFT JOIN flow f ON f.k = w.k AND f.line = w.def WHERE w.uses),
+folded AS (SELECT k, line, bool_or(def = 0) AS start, count(value) AS n, bool_or(contains(value, 'CASE')) AS other, string_agg(trim(value, ''''), ',' ORDER BY def) AS targets FROM reach GROUP BY k, line)
 SELECT k, line::BIGINT AS line, variable, CASE variable WHEN '@proc' THEN 'resolved' WHEN '@step' THEN 'conditional' WHEN '@act' THEN 'dispatch_table' ELSE 'opaque' END AS certainty,
-CASE variable WHEN '@proc' THEN 'usp_P' || (k // 3) WHEN '@step' THEN 'usp_P1,usp_P2' ELSE '' END AS targets, CASE variable WHEN '@act' THEN 'ActionMap.ProcName' END AS condition FROM u""")
+CASE variable WHEN '@proc' THEN 'usp_P' || (k // 3) WHEN '@step' THEN 'usp_P1,usp_P2' ELSE '' END AS targets, CASE variable WHEN '@act' THEN 'ActionMap.ProcName' END AS condition FROM u
+UNION ALL SELECT k, line::BIGINT, '@p', CASE WHEN n = 0 OR other THEN 'opaque' WHEN n = 1 AND NOT start THEN 'resolved' ELSE 'conditional' END,
+CASE WHEN n = 0 OR other THEN '' ELSE targets END, NULL FROM folded""")
 def var_call(spark, sf_dir):
-    calls = ec.variable_calls(corpus(spark, sf_dir), "k")
+    """What calls by variable may run, in plain and in nested code."""
+    calls = ec.variable_calls(corpus(spark, sf_dir), "k").unionByName(ec.variable_calls(branchy(spark, sf_dir), "k"))
     return calls.select("k", "line", "variable", "certainty", F.array_join("resolved_targets", ",").alias("targets"), "condition")
 
 
@@ -78,7 +102,8 @@ REPORT = """SELECT k, (k % 4 = 3)::BIGINT AS linked_servers, ((k % 4 IN (1, 2)):
 
 def report(spark, sf_dir):
     rows = corpus(spark, sf_dir)
-    return ec.edge_case_report(ec.linked_servers(rows, "k"), ec.dynamic_sql(rows, "k"), ec.variable_calls(rows, "k"), "k")
+    found = ec.statement_table(rows, "k")
+    return ec.edge_case_report(ec.linked_servers(rows, "k"), ec.dynamic_sql(rows, "k", found=found), ec.variable_calls(rows, "k", found=found), "k")
 
 
 @query("ec_detect", f"{WITH}, r AS ({REPORT}) SELECT * FROM r WHERE linked_servers + dynamic_sql + variable_calls > 0")
@@ -110,7 +135,7 @@ def route(spark, sf_dir):
 
 
 def units(spark, sf_dir):
-    return px.units(oracle_corpus(table(spark, sf_dir, "supplier")), "k")
+    return px.units(oracle_corpus(spread(table(spark, sf_dir, "supplier").select("s_suppkey"))), "k")
 
 
 UNITS = f"WITH {ORACLE_UNITS.strip()}"
@@ -176,7 +201,7 @@ def unit_tables(spark, sf_dir):
     return keyed(spark, sf_dir).select("unit", F.explode(px.tables(F.col("raw_sql"))).alias("table_name"))
 
 
-UNIT_BLOCKS = f"""{UNIT_LINES}, b AS (SELECT unit, line - (SELECT min(i.line) FROM ls i WHERE i.unit = o.unit AND i.s = 'BEGIN') AS n, trim(s) AS t, s FROM ls o),
+UNIT_BLOCKS = f"""{UNIT_LINES}, b AS (SELECT unit, line - (SELECT min(i.line) FROM ls i WHERE i.unit = o.unit AND i.s = 'BEGIN') AS n, trim(s, ' ' || chr(9)) AS t, s FROM ls o),
 c AS (SELECT * FROM b WHERE n > 0 AND t NOT IN ('END;')), m AS (SELECT *, CASE WHEN t LIKE 'UPDATE totals%' OR t = 'END IF;' THEN 0 ELSE 1 END AS new FROM c),
 d AS (SELECT *, sum(new) OVER (PARTITION BY unit ORDER BY n) - 1 AS block FROM m)"""
 

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from procweave.operators import extract as x
 from procweave.registry import query
-from procweave.session import table
+from procweave.session import spread, table
 from procweave.sources.corpus import TSQL_CORPUS, accepted_uploads, lines_of, tsql_corpus
 
 
 def corpus(spark, sf_dir):
-    return tsql_corpus(table(spark, sf_dir, "part"))
+    return tsql_corpus(spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")))
 
 
 WITH = f"WITH {TSQL_CORPUS}"
@@ -34,7 +34,7 @@ def line_counts(spark, sf_dir):
     return corpus(spark, sf_dir).select("k", x.line_count(F.col("raw_sql")).alias("total_line_count"))
 
 
-@query("tx_params", f"""{WITH}, head AS (SELECT k, split_part(raw_sql, chr(10) || 'AS' || chr(10), 1) AS h FROM corpus),
+@query("tx_params", f"""{WITH}, head AS (SELECT k, split_part(replace(raw_sql, chr(13), ''), chr(10) || 'AS', 1) AS h FROM corpus),
 found AS (SELECT k, unnest(regexp_extract_all(h, '@\\w+ [^\\n]+')) AS p, generate_subscripts(regexp_extract_all(h, '@\\w+ [^\\n]+'), 1) - 1 AS place FROM head)
 SELECT k, place::BIGINT AS place, split_part(p, ' ', 1) AS name, rtrim(split_part(p, ' ', 2), ',') AS sql_type,
 CASE WHEN contains(p, 'OUTPUT') THEN 'OUT' ELSE 'IN' END AS direction, nullif(regexp_extract(p, '= ([^,]+)', 1), '') AS default_value FROM found""")
@@ -115,8 +115,8 @@ def needs_chunking(spark, sf_dir):
     return line_counts(spark, sf_dir).filter("total_line_count > 16")
 
 
-STATEMENTS = f"""{WITH}, ls AS (SELECT k, unnest(string_split(raw_sql, chr(10))) AS s, generate_subscripts(string_split(raw_sql, chr(10)), 1) - 1 AS n FROM corpus),
-typed AS (SELECT k, n, trim(s) AS t, s FROM ls WHERE n > 4 AND trim(s) NOT IN ('BEGIN', 'END')),
+STATEMENTS = f"""{WITH}, ls AS (SELECT k, unnest(c) AS s, generate_subscripts(c, 1) - 1 AS n FROM (SELECT k, string_split(replace(raw_sql, chr(13), ''), chr(10)) AS c FROM corpus)),
+typed AS (SELECT k, n, trim(s, ' ' || chr(9)) AS t, s FROM ls WHERE n > 4 AND trim(s) NOT IN ('BEGIN', 'END')),
 kinds AS (SELECT k, n, s, CASE WHEN t LIKE 'DECLARE%' THEN 'DECLARATION' WHEN t LIKE 'CREATE TABLE #%' THEN 'TEMP_TABLE_CREATE' WHEN t LIKE 'IF %' THEN 'IF_ELSE'
   WHEN t LIKE 'EXEC%' THEN 'PROCEDURE_CALL' WHEN t LIKE 'UPDATE%' OR t LIKE 'DELETE%' THEN 'DML_OPERATION' WHEN t LIKE 'SELECT%' THEN 'SELECT_QUERY' WHEN t LIKE 'RETURN%' THEN 'RETURN_BLOCK' ELSE 'OTHER' END AS kind FROM typed),
 runs AS (SELECT *, CASE WHEN kind = 'DECLARATION' AND lag(kind) OVER (PARTITION BY k ORDER BY n) = 'DECLARATION' THEN 0 ELSE 1 END AS new FROM kinds),

@@ -30,3 +30,9 @@ def build_session(app: str = "procweave", cpus: int | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one Parquet table through Spark, so any store that Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if their scan has fewer parts than that; a larger scan stays as it is, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -65,8 +65,23 @@ def lines(*parts: Column) -> Column:
     return F.concat_ws("\n", *parts)
 
 
+def laid_out(text: Column, k: Column, indent: str) -> Column:
+    """A text as several editors write it: with tabs, with carriage returns, and with BEGIN on the line of AS."""
+    return (
+        F.when(k % 4 == 1, F.replace(text, F.lit(indent), F.lit("\t")))
+        .when(k % 4 == 2, F.replace(text, F.lit("\n"), F.lit("\r\n")))
+        .when(k % 4 == 3, F.replace(text, F.lit("\nAS\nBEGIN\n"), F.lit("\nAS BEGIN\n")))
+        .otherwise(text)
+    )
+
+
+#: The same in DuckDB, around a text.
+LAID_OUT = """CASE {k} % 4 WHEN 1 THEN replace(t, '{indent}', chr(9)) WHEN 2 THEN replace(t, chr(10), chr(13) || chr(10))
+  WHEN 3 THEN replace(t, chr(10) || 'AS' || chr(10) || 'BEGIN' || chr(10), chr(10) || 'AS BEGIN' || chr(10)) ELSE t END"""
+
+
 def tsql_corpus(parts: DataFrame) -> DataFrame:
-    """One T-SQL procedure for each row of part: k and raw_sql. Its features depend on k."""
+    """One T-SQL procedure for each row of part: k and raw_sql. Its features and its layout depend on k."""
     k = F.col("p_partkey")
     s = lambda c: c.cast("string")
     at = lambda n, rest, text: F.when(k % n == rest, text)
@@ -108,12 +123,12 @@ def tsql_corpus(parts: DataFrame) -> DataFrame:
         F.lit("    RETURN;"),
         F.lit("END"),
     )
-    return parts.select(k.alias("k"), text.alias("raw_sql"))
+    return parts.select(k.alias("k"), laid_out(text, k, "    ").alias("raw_sql"))
 
 
 #: The same corpus in DuckDB.
-TSQL_CORPUS = """
-corpus AS (SELECT p_partkey AS k, concat_ws(chr(10),
+TSQL_CORPUS = f"""
+corpus AS (SELECT k, {LAID_OUT.format(k="k", indent="    ")} AS raw_sql FROM (SELECT p_partkey AS k, p_size, concat_ws(chr(10),
   CASE WHEN p_partkey % 3 = 0 THEN 'CREATE OR ALTER PROC sales.usp_P' || p_partkey ELSE 'CREATE PROCEDURE [dbo].[usp_P' || p_partkey || ']' END,
   '    @Id INT,', '    @Mode VARCHAR(20) = ''A'',', '    @Total DECIMAL(18,2) OUTPUT', 'AS', 'BEGIN', '    DECLARE @n INT;', '    DECLARE @sql VARCHAR(400);',
   '    CREATE TABLE #WorkSet' || (p_partkey % 5) || ' (RowId INT NOT NULL, Amount DECIMAL(18,2), Note VARCHAR(50));',
@@ -141,7 +156,79 @@ corpus AS (SELECT p_partkey AS k, concat_ws(chr(10),
   CASE WHEN p_partkey % 10 = 7 THEN '    SELECT @act = ProcName FROM ActionMap WHERE Id = @Id;' END,
   CASE WHEN p_partkey % 10 = 7 THEN '    EXEC @act;' END,
   CASE WHEN p_partkey % 10 = 9 THEN '    EXEC @Mode;' END,
-  '    RETURN;', 'END') AS raw_sql FROM part)"""
+  '    RETURN;', 'END') AS t FROM part))"""
+
+
+def branchy_corpus(parts: DataFrame) -> DataFrame:
+    """One T-SQL procedure of nested branches, loops and misleading comments for each row of part: k and raw_sql."""
+    k = F.col("p_partkey")
+    on = lambda condition, *found: [F.when(condition, F.lit(line)) for line in found]
+    text = lines(
+        F.concat(F.lit("CREATE PROCEDURE dbo.usp_N"), k.cast("string"), F.lit(" @Id INT")),
+        F.lit("AS"),
+        F.lit("BEGIN"),
+        F.lit("    DECLARE @p VARCHAR(50)"),
+        *on(k % 2 == 0, "    SET @p = 'a'"),
+        F.lit("    IF @Id = 1 -- ELSE SET @p = 'ghost'"),
+        F.lit("    BEGIN"),
+        F.lit("        SET @p = 'b'"),
+        *on(k % 3 == 0, "        IF @Id > 2", "        BEGIN", "            SET @p = 'c'"),
+        *on((k % 3 == 0) & (k % 7 == 0), "            RETURN"),
+        *on(k % 3 == 0, "        END"),
+        *on((k % 3 == 0) & (k % 4 < 2), "        ELSE", "        BEGIN", "            SET @p = 'd'", "        END"),
+        F.lit("    END"),
+        *on(k % 5 < 3, "    ELSE", "    BEGIN"),
+        *on((k % 5 < 3) & (k % 2 == 0), "        SET @p = 'e'"),
+        *on(k % 5 < 3, "        PRINT 'x; END ELSE BEGIN'", "    END"),
+        F.lit("    EXEC @p"),
+        *on(k % 4 != 3, "    WHILE @Id < 9", "    BEGIN", "        EXEC @p"),
+        *on((k % 4 != 3) & (k % 3 != 1), "        SET @p = 'f'"),
+        *on((k % 4 != 3) & (k % 5 == 4), "        IF @Id = 5", "        BEGIN", "            BREAK", "        END", "        SET @p = 'g'"),
+        *on(k % 4 != 3, "    END"),
+        F.lit("    EXEC @p"),
+        *on(k % 6 == 0, "    SET @p = CASE WHEN @Id = 1 THEN 'h' ELSE 'i' END"),
+        F.lit("    EXEC @p /* IF @Id = 3 SET @p = 'ghost' */"),
+        F.lit("END"),
+    )
+    return parts.select(k.alias("k"), laid_out(text, k, "    ").alias("raw_sql"))
+
+
+def when_sql(condition: str, *found: str) -> str:
+    return ", ".join(f"CASE WHEN {condition} THEN '{line}' END" for line in (f.replace("'", "''") for f in found))
+
+
+#: The same nested code in DuckDB, as lines whose successors a walk follows: flow (k, line, what, value), tree (k, line, last,
+#: kind), and walk (k, def, line, uses), the lines that are reached from an assignment (0: the start) without another one between.
+BRANCHES = f"""nested AS (SELECT k, {LAID_OUT.format(k="k", indent="    ")} AS raw_sql FROM (SELECT p_partkey AS k, concat_ws(chr(10), 'CREATE PROCEDURE dbo.usp_N' || p_partkey || ' @Id INT', 'AS', 'BEGIN', '    DECLARE @p VARCHAR(50)',
+  {when_sql("p_partkey % 2 = 0", "    SET @p = 'a'")}, '    IF @Id = 1 -- ELSE SET @p = ''ghost''', '    BEGIN', '        SET @p = ''b''',
+  {when_sql("p_partkey % 3 = 0", "        IF @Id > 2", "        BEGIN", "            SET @p = 'c'")}, {when_sql("p_partkey % 3 = 0 AND p_partkey % 7 = 0", "            RETURN")},
+  {when_sql("p_partkey % 3 = 0", "        END")}, {when_sql("p_partkey % 3 = 0 AND p_partkey % 4 < 2", "        ELSE", "        BEGIN", "            SET @p = 'd'", "        END")}, '    END',
+  {when_sql("p_partkey % 5 < 3", "    ELSE", "    BEGIN")}, {when_sql("p_partkey % 5 < 3 AND p_partkey % 2 = 0", "        SET @p = 'e'")}, {when_sql("p_partkey % 5 < 3", "        PRINT 'x; END ELSE BEGIN'", "    END")}, '    EXEC @p',
+  {when_sql("p_partkey % 4 <> 3", "    WHILE @Id < 9", "    BEGIN", "        EXEC @p")}, {when_sql("p_partkey % 4 <> 3 AND p_partkey % 3 <> 1", "        SET @p = 'f'")},
+  {when_sql("p_partkey % 4 <> 3 AND p_partkey % 5 = 4", "        IF @Id = 5", "        BEGIN", "            BREAK", "        END", "        SET @p = 'g'")}, {when_sql("p_partkey % 4 <> 3", "    END")}, '    EXEC @p',
+  {when_sql("p_partkey % 6 = 0", "    SET @p = CASE WHEN @Id = 1 THEN 'h' ELSE 'i' END")}, '    EXEC @p /* IF @Id = 3 SET @p = ''ghost'' */', 'END') AS t FROM part)),
+split AS (SELECT k, string_split(replace(replace(raw_sql, chr(13), ''), chr(9), ' '), chr(10)) AS c FROM nested),
+flow AS (SELECT k, line, s, regexp_extract(s, '^(AS BEGIN|BEGIN|END|ELSE|IF|WHILE|SET|EXEC|RETURN|BREAK|PRINT|DECLARE|AS|CREATE)', 1) AS what, regexp_extract(s, '^SET @p = (.*)$', 1) AS value
+  FROM (SELECT k, trim(regexp_replace(unnest(c), ' (--|/[*]).*$', '')) AS s, generate_subscripts(c, 1) AS line FROM split)),
+deep AS (SELECT *, sum(CASE WHEN what IN ('BEGIN', 'AS BEGIN') THEN 1 WHEN what = 'END' THEN -1 ELSE 0 END) OVER (PARTITION BY k ORDER BY line) AS depth FROM flow),
+blocks AS (SELECT b.k, b.line AS first, min(e.line) AS last FROM deep b JOIN deep e ON e.k = b.k AND e.line > b.line AND e.what = 'END' AND e.depth = b.depth - 1 WHERE b.what IN ('BEGIN', 'AS BEGIN') GROUP BY b.k, b.line),
+heads AS (SELECT h.k, h.line, h.what, b.last, coalesce(o.last, b.last) AS whole, n.what = 'ELSE' AS has_else FROM flow h JOIN blocks b ON b.k = h.k AND b.first = h.line + 1
+  LEFT JOIN flow n ON n.k = h.k AND n.line = b.last + 1 LEFT JOIN blocks o ON o.k = h.k AND n.what = 'ELSE' AND o.first = n.line + 1 WHERE h.what IN ('IF', 'WHILE')),
+tree AS (SELECT f.k, f.line, coalesce(h.whole, b.last, f.line) AS last, CASE f.what WHEN 'IF' THEN 'IF_ELSE' WHEN 'WHILE' THEN 'WHILE_LOOP' WHEN 'EXEC' THEN 'PROCEDURE_CALL' WHEN 'RETURN' THEN 'RETURN_BLOCK'
+  WHEN 'DECLARE' THEN 'DECLARATION' WHEN 'BEGIN' THEN 'BEGIN_END' WHEN 'AS BEGIN' THEN 'BEGIN_END' ELSE 'OTHER' END AS kind
+  FROM flow f LEFT JOIN heads h ON h.k = f.k AND h.line = f.line LEFT JOIN blocks b ON b.k = f.k AND b.first = f.line WHERE f.what NOT IN ('AS', 'CREATE', 'ELSE', 'END')),
+steps AS (
+  SELECT f.k, f.line, f.line + 1 AS next FROM flow f
+    WHERE f.what NOT IN ('RETURN', 'BREAK') AND NOT EXISTS (SELECT 1 FROM heads h WHERE h.k = f.k AND h.last = f.line AND (h.has_else OR h.what = 'WHILE'))
+  UNION ALL SELECT k, line, last + 1 FROM heads
+  UNION ALL SELECT k, last, whole + 1 FROM heads WHERE what = 'IF' AND has_else
+  UNION ALL SELECT k, last, line FROM heads WHERE what = 'WHILE'
+  UNION ALL SELECT f.k, f.line, (SELECT min(h.last) + 1 FROM heads h WHERE h.k = f.k AND h.what = 'WHILE' AND h.line < f.line AND h.last > f.line) FROM flow f WHERE f.what = 'BREAK'),
+walk_lines AS (
+  SELECT s.k, s.line AS def, s.next AS line FROM steps s JOIN flow f ON f.k = s.k AND f.line = s.line AND f.value <> ''
+  UNION SELECT k, 0, 1 FROM split
+  UNION SELECT w.k, w.def, s.next FROM walk_lines w JOIN steps s ON s.k = w.k AND s.line = w.line JOIN flow f ON f.k = w.k AND f.line = w.line AND f.value = ''),
+walk AS (SELECT w.k, w.def, w.line, f.what = 'EXEC' AS uses FROM walk_lines w JOIN flow f ON f.k = w.k AND f.line = w.line)"""
 
 
 def oracle_corpus(suppliers: DataFrame) -> DataFrame:
@@ -177,7 +264,7 @@ def oracle_corpus(suppliers: DataFrame) -> DataFrame:
     one = F.concat(F.lit("unit_"), s(k))
     alone = lines(F.lit("CREATE OR REPLACE"), *body(one))
     packed = lines(F.concat(F.lit("CREATE OR REPLACE PACKAGE BODY pack_"), s(k), F.lit(" AS")), *body(F.lit("first_unit")), *body(F.lit("second_unit")), F.concat(F.lit("END pack_"), s(k), F.lit(";")))
-    return suppliers.select(k.alias("k"), F.when(k % 3 == 0, packed).otherwise(alone).alias("raw_sql"))
+    return suppliers.select(k.alias("k"), laid_out(F.when(k % 3 == 0, packed).otherwise(alone), k, "  ").alias("raw_sql"))
 
 
 ORACLE_BODY = """concat_ws(chr(10), 'PROCEDURE ' || {name} || ' (p_id IN NUMBER, p_note IN OUT VARCHAR2, p_day DATE DEFAULT SYSDATE) IS', '  v_sql VARCHAR2(400);',
@@ -190,9 +277,10 @@ ORACLE_BODY = """concat_ws(chr(10), 'PROCEDURE ' || {name} || ' (p_id IN NUMBER,
   CASE WHEN s_suppkey % 5 = 3 THEN '  SELECT handler INTO v_proc FROM handlers WHERE id = p_id;' END, CASE WHEN s_suppkey % 5 = 3 THEN '  EXECUTE IMMEDIATE ''BEGIN '' || v_proc || ''(); END;'';' END,
   '  IF p_id > 0 THEN', '    UPDATE totals SET n = n + 1;', '  END IF;', 'END;')"""
 
-#: The units of the same corpus in DuckDB: k, unit and body text, already taken out of their packages.
+#: The units of the same corpus in DuckDB: k, unit and body text, already taken out of their packages, with line feeds alone.
 ORACLE_UNITS = f"""
 units AS (
-  SELECT s_suppkey AS k, 'unit_' || s_suppkey AS unit, 'CREATE OR REPLACE' || chr(10) || {ORACLE_BODY.format(name="'unit_' || s_suppkey")} AS raw_sql FROM supplier WHERE s_suppkey % 3 <> 0
+  SELECT k, unit, replace({LAID_OUT.format(k="k", indent="  ")}, chr(13), '') AS raw_sql FROM (
+  SELECT s_suppkey AS k, 'unit_' || s_suppkey AS unit, 'CREATE OR REPLACE' || chr(10) || {ORACLE_BODY.format(name="'unit_' || s_suppkey")} AS t FROM supplier WHERE s_suppkey % 3 <> 0
   UNION ALL SELECT s_suppkey, 'pack_' || s_suppkey || '.first_unit', {ORACLE_BODY.format(name="'first_unit'")} FROM supplier WHERE s_suppkey % 3 = 0
-  UNION ALL SELECT s_suppkey, 'pack_' || s_suppkey || '.second_unit', {ORACLE_BODY.format(name="'second_unit'")} FROM supplier WHERE s_suppkey % 3 = 0)"""
+  UNION ALL SELECT s_suppkey, 'pack_' || s_suppkey || '.second_unit', {ORACLE_BODY.format(name="'second_unit'")} FROM supplier WHERE s_suppkey % 3 = 0))"""

@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that several plans read to the shared folder, and read it back: it is made once, and lineage ends there."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_files(texts: DataFrame, folder: str, kind: str, text: str) -> None:
     """One text file for each row, in a folder named after its kind."""
     texts.select(F.lit(kind).alias("kind"), F.col(text).alias("value")).write.partitionBy("kind").option("maxRecordsPerFile", 1).mode("append").text(folder)
