@@ -41,13 +41,16 @@ def analyze_procedures(procedures: DataFrame, config: AnalysisConfig | None = No
     if config.dialect == "oracle":
         calls = rows.select(key, F.explode(plsql.called(text)).alias("callee"))
         tables = rows.select(key, F.explode(plsql.tables(text)).alias("table_name"))
-        linked, dynamic, variable = (f(rows, key) for f in (edge_cases.database_links, edge_cases.immediate_sql, edge_cases.dispatches))
+        found = edge_cases.statement_table(rows, key, dialect=edge_cases.PLSQL)
+        linked = edge_cases.database_links(rows, key)
+        dynamic, variable = edge_cases.immediate_sql(rows, key, found=found), edge_cases.dispatches(rows, key, found=found)
         temps = rows.select(key, F.explode(plsql.collections(text)).alias("name"))
     else:
         calls = rows.select(key, F.explode(extract.called_procedures(text, config.mode)).alias("callee"))
-        tables = rows.select(key, F.explode(extract.referenced_tables(text)).alias("table_name"))
+        found = edge_cases.statement_table(rows, key)
+        tables = found.select(key, F.explode("tables").alias("t")).select(key, F.col("t.name").alias("table_name")).distinct()
         linked = edge_cases.linked_servers(rows, key, mode=config.mode)
-        dynamic, variable = edge_cases.dynamic_sql(rows, key), edge_cases.variable_calls(rows, key)
+        dynamic, variable = edge_cases.dynamic_sql(rows, key, found=found), edge_cases.variable_calls(rows, key, found=found)
         temps = extract.temp_tables(rows, key, mode=config.mode)
     edges = graph.typed_edges(calls, linked, dynamic, variable, tables, temps, key)
     by_call = edges.filter("rel = 'CALLS'").select("src", "dst")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from procweave.operators import edge_cases as ec
 from procweave.operators import plsql as px
 from procweave.operators import structure
-from procweave.plans.extraction import WITH, corpus
+from procweave.operators.names import table_references
+from procweave.plans.extraction import WITH, corpus, scoped_corpus, scoped_sql
 from procweave.registry import query
 from procweave.session import spread, table
 from procweave.sources.corpus import BRANCHES, ORACLE_UNITS, TSQL_CORPUS, branchy_corpus, lines_of, oracle_corpus
@@ -195,10 +196,20 @@ def syspkg(spark, sf_dir):
     return keyed(spark, sf_dir).select("unit", F.explode(F.array_distinct(names)).alias("qualified"))
 
 
+SCOPED_UNITS = (
+    ("INSERT INTO tgt_# SELECT a FROM (WITH f# AS (SELECT 1 FROM base_#) SELECT a FROM f#) q; SELECT a INTO v FROM f#;", ("tgt_#", "base_#", "f#")),
+    ("FOR r IN (SELECT x FROM looped_# l FOR UPDATE OF x) LOOP DELETE FROM gone_# WHERE a = r.x; END LOOP;", ("looped_#", "gone_#")),
+    ('MERGE INTO m_# USING s_# ON (m.a = s.a) WHEN MATCHED THEN UPDATE SET b = 1; SELECT a INTO v FROM "Quoted #" q;', ("m_#", "s_#", "Quoted #")),
+)
+
+
 @query("px_table_refs", f"""{UNITS}, f AS (SELECT unit, unnest(regexp_extract_all(raw_sql, '(?:FROM|INTO|UPDATE) (\\w+)[^\\w@]', 1)) AS t FROM units)
-SELECT DISTINCT unit, t AS table_name FROM f WHERE NOT regexp_matches(t, '^[vlp]_') AND t <> 'old_rows'""")
+SELECT DISTINCT unit, t AS table_name FROM f WHERE NOT regexp_matches(t, '^[vlp]_') AND t <> 'old_rows'
+UNION ALL SELECT 'scoped_' || k, table_name FROM ({scoped_sql("supplier", "s_suppkey", SCOPED_UNITS)})""")
 def unit_tables(spark, sf_dir):
-    return keyed(spark, sf_dir).select("unit", F.explode(px.tables(F.col("raw_sql"))).alias("table_name"))
+    suppliers = spread(table(spark, sf_dir, "supplier").select("s_suppkey"))
+    scoped = scoped_corpus(suppliers, F.col("s_suppkey"), SCOPED_UNITS, "PROCEDURE p IS\nBEGIN\n", "\nEND;").select(F.concat(F.lit("scoped_"), F.col("k").cast("string")).alias("unit"), "raw_sql")
+    return table_references(keyed(spark, sf_dir).unionByName(scoped), "unit", syntax=structure.PLSQL).select("unit", "table_name")
 
 
 UNIT_BLOCKS = f"""{UNIT_LINES}, b AS (SELECT unit, line - (SELECT min(i.line) FROM ls i WHERE i.unit = o.unit AND i.s = 'BEGIN') AS n, trim(s, ' ' || chr(9)) AS t, s FROM ls o),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from procweave.operators import extract as x
+from procweave.operators.names import table_references
 from procweave.registry import query
 from procweave.session import spread, table
 from procweave.sources.corpus import TSQL_CORPUS, accepted_uploads, lines_of, tsql_corpus
@@ -90,9 +91,32 @@ true_tables AS (SELECT DISTINCT k, t FROM found WHERE NOT starts_with(t, '#') AN
 TABLES = f"{PLAIN_TABLES} SELECT k, t AS table_name FROM true_tables"
 
 
-@query("tx_table_refs", TABLES)
+#: Statements whose names have to be resolved in their scopes, one for each row of part, and the tables that they name.
+SCOPED = (
+    ("WITH F# AS (SELECT a FROM Base#) SELECT a FROM F#; SELECT a FROM dbo.F#", ("Base#", "F#")),
+    ("SELECT a FROM [My Table #] m, (SELECT b FROM Deep# d) q JOIN Joined# ON 1 = 1", ("My Table #", "Deep#", "Joined#")),
+    ("UPDATE t SET a = 1 FROM Orders# t WHERE EXISTS (SELECT 1 FROM Lines# l WHERE l.x = t.x)", ("Orders#", "Lines#")),
+    ("DELETE o FROM Past# AS o WHERE o.x IN (SELECT x FROM #t)", ("Past#",)),
+    ("MERGE INTO Goal# AS t USING (SELECT a FROM Given#) s ON t.a = s.a WHEN MATCHED THEN UPDATE SET b = 1;", ("Goal#", "Given#")),
+)
+
+
+def scoped_corpus(rows, k, cases, head="", tail=""):
+    """k and raw_sql: each row has one of the cases, its number in the place of #."""
+    text = F.get(F.array(*[F.lit(head + c + tail) for c, _ in cases]), (k % len(cases)).cast("int"))
+    return rows.select(k.alias("k"), F.replace(F.replace(F.replace(text, F.lit("#t"), F.lit("\u0001")), F.lit("#"), k.cast("string")), F.lit("\u0001"), F.lit("#t")).alias("raw_sql"))
+
+
+def scoped_sql(table_name, key, cases):
+    lists = ", ".join("[" + ", ".join(f"'{t}'" for t in tables) + "]" for _, tables in cases)
+    return f"SELECT {key} AS k, replace(t, '#', {key}::VARCHAR) AS table_name FROM (SELECT {key}, unnest([{lists}][{key} % {len(cases)} + 1]) AS t FROM {table_name})"
+
+
+@query("tx_table_refs", f"{TABLES} UNION ALL {scoped_sql('part', 'p_partkey', SCOPED)}")
 def table_refs(spark, sf_dir):
-    return corpus(spark, sf_dir).select("k", F.explode(x.referenced_tables(F.col("raw_sql"))).alias("table_name"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey"))
+    found = table_references(corpus(spark, sf_dir), "k").unionByName(table_references(scoped_corpus(parts, F.col("p_partkey"), SCOPED), "k"))
+    return found.select("k", "table_name")
 
 
 @query("tx_table_refs_rx", f"""{WITH}, found AS (SELECT k, unnest(regexp_extract_all(raw_sql, '(?i)(?:FROM|JOIN|INTO|UPDATE) (\\w+)', 1)) AS t FROM corpus)
