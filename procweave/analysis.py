@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procweave.operators import edge_cases, extract, graph, plsql
@@ -98,6 +98,41 @@ def generate_in_order(planned: DataFrame, prompts: DataFrame, write: Callable[[s
     return joined.select("name", "level", outcome.alias("outcome"), "output", "error")
 
 
+def generate_by_level(planned: DataFrame, prompts: DataFrame, calls: DataFrame, write: Callable[[str], str], folder: str, context: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+    """Generate level by level, so that each prompt knows what its callees became: name, level, outcome, output, error.
+
+    planned is (name, level, defined), calls (src, dst), prompts (procedure_name, prompt). A prompt is followed by one line
+    for each callee, in order of name, which context makes of the callee's name, outcome and output. Every level is written
+    to its own folder and counts once its _SUCCESS is there; a run that is started again goes on after the last such level.
+    Names that the corpus does not define are skipped, names without a level (those on and above cycles) come last.
+    """
+    spark = planned.sparkSession
+    context = context or (lambda name, outcome, output: F.concat_ws(" ", outcome, name))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    level_path = lambda level: f"{folder}/level={level}"
+    is_done = lambda level: files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{level_path(level)}/_SUCCESS"))
+    schema = "name string, outcome string, output string, error string"
+    last = planned.agg(F.max("level")).first()[0]
+    # Names without a level follow all others; -1 stands for none.
+    for level in [*range(0 if last is None else last + 1), -1]:
+        if is_done(level):
+            continue
+        own = planned.filter(F.coalesce("level", F.lit(-1)) == level)
+        earlier = [level_path(n) for n in range(0 if last is None else last + 1) if (n < level or level < 0) and is_done(n)]
+        made = spark.read.schema(schema).parquet(*earlier) if earlier else spark.createDataFrame([], schema)
+        line = context(F.col("callee"), F.coalesce("outcome", F.lit("unknown")), F.col("output"))
+        of_callees = calls.select("src", F.col("dst").alias("callee")).distinct().join(own.select(F.col("name").alias("src")), "src", "left_semi").join(made.withColumnRenamed("name", "callee"), "callee", "left")
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("callee", line.alias("line")))), lambda x: x["line"]), "\n")
+        told = of_callees.groupBy(F.col("src").alias("told_name")).agg(listed.alias("told"))
+        whole = prompts.join(own.filter("defined").select("name"), F.col("procedure_name") == F.col("name"), "left_semi").join(told, F.col("procedure_name") == F.col("told_name"), "left")
+        whole = whole.select("procedure_name", F.concat_ws("\n", "prompt", "told").alias("prompt"))
+        generated = generate_in_order(own, whole, write).select("name", "outcome", "output", "error")
+        generated.write.mode("overwrite").parquet(level_path(level))
+    rows = spark.read.schema(schema + ", level long").option("basePath", folder).parquet(*[level_path(n) for n in [*range(0 if last is None else last + 1), -1]])
+    return rows.select("name", F.nullif("level", F.lit(-1)).alias("level"), "outcome", "output", "error")
+
+
 def generate_in_chunks(chunks: DataFrame, write: Callable[[str, str, str], str], key: str = "procedure_name", content: str = "sql_content") -> DataFrame:
     """Generate a large procedure chunk by chunk (key, chunk, position, content): key, output, error.
 

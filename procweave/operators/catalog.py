@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procweave.functions.dialect import camel_case, pascal_case, service_stem
+from procweave.operators.code import coded, items_of, up_to_close
 from procweave.operators.extract import found
 
 #: SQL Server type names, the target types of generated code and the Spark types.
@@ -56,36 +57,55 @@ def spark_type(sql_type: Column) -> Column:
     return F.when(plain == "decimal", F.concat(plain, F.coalesce(F.nullif(F.regexp_extract(sql_type, r"\(\s*\d+\s*(?:,\s*\d+\s*)?\)", 0), F.lit("")), F.lit("(18,0)")))).otherwise(plain)
 
 
-TABLE = r"(?i)CREATE\s+TABLE\s+(?:\[?(\w+)\]?\.)?\[?(\w+)\]?\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)"
+#: A name, quoted or not, and what begins a table's definition.
+NAME = r'\[[^\]]+\]|"[^"]+"|\w+'
+TABLE_HEAD = rf"(?i)\bCREATE\s+TABLE\s+(?:({NAME})\s*\.\s*)?({NAME})\s*\("
+
+
+def unquoted(name: Column) -> Column:
+    return F.regexp_replace(F.trim(name), r'^[\["]|[\]"]$', "")
 
 
 def tables(scripts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """One row a CREATE TABLE: schema (dbo if none), table, and the text between its brackets. Temporary tables are none."""
-    parts = F.arrays_zip(*[found(F.col(text), TABLE, i).alias(n) for i, n in ((1, "schema"), (2, "name"), (3, "body"))])
-    rows = scripts.select(*keys, F.posexplode(parts).alias("place", "t"))
-    return rows.select(*keys, F.col("place").cast("long"), F.coalesce(F.nullif("t.schema", F.lit("")), F.lit("dbo")).alias("schema_name"), F.col("t.name").alias("table_name"), F.col("t.body").alias("body"))
+    """One row a CREATE TABLE: schema (dbo if none), table, and the code between its brackets. Temporary tables are none.
+
+    Comments are blanks and literals are places, so neither hides a table nor splits a column.
+    """
+    code = scripts.select(*keys, F.explode(F.array(coded(F.col(text))["code"])).alias("code"))
+    rows = code.select(*keys, found(F.col("code"), TABLE_HEAD, 1).alias("schemas"), found(F.col("code"), TABLE_HEAD, 2).alias("names"), F.posexplode(F.split("code", TABLE_HEAD, -1)).alias("part", "rest")).filter("part > 0")
+    schema, name = F.get("schemas", F.col("part") - 1), F.get("names", F.col("part") - 1)
+    return rows.select(*keys, (F.col("part") - 1).cast("long").alias("place"), unquoted(F.coalesce(F.nullif(schema, F.lit("")), F.lit("dbo"))).alias("schema_name"), unquoted(name).alias("table_name"), up_to_close(F.col("rest")).alias("body"))
 
 
 def items(defined: DataFrame, keys: list[str]) -> DataFrame:
-    """The comma-separated items of each table's body; commas inside brackets do not split."""
-    hidden = F.col("body")
-    for _ in range(3):
-        hidden = F.regexp_replace(hidden, r"\(([^(),]*),", "($1\u0001")
-    rows = defined.select(*keys, F.posexplode(F.split(hidden, ",")).alias("at", "item"))
-    return rows.select(*keys, F.col("at").cast("long").alias("at"), F.trim(F.regexp_replace(F.replace("item", F.lit("\u0001"), F.lit(",")), r"\s+", " ")).alias("item"))
+    """The comma-separated items of each table's body; commas inside brackets, however deep, do not split."""
+    rows = defined.select(*keys, F.posexplode(items_of(F.col("body"))).alias("at", "item"))
+    return rows.select(*keys, F.col("at").cast("long").alias("at"), F.trim(F.regexp_replace("item", r"\s+", " ")).alias("item"))
+
+
+def names_listed(item: Column, word: str) -> Column:
+    """The names in the brackets after a word of an item, in order."""
+    rest = F.regexp_extract(item, rf"(?i)\b{word}\b[^(]*\((.*)$", 1)
+    return F.transform(items_of(up_to_close(rest)), lambda n: unquoted(F.regexp_extract(n, rf"^\s*({NAME})", 1)))
+
+
+def key_items(defined: DataFrame, keys: list[str], word: str) -> DataFrame:
+    """The items that are keys of a table, with or without a name of their own."""
+    return items(defined, keys).filter(F.rlike("item", F.lit(rf"(?i)^(CONSTRAINT ({NAME}) )?{word} KEY\b")))
 
 
 def columns(defined: DataFrame, keys: list[str]) -> DataFrame:
     """One row a column: place, name, type, nullability, identity, inline primary key, longest length, target type."""
     rows = items(defined, keys).filter(~F.rlike("item", F.lit(r"(?i)^(CONSTRAINT|PRIMARY KEY|FOREIGN KEY|UNIQUE|CHECK)\b")) & (F.col("item") != ""))
     item = F.col("item")
-    sql_type = F.regexp_extract(item, r"^\[?\w+\]?\s+(\w+(?:\s*\([^)]*\))?)", 1)
+    sql_type = F.regexp_extract(item, rf"^(?:{NAME})\s+\[?(\w+\]?(?:\s*\([^)]*\))?)", 1)
+    sql_type = F.replace(sql_type, F.lit("]"), F.lit(""))
     own_key = F.rlike(item, F.lit(r"(?i)\bPRIMARY KEY\b"))
     identity = F.rlike(item, F.lit(r"(?i)\bIDENTITY\b"))
     return rows.select(
         *keys,
         F.col("at").alias("place"),
-        F.regexp_extract(item, r"^\[?(\w+)\]?", 1).alias("column_name"),
+        unquoted(F.regexp_extract(item, rf"^({NAME})", 1)).alias("column_name"),
         sql_type.alias("sql_type"),
         (~F.rlike(item, F.lit(r"(?i)\bNOT NULL\b")) & ~own_key & ~identity).alias("nullable"),
         identity.alias("is_identity"),
@@ -100,24 +120,23 @@ def primary_keys(defined: DataFrame, keys: list[str], scope: str = "table", scri
 
     script is the column that tells scripts apart; without one, all tables come from one script.
     """
-    pattern = r"(?i)CONSTRAINT\s+\w+\s+PRIMARY\s+KEY\s*(?:CLUSTERED\s*|NONCLUSTERED\s*)?\(([^)]*)\)"
-    named = defined.select(*keys, F.explode(found(F.col("body"), pattern, 1)).alias("names"))
-    rows = named.select(*keys, F.posexplode(F.split("names", ",")).alias("at", "name"))
-    own = rows.select(*keys, F.col("at").cast("long").alias("key_place"), F.regexp_replace(F.trim("name"), r"^\[?(\w+)\]?.*$", "$1").alias("column_name"))
-    inline = columns(defined, keys).filter("is_primary_key").select(*keys, F.lit(0).cast("long").alias("key_place"), "column_name")
+    listed = key_items(defined, keys, "PRIMARY").select(*keys, F.posexplode(names_listed(F.col("item"), "KEY")).alias("at", "column_name"))
     if scope == "table":
+        own = listed.select(*keys, F.col("at").cast("long").alias("key_place"), "column_name")
+        inline = columns(defined, keys).filter("is_primary_key").select(*keys, F.lit(0).cast("long").alias("key_place"), "column_name")
         return own.unionByName(inline)
-    of = F.col(script) if script else F.lit(1)
-    named = defined.select(of.alias("_script"), F.explode(found(F.col("body"), pattern, 1)).alias("names")).select("_script", F.explode(F.split("names", ",")).alias("name"))
-    all_keys = named.select("_script", F.regexp_replace(F.trim("name"), r"^\[?(\w+)\]?.*$", "$1").alias("column_name")).distinct()
-    return defined.select(of.alias("_script"), *keys).join(all_keys, "_script").select("column_name", *keys)
+    scripts = defined.select(*keys, (F.col(script) if script else F.lit(1)).alias("_script"))
+    all_keys = listed.join(scripts, keys).select("_script", "column_name").distinct()
+    return scripts.join(all_keys, "_script").select("column_name", *keys)
 
 
 def foreign_keys(defined: DataFrame, keys: list[str]) -> DataFrame:
-    """Column, referenced table and referenced column of single-column foreign keys."""
-    pattern = r"(?i)FOREIGN\s+KEY\s*\(\s*\[?(\w+)\]?\s*\)\s*REFERENCES\s+(?:\[?\w+\]?\.)?\[?(\w+)\]?\s*\(\s*\[?(\w+)\]?\s*\)"
-    parts = F.arrays_zip(*[found(F.col("body"), pattern, i).alias(n) for i, n in ((1, "column_name"), (2, "referenced_table"), (3, "referenced_column"))])
-    return defined.select(*keys, F.explode(parts).alias("f")).select(*keys, "f.*")
+    """Column, referenced table and referenced column of foreign keys, one row for each column."""
+    item = F.col("item")
+    target = F.regexp_extract(item, rf"(?i)\bREFERENCES\s+(?:(?:{NAME})\s*\.\s*)?({NAME})\s*\(", 1)
+    pairs = F.arrays_zip(names_listed(item, "FOREIGN KEY").alias("column_name"), names_listed(item, "REFERENCES").alias("referenced_column"))
+    rows = key_items(defined, keys, "FOREIGN").filter(target != "").select(*keys, unquoted(target).alias("referenced_table"), F.explode(pairs).alias("f"))
+    return rows.select(*keys, "f.column_name", "referenced_table", "f.referenced_column")
 
 
 def stub_entities(referenced: DataFrame, known: DataFrame) -> DataFrame:

@@ -87,6 +87,15 @@ def levels(edges: DataFrame, names: DataFrame) -> DataFrame:
     raise RuntimeError("the graph is deeper than the most rounds")
 
 
+def plan(edges: DataFrame, procedures: DataFrame) -> DataFrame:
+    """name, level, external and cyclic of all that is called or calls: null levels stand on a cycle or above one."""
+    names = nodes(edges, procedures).select("name", (~F.col("defined")).alias("external"))
+    on_cycle = components(edges).select(F.col("name").alias("c_name"))
+    ordered = levels(edges, names).select(F.col("name").alias("l_name"), "level")
+    rows = names.join(ordered, F.col("name") == F.col("l_name")).join(on_cycle, F.col("name") == F.col("c_name"), "left")
+    return rows.select("name", "level", "external", F.col("c_name").isNotNull().alias("cyclic"))
+
+
 def callers(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """target, caller and distance of everything that reaches a target by calls."""
     back = cut(edges.select(F.col("dst").alias("at"), F.col("src").alias("caller")).distinct())

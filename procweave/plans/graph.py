@@ -56,13 +56,18 @@ def topo_order(spark, sf_dir):
     return g.levels(e, g.nodes(e))
 
 
-@query("g_plan", f"{LEVELS}, o AS (SELECT 'usp_P' || k AS name, max(level)::BIGINT AS level FROM l GROUP BY k) SELECT name, level, row_number() OVER (ORDER BY level, name) AS place FROM o")
+@query("g_plan", f"""{LEVELS}, o AS (SELECT 'usp_P' || k AS name, max(level)::BIGINT AS level, k NOT IN (SELECT p_partkey FROM part WHERE p_size > 10) AS external, false AS cyclic FROM l GROUP BY k
+UNION ALL SELECT 'ring_' || s_suppkey || '_' || i, NULL, false, true FROM supplier, range(3) t(i))
+SELECT name, level, external, cyclic, row_number() OVER (ORDER BY level NULLS LAST, name) AS place FROM o""")
 def plan(spark, sf_dir):
-    """The order of work: by level, then name."""
+    """The order of work: by level, then name; what the corpus does not define is marked, and what stands on a cycle."""
     from procweave.operators.ranking import global_row_number
 
-    e = tree(spark, sf_dir)
-    return global_row_number(g.levels(e, g.nodes(e)), "level", ["name"], descending=False, into="place")
+    member = lambda i: F.concat(F.lit("ring_"), F.col("s_suppkey").cast("string"), F.lit("_"), i.cast("string"))
+    rings = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("i"))
+    e = tree(spark, sf_dir).unionByName(rings.select(member(F.col("i")).alias("src"), member((F.col("i") + 1) % 3).alias("dst")))
+    own = table(spark, sf_dir, "part").filter("p_size > 10").select(F.concat(F.lit("usp_P"), F.col("p_partkey").cast("string")).alias("name"))
+    return global_row_number(g.plan(e, own.unionByName(rings.select(member(F.col("i")).alias("name")))), "level", ["name"], descending=False, into="place")
 
 
 CYCLES = """('usp_P1 -> usp_P2 -> usp_P1', 2), ('usp_P2 -> usp_P4 -> usp_P2', 2), ('usp_P3 -> usp_P6 -> usp_P3', 2), ('usp_P4 -> usp_P8 -> usp_P4', 2), ('usp_P10 -> usp_P5 -> usp_P10', 2), ('usp_P7 -> usp_P7', 1)"""

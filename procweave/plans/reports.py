@@ -5,21 +5,27 @@ Generated texts are stood in for by the pages' markup, runs and logs by events,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from procweave.analysis import generate_in_chunks, generate_in_order
+from procweave.analysis import generate_by_level, generate_in_chunks
 from procweave.operators import catalog as c
 from procweave.operators import edge_cases as ec
 from procweave.operators import extract as x
 from procweave.operators import graph as g
 from procweave.operators import quality_rules as q
 from procweave.operators.changes import delete_cascade, update_where
+from procweave.operators.code import unified
+from procweave.operators.splitting import TSQL_SEPARATORS, split_ranked
 from procweave.plans.edge_cases import REPORT, report
 from procweave.plans.extraction import STATEMENTS, WITH, corpus
 from procweave.plans.graph import LEVELS, tree
 from procweave.registry import query
 from procweave.session import table
+from procweave.sources.corpus import TSQL_CORPUS
+from procweave.sources.sinks import shared_folder, write_json
 
 
 @query("ck_blocks", f"""{STATEMENTS}, b AS (SELECT k, block, string_agg(s, chr(10) ORDER BY n) AS content FROM numbered GROUP BY k, block),
@@ -35,7 +41,41 @@ def chunks(spark, sf_dir):
     return q.split_text(docs, ["doc_id"], "text", size=2000, overlap=100)
 
 
-@query("ck_split", "SELECT doc_id, length(text)::BIGINT AS covered, true AS within FROM documents WHERE length(text) > 0")
+def sql_text(text):
+    """A text with line feeds as SQL."""
+    return " || ".join("chr(10)" if p == "\n" else f"'{p}'" for p in re.findall("\n|[^\n]+", text))
+
+
+CHUNK, OVERLAP = 300, 80
+
+#: Fragments by a recursion over the ranks, chunks by one over the fragments.
+RANKED = f"""WITH RECURSIVE {TSQL_CORPUS}, seps(rank, sep) AS (VALUES {", ".join(f"({i}, {sql_text(t)})" for i, t in enumerate(TSQL_SEPARATORS))}),
+f(k, rank, path, text, open, up) AS (
+  SELECT k, 0, [0::BIGINT], regexp_replace(replace(raw_sql, chr(13), ''), chr(10) || '[ ' || chr(9) || ']+', chr(10), 'g'), true, '' FROM corpus
+  UNION ALL SELECT k, rank + 1, list_append(path, j), piece, CASE WHEN cut THEN length(piece) >= {CHUNK} ELSE open END, CASE WHEN cut THEN rank || ' ' || path::VARCHAR ELSE up END
+  FROM (SELECT k, rank, path, open, up, cut, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS j FROM (
+    SELECT k, rank, path, open, up, open AND contains(text, sep) AS cut, CASE WHEN open AND contains(text, sep)
+      THEN list_filter(list_transform(string_split(text, sep), lambda p, i: CASE WHEN i = 1 THEN p ELSE sep || p END), lambda p: p <> '') ELSE [text] END AS pieces FROM (SELECT f.k, f.rank, path, text, open, up, sep FROM f JOIN seps ON seps.rank = f.rank)))),
+leaf AS (SELECT k, row_number() OVER w AS i, length(text) AS n, up, coalesce(sum(length(text)) OVER (PARTITION BY k ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM f WHERE rank = {len(TSQL_SEPARATORS)} WINDOW w AS (PARTITION BY k ORDER BY path)),
+m(k, i, starts, up, chunks) AS (
+  SELECT DISTINCT k, 0::BIGINT, []::BIGINT[], '', []::STRUCT(b BIGINT, e BIGINT, whole BOOLEAN)[] FROM leaf
+  UNION ALL SELECT k, i, CASE WHEN long THEN [] WHEN fits THEN list_append(starts, b) WHEN joins THEN list_append(list_filter(starts, lambda s: b - s <= {OVERLAP} AND b - s + n <= {CHUNK}), b) ELSE [b] END,
+    CASE WHEN long THEN '' ELSE up END, chunks || CASE WHEN len(starts) > 0 AND NOT fits THEN [{{'b': starts[1], 'e': b, 'whole': false}}] ELSE [] END || CASE WHEN long THEN [{{'b': b, 'e': b + n, 'whole': true}}] ELSE [] END
+  FROM (SELECT *, joins AND b - starts[1] + n <= {CHUNK} AS fits FROM (SELECT m.k, l.i, l.n, l.b, l.up, starts, chunks, l.n >= {CHUNK} AS long, l.n < {CHUNK} AND l.up = m.up AND len(starts) > 0 AS joins FROM m JOIN leaf l ON l.k = m.k AND l.i = m.i + 1))),
+ends AS (SELECT m.k, chunks || CASE WHEN len(starts) > 0 THEN [{{'b': starts[1], 'e': l.b + l.n, 'whole': false}}] ELSE [] END AS c FROM m JOIN leaf l ON l.k = m.k AND l.i = m.i WHERE m.i = (SELECT max(i) FROM leaf x WHERE x.k = m.k)),
+cut AS (SELECT k, unnest(c) AS c, generate_subscripts(c, 1) AS j FROM ends),
+shown AS (SELECT cut.k, j, trim(substr(t.text, (c.b + 1)::BIGINT, (c.e - c.b)::BIGINT), ' ' || chr(10) || chr(9)) AS content FROM cut JOIN f t ON t.k = cut.k AND t.rank = 0)
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY j) - 1 AS chunk, count(*) OVER (PARTITION BY k) AS total, content FROM shown WHERE content <> ''"""
+
+
+@query("ck_split", RANKED)
+def ranked_splits(spark, sf_dir):
+    """Sources without indentation, split by the ranked separators of their dialect."""
+    text = F.regexp_replace(unified(F.col("raw_sql")), r"\n[ \t]+", "\n")
+    return split_ranked(corpus(spark, sf_dir).select("k", text.alias("raw_sql")), ["k"], "raw_sql", CHUNK, OVERLAP, TSQL_SEPARATORS).select("k", "chunk", "total", "content")
+
+
+@query("ck_split_lines", "SELECT doc_id, length(text)::BIGINT AS covered, true AS within FROM documents WHERE length(text) > 0")
 def splits(spark, sf_dir):
     """What the chunks without their overlaps cover, and whether each is within the size."""
     rows = chunks(spark, sf_dir)
@@ -98,23 +138,79 @@ def edge_context(spark, sf_dir):
     return linked.groupBy("k").agg(F.array_join(listed, "\n").alias("context"))
 
 
-@query("mg_loop", f"""{LEVELS}, o AS (SELECT k, max(level)::BIGINT AS level FROM l GROUP BY k)
-SELECT 'usp_P' || k AS name, level, CASE WHEN k % 11 = 5 THEN 'skipped' WHEN k % 7 = 3 THEN 'failed' ELSE 'migrated' END AS outcome,
-CASE WHEN k % 11 <> 5 AND k % 7 <> 3 THEN 'USP_P' || k END AS output, CASE WHEN k % 11 <> 5 AND k % 7 = 3 THEN 'ValueError: usp_P' || k END AS error FROM o""")
+@query("mg_loop", """WITH RECURSIVE made(k, level, outcome, output) AS (
+SELECT 0::BIGINT, 0::BIGINT, 'migrated', 'USP_P0' UNION ALL
+SELECT p_partkey, level + 1, CASE WHEN p_partkey % 11 = 5 THEN 'skipped' WHEN p_partkey % 7 = 3 THEN 'failed' ELSE 'migrated' END,
+CASE WHEN p_partkey % 11 <> 5 AND p_partkey % 7 <> 3 THEN 'USP_P' || p_partkey || chr(10) || 'USP_P' || k || ' ' || CASE outcome WHEN 'migrated' THEN 'HAS ' || length(output) WHEN 'failed' THEN 'FAILED' ELSE 'IS EXTERNAL' END END
+FROM made JOIN part ON p_partkey > 0 AND p_partkey // 2 = k)
+SELECT 'usp_P' || k AS name, level, outcome, output, CASE WHEN outcome = 'failed' THEN 'ValueError: usp_P' || k END AS error FROM made""")
 def loop(spark, sf_dir):
-    """The order's items, one in eleven of them external: externals are skipped, and one failure does not stop the others."""
+    """Generation from the leaves on: each prompt tells what the callees became. One in eleven is external, one in seven fails."""
     edges = tree(spark, sf_dir)
     defined = corpus(spark, sf_dir).filter(F.col("k") % 11 != 5).select(F.concat(F.lit("usp_P"), F.col("k").cast("string")).alias("name"))
     nodes = g.nodes(edges, defined)
 
     def write(prompt):
-        if int(prompt.removeprefix("usp_P")) % 7 == 3:
-            raise ValueError(prompt)
+        name = prompt.split("\n")[0]
+        if int(name.removeprefix("usp_P")) % 7 == 3:
+            raise ValueError(name)
         return prompt.upper()
 
+    told = lambda name, outcome, output: F.concat(name, F.lit(" "), F.when(outcome == "migrated", F.concat(F.lit("has "), F.length(output).cast("string"))).when(outcome == "failed", "failed").otherwise("is external"))
     planned = g.levels(edges, nodes.select("name")).join(nodes, "name")
     prompts = nodes.filter("defined").select(F.col("name").alias("procedure_name"), F.col("name").alias("prompt"))
-    return generate_in_order(planned, prompts, write)
+    return generate_by_level(planned, prompts, edges, write, shared_folder(spark, "generated"), told)
+
+
+def services(spark, sf_dir):
+    """Generated services, one for each part, with the defects that k gives them: k and code."""
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    code = F.concat(
+        F.when(k % 7 == 1, F.lit("")).otherwise(F.concat(F.lit("package com.example.p"), n, F.lit(";\n"))),
+        F.when(k % 5 == 2, F.lit("")).otherwise(F.lit("@Service\n")),
+        F.when(k % 6 == 3, F.lit("interface ")).otherwise(F.lit("public class ")),
+        F.concat(F.lit("P"), n, F.lit("Service {\n")),
+        F.when(k % 9 == 4, F.lit("    void other() {}\n")).otherwise(F.concat(F.lit("    void p"), n, F.lit("() {}\n"))),
+        F.repeat(F.lit("    // TODO finish\n"), (k % 3).cast("int")),
+        F.when(k % 8 == 5, F.lit("")).otherwise(F.lit("}\n")),
+    )
+    return table(spark, sf_dir, "part").select(k.alias("k"), F.when(k % 10 == 9, F.lit("class X {}")).otherwise(code).alias("code"))
+
+
+SERVICES = """services AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 9 THEN 'class X {}' ELSE
+CASE WHEN p_partkey % 7 = 1 THEN '' ELSE 'package com.example.p' || p_partkey || ';' || chr(10) END || CASE WHEN p_partkey % 5 = 2 THEN '' ELSE '@Service' || chr(10) END ||
+CASE WHEN p_partkey % 6 = 3 THEN 'interface ' ELSE 'public class ' END || 'P' || p_partkey || 'Service {' || chr(10) ||
+CASE WHEN p_partkey % 9 = 4 THEN '    void other() {}' || chr(10) ELSE '    void p' || p_partkey || '() {}' || chr(10) END ||
+repeat('    // TODO finish' || chr(10), (p_partkey % 3)::INT) || CASE WHEN p_partkey % 8 = 5 THEN '' ELSE '}' || chr(10) END END AS code FROM part),
+marks AS (SELECT k, code, length(trim(code, ' ')) < 50 AS empty FROM services),
+issues AS (SELECT k, 'EMPTY_OUTPUT' AS code, 'error' AS severity FROM marks WHERE empty
+UNION ALL SELECT k, 'MISSING_PACKAGE', 'error' FROM marks WHERE NOT empty AND NOT starts_with(code, 'package ')
+UNION ALL SELECT k, 'MISSING_SERVICE_ANNOTATION', 'error' FROM marks WHERE NOT empty AND NOT contains(code, '@Service')
+UNION ALL SELECT k, 'MISSING_CLASS_DECLARATION', 'error' FROM marks WHERE NOT empty AND NOT regexp_matches(code, '\\bclass\\s+\\w+')
+UNION ALL SELECT k, 'UNBALANCED_BRACES', 'error' FROM marks WHERE NOT empty AND length(replace(code, '{', '')) <> length(replace(code, '}', ''))
+UNION ALL SELECT k, 'MISSING_METHOD', 'warning' FROM marks WHERE NOT empty AND NOT contains(code, 'p' || k || '()')
+UNION ALL SELECT k, 'TODO_FOUND', 'warning' FROM marks WHERE NOT empty AND contains(code, '// TODO'))"""
+
+
+def judged(spark, sf_dir):
+    rules = q.structural_rules(F.col("code"), F.concat(F.lit("p"), F.col("k").cast("string"), F.lit("()")))
+    return q.apply_rules(services(spark, sf_dir), "code", rules)
+
+
+@query("vl_structural", f"WITH {SERVICES} SELECT k, code, severity FROM issues")
+def structural(spark, sf_dir):
+    return judged(spark, sf_dir).select("k", F.explode("issues").alias("i")).select("k", "i.code", "i.severity")
+
+
+@query("vl_todo", f"WITH {SERVICES} SELECT k, len(regexp_extract_all(code, '// TODO'))::BIGINT AS todo_count FROM services")
+def todos(spark, sf_dir):
+    return judged(spark, sf_dir).select("k", "todo_count")
+
+
+@query("vl_passed", f"WITH {SERVICES} SELECT k, k NOT IN (SELECT k FROM issues WHERE severity = 'error') AS passed FROM services")
+def passed(spark, sf_dir):
+    return judged(spark, sf_dir).select("k", "passed")
 
 
 def validated(spark, sf_dir):
@@ -147,19 +243,19 @@ ISSUES = "issues AS (" + " UNION ALL ".join(
 ) + ")"
 
 
-@query("vl_structural", f"WITH {ISSUES} SELECT page_id, code, severity FROM issues")
-def structural(spark, sf_dir):
+@query("vl_pages", f"WITH {ISSUES} SELECT page_id, code, severity FROM issues")
+def page_issues(spark, sf_dir):
     return validated(spark, sf_dir).select("page_id", F.explode("issues").alias("i")).select("page_id", "i.code", "i.severity")
 
 
-@query("vl_todo", "SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS todo_count FROM pages")
-def todos(spark, sf_dir):
+@query("vl_page_marks", "SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS todo_count FROM pages")
+def page_marks(spark, sf_dir):
     """Occurrences of a mark in each text."""
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<li>")).cast("long").alias("todo_count"))
 
 
-@query("vl_passed", f"WITH {ISSUES} SELECT page_id, page_id NOT IN (SELECT page_id FROM issues WHERE severity = 'error') AS passed FROM pages")
-def passed(spark, sf_dir):
+@query("vl_pages_passed", f"WITH {ISSUES} SELECT page_id, page_id NOT IN (SELECT page_id FROM issues WHERE severity = 'error') AS passed FROM pages")
+def pages_passed(spark, sf_dir):
     return validated(spark, sf_dir).select("page_id", "passed")
 
 
@@ -189,10 +285,11 @@ def summary(spark, sf_dir):
 
 @query("sink_json_report", f"""{WITH}, r AS ({REPORT}) SELECT k, linked_servers AS linked, unresolved_count AS unresolved FROM r WHERE unresolved_count > 0""")
 def json_report(spark, sf_dir):
-    """The report of unresolved cases as JSON texts, read back into columns."""
+    """The report of unresolved cases written as JSON, and read back into columns."""
     rows = report(spark, sf_dir).filter("unresolved_count > 0")
-    text = rows.select(F.to_json(F.struct("k", F.col("linked_servers").alias("linked"), F.col("unresolved_count").alias("unresolved"))).alias("value"))
-    return text.select(F.from_json("value", "k long, linked long, unresolved long").alias("r")).select("r.*")
+    path = f"{shared_folder(spark, 'report')}/unresolved"
+    write_json(rows.select("k", F.col("linked_servers").alias("linked"), F.col("unresolved_count").alias("unresolved")), path)
+    return spark.read.schema("k long, linked long, unresolved long").json(path)
 
 
 RUNS = "runs AS (SELECT user_id AS project_id, event_id AS run_id, ts AS started_at, event_type AS status FROM events WHERE event_type IN ('signup', 'purchase', 'error'))"

@@ -1,15 +1,20 @@
-"""Writing results: files by name, JSON reports, the graph, and run tables."""
+"""Writing results: files by name, JSON reports, the graph, and run tables.
+
+All of it goes through Spark's writers and Hadoop's file systems, so any store that Spark knows will do.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder under spark.checkpoint.dir; a temporary one in local mode if that is unset."""
-    import uuid
-
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
@@ -39,6 +44,91 @@ def write_json(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
+def hadoop(spark: SparkSession, path: str):
+    """A path of Hadoop's, and its file system."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_named(texts: DataFrame, folder: str, name: str, text: str) -> int:
+    """Each row's text in a file of its own name; of rows with the same name the last text in order. How many files there are.
+
+    Tasks write to a staging folder, under Spark's own commit. Only when all of them are done are the files renamed into
+    place, so a job that fails leaves no file behind. A file that is there already is replaced. Rows without a name are left out.
+    """
+    spark = texts.sparkSession
+    staged = f"{folder.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    rows = texts.filter(F.col(name).isNotNull() & (F.col(name) != "")).groupBy(F.col(name).alias("file_name")).agg(F.max(F.coalesce(F.col(text), F.lit(""))).alias("value"))
+    root, files = hadoop(spark, staged)
+    try:
+        rows.write.partitionBy("file_name").text(staged)
+        count = 0
+        for part in files.listStatus(root):
+            if not part.isDirectory():
+                continue
+            target, _ = hadoop(spark, f"{folder.rstrip('/')}/{unquote(part.getPath().getName().removeprefix('file_name='))}")
+            [own] = [f.getPath() for f in files.listStatus(part.getPath()) if f.getPath().getName().startswith("part-")]
+            files.delete(target, False)
+            if not files.rename(own, target):
+                raise OSError(f"cannot rename to {target.toString()}")
+            count += 1
+        return count
+    finally:
+        files.delete(root, True)
+
+
+#: Buckets of a graph that is upserted by key; a graph keeps the number that it was made with.
+BUCKETS = 64
+
+
+def manifest_of(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """The latest version of a graph's manifest (-1 if there is none): its number, buckets and the folder of each."""
+    root, files = hadoop(spark, f"{path}/_manifest")
+    if not files.exists(root):
+        return -1, {"buckets": BUCKETS, "folders": {}}
+    numbers = [int(f.getPath().getName().removesuffix(".json")) for f in files.listStatus(root) if f.getPath().getName().endswith(".json")]
+    if not numbers:
+        return -1, {"buckets": BUCKETS, "folders": {}}
+    return max(numbers), json.loads(spark.read.text(f"{path}/_manifest/{max(numbers)}.json", wholetext=True).first()[0])
+
+
+def read_upserted(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of a graph as its latest manifest has them."""
+    _, manifest = manifest_of(spark, path)
+    folders = sorted(set(manifest["folders"].values()))
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def upsert(rows: DataFrame, path: str, keys: list[str]) -> int:
+    """Merge rows by their keys into the table at path: new keys are added, properties that are not null replace those of old rows.
+
+    Rows are dealt to buckets by their keys; only buckets that rows fall to are read and written anew, in new folders, and a
+    new manifest, made last, points to them. Until then readers see the version before, also after a failure. Two writers
+    at once make the same manifest: the later one fails. Of rows with one key, the largest properties count. Returns the version.
+    """
+    spark, properties = rows.sparkSession, [c for c in rows.columns if c not in keys]
+    number, manifest = manifest_of(spark, path)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(manifest["buckets"])).cast("int")
+    new = kept(rows.groupBy(*keys).agg(F.count("*").alias("_rows"), *[F.max(p).alias(p) for p in properties]).drop("_rows").withColumn("_bucket", bucket), "upsert")
+    touched = sorted(r[0] for r in new.select("_bucket").distinct().collect())
+    before = [manifest["folders"][str(b)] for b in touched if str(b) in manifest["folders"]]
+    merged = new.withColumn("_new", F.lit(1))
+    if before:
+        old = spark.read.schema(rows.schema).parquet(*before).withColumn("_bucket", bucket).withColumn("_new", F.lit(0))
+        merged = merged.unionByName(old)
+    latest = [F.max_by(p, F.when(F.col(p).isNotNull(), F.col("_new"))).alias(p) for p in properties]
+    merged = merged.groupBy("_bucket", *keys).agg(F.max("_new").alias("_new"), *latest).drop("_new")
+    version = f"{path}/data/{uuid.uuid4().hex}"
+    # One file a bucket: all its rows are in one task.
+    merged.repartition(max(1, min(len(touched), manifest["buckets"])), "_bucket").write.partitionBy("_bucket").parquet(version)
+    folders = manifest["folders"] | {str(b): f"{version}/_bucket={b}" for b in touched}
+    target, files = hadoop(spark, f"{path}/_manifest/{number + 1}.json")
+    out = files.create(target, False)
+    out.write(json.dumps({"buckets": manifest["buckets"], "folders": folders}).encode())
+    out.close()
+    return number + 1
+
+
 def write_graph(edges: DataFrame, path: str, label: str) -> None:
     """Replace the edges of one label; those of other labels stay."""
     edges.dropDuplicates().write.mode("overwrite").parquet(f"{path}/label={label}")

@@ -280,3 +280,30 @@ def test_empty_and_odd_sources(spark):
     assert ec.variable_calls(df, "k").count() <= 1
     none = df.filter("k > 9")
     assert structure.block_tree(none, "k").count() == 0 and ec.variable_calls(none, "k").count() == 0
+
+
+def test_tables_with_checks_comments_and_quoted_names(spark):
+    from procweave.operators import catalog
+
+    text = """CREATE TABLE dbo.[Order Lines] ( -- note, with comma (x
+    Id INT IDENTITY(1,1) NOT NULL, /* another ( */
+    [Unit Price] DECIMAL(9, 2) DEFAULT ((0)),
+    Status VARCHAR(10) CHECK (Status IN ('a', 'b', 'c,', 'd)', 'e', 'f')) NULL,
+    OrderId INT, Part INT,
+    CONSTRAINT PK_x PRIMARY KEY CLUSTERED (Id, [Unit Price] DESC),
+    CONSTRAINT FK_x FOREIGN KEY (OrderId, Part) REFERENCES [sales].[Big Orders] (Id, Part),
+    CHECK (Id > (1 + (2 * (3))))
+);
+create table Plain (a int primary key, b nvarchar(20) not null)"""
+    df = spark.createDataFrame([(1, text)], "k int, t string")
+    made = catalog.tables(df, ["k"], "t")
+    keys = ["k", "table_name"]
+    assert sorted((r["schema_name"], r["table_name"]) for r in made.collect()) == [("dbo", "Order Lines"), ("dbo", "Plain")]
+    columns = catalog.columns(made, keys).orderBy("table_name", "place").collect()
+    assert [(r["column_name"], r["sql_type"], r["nullable"]) for r in columns] == [
+        ("Id", "INT", False), ("Unit Price", "DECIMAL(9, 2)", True), ("Status", "VARCHAR(10)", True), ("OrderId", "INT", True), ("Part", "INT", True), ("a", "int", False), ("b", "nvarchar(20)", False)
+    ]
+    primary = sorted((r["table_name"], r["key_place"], r["column_name"]) for r in catalog.primary_keys(made, keys).collect())
+    assert primary == [("Order Lines", 0, "Id"), ("Order Lines", 1, "Unit Price"), ("Plain", 0, "a")]
+    foreign = sorted((r["column_name"], r["referenced_table"], r["referenced_column"]) for r in catalog.foreign_keys(made, keys).collect())
+    assert foreign == [("OrderId", "Big Orders", "Id"), ("Part", "Big Orders", "Part")]
