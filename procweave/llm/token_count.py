@@ -12,7 +12,9 @@ each. Rows are independent, so ties, repeats, extra columns and empty tables nee
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
 from procweave.llm.shared import bound_batches, read_spread, text_runs
 
@@ -31,8 +35,32 @@ MERGE_BATCH = 20_000
 #: Bytes of texts that are counted at once; a single longer text is counted alone.
 RUN_BYTES = 2_000_000
 
-#: Fixed value: the pre-token pattern of the vocabulary, white space spelled out.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+#: The capital sigma, whose lower case does not depend on its place here, and capitals that Python's tables lack.
+RECENT_LOWER = str.maketrans({"Σ": "σ", "\ua7cb": "\u0264", "\ua7d2": "\ua7d3", "\ua7d4": "\ua7d5", "\ua7dc": "\u019b"})
+
+#: Fixed value: the pre-token pattern of the vocabulary, white space spelled out, and its letters and digits by name.
+PRE_TOKEN = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|[^\p{White_Space}{L}{N}]+"
+
+
+@lru_cache(maxsize=1)
+def unknown_letters() -> str:
+    """What the pattern's own engine takes for letters or digits and the library's, which knows an older Unicode, does not, as ranges of a set.
+
+    Only code points that Python's tables do not have yet can differ; the library is asked about each of them.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    recent = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    asked = Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str(" ".join(recent))
+    odd = sorted(set(map(ord, recent)) - {ord(c) for c, _ in asked})
+    starts = [c for c in odd if c - 1 not in set(odd[max(0, bisect_left(odd, c) - 1) : bisect_left(odd, c)])]
+    ends = [c for c in odd if c + 1 not in set(odd[bisect_left(odd, c) + 1 : bisect_left(odd, c) + 2])]
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(starts, ends, strict=True))
+
+
+def pre_token_pattern() -> str:
+    odd = unknown_letters()
+    known = {name: rf"[\p{{{name}}}--[{odd}]]" if odd else rf"[\p{{{name}}}]" for name in ("L", "N")}
+    return PRE_TOKEN.replace("{L}", known["L"]).replace("{N}", known["N"])
 
 
 def byte_symbols() -> list[str]:
@@ -61,7 +89,7 @@ class WordBpe:
         self.merged = np.array([m for _, _, m in pairs], dtype=np.int64)
         self.none = len(pairs)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
-        self.pattern = regex.compile(PRE_TOKEN)
+        self.pattern, self.plain = regex.compile(pre_token_pattern()), regex.compile(PRE_TOKEN.replace("{L}", r"[\p{L}]").replace("{N}", r"[\p{N}]"))
         self.known: dict[str, int] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -112,7 +140,7 @@ class WordBpe:
     def pre_tokens(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text) if not text.isascii() else text
         # Lower-casing goes letter by letter, so a final capital sigma becomes the plain small one.
-        return self.pattern.findall(text.replace("Σ", "σ").lower())
+        return (self.plain if text.isascii() else self.pattern).findall(text.translate(RECENT_LOWER).lower())
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""

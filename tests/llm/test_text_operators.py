@@ -181,6 +181,12 @@ def test_token_counts_agree_on_all_assigned_characters(bpe, library):
     assert not [c for c in odd if unicodedata.category(c) != "Co"]
 
 
+def test_token_counts_agree_on_every_code_point(bpe, library):
+    """None excepted: letters of any version of Unicode, unassigned and private code points."""
+    texts = [f"x{chr(c)}y||{chr(c)}" for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    assert bpe.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_counts_of_documents(spark, small_dir, library):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
     got = {r["doc_id"]: r for r in rows(token_count.op9_token_counts(spark, small_dir))}
