@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from procweave.llm.shared import bound_batches, materialize, read_spread, text_runs
 
 #: Words of a passage and of the step from one to the next, most words of an index entry, entries of a block.
-PASSAGE, STEP, ENTRY_WORDS, BLOCK = 64, 32, 48, 16
+PASSAGE, STEP, ENTRY_WORDS, BLOCK = 64, 32, 48, 8
 
 #: BM25 parameters, and the share of an entry's own score at which it is retrieved.
 K1, B, LEAST_SCORE = 1.2, 0.75, 0.5
