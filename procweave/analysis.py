@@ -47,7 +47,7 @@ def analyze_procedures(procedures: DataFrame, config: AnalysisConfig | None = No
         temps = rows.select(key, F.explode(plsql.collections(text)).alias("name"))
     else:
         calls = rows.select(key, F.explode(extract.called_procedures(text, config.mode)).alias("callee"))
-        found = edge_cases.statement_table(rows, key)
+        found = edge_cases.statement_table(rows, key, with_tables=True)
         tables = found.select(key, F.explode("tables").alias("t")).select(key, F.col("t.name").alias("table_name")).distinct()
         linked = edge_cases.linked_servers(rows, key, mode=config.mode)
         dynamic, variable = edge_cases.dynamic_sql(rows, key, found=found), edge_cases.variable_calls(rows, key, found=found)

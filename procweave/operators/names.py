@@ -91,7 +91,8 @@ def named_tables(toks: Column, syntax: Syntax = TSQL) -> Column:
         return F.transform(kept, lambda t: F.struct(t["at"].alias("at"), t["name"].alias("name")))
 
     own = let(let(places(lambda t, i: t["word"].isin(*CLAUSES)), within), resolved)
-    return F.when(first.isin("FETCH", "OPEN", "CLOSE"), F.slice(own, 1, 0)).otherwise(own)
+    none = F.array().cast("array<struct<at: int, name: string>>")
+    return F.when(~first.isin("FETCH", "OPEN", "CLOSE") & F.exists(toks, lambda t: t["word"].isin(*BEFORE)), own).otherwise(none)
 
 
 def table_references(procedures: DataFrame, key: str, text: str = "raw_sql", syntax: Syntax = TSQL) -> DataFrame:

@@ -110,7 +110,8 @@ ORACLE_REPORT = """SELECT unit, (k % 2 = 0)::BIGINT AS linked_servers, ((k % 4 >
 
 def oracle_report(spark, sf_dir):
     rows = keyed(spark, sf_dir)
-    return ec.edge_case_report(ec.database_links(rows, "unit"), ec.immediate_sql(rows, "unit"), ec.dispatches(rows, "unit"), "unit")
+    found = ec.statement_table(rows, "unit", dialect=ec.PLSQL)
+    return ec.edge_case_report(ec.database_links(rows, "unit"), ec.immediate_sql(rows, "unit", found=found), ec.dispatches(rows, "unit", found=found), "unit")
 
 
 @query("eo_detect", f"{UNITS}, r AS ({ORACLE_REPORT}) SELECT * FROM r WHERE linked_servers + dynamic_sql + variable_calls > 0")

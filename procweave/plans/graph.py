@@ -103,9 +103,10 @@ def impact(spark, sf_dir):
 
 def relations(spark, sf_dir):
     rows = corpus(spark, sf_dir)
+    found = ec.statement_table(rows, "k", with_tables=True)
     calls = rows.select("k", F.explode(x.called_procedures(F.col("raw_sql"))).alias("callee"))
-    tables = rows.select("k", F.explode(x.referenced_tables(F.col("raw_sql"))).alias("table_name"))
-    return g.typed_edges(calls, ec.linked_servers(rows, "k"), ec.dynamic_sql(rows, "k"), ec.variable_calls(rows, "k"), tables, x.temp_tables(rows, "k"), "k")
+    tables = found.select("k", F.explode("tables").alias("t")).select("k", F.col("t.name").alias("table_name")).distinct()
+    return g.typed_edges(calls, ec.linked_servers(rows, "k"), ec.dynamic_sql(rows, "k", found=found), ec.variable_calls(rows, "k", found=found), tables, x.temp_tables(rows, "k"), "k")
 
 
 RELATIONS = f"""{WITH}, rels AS (
