@@ -49,6 +49,9 @@ FIT_ROWS = 4000
 #: Feature bins, the longest n-gram in bytes, bytes of a piece, the loss's weight, passes over the sample, smoothing of counts.
 BINS, LONGEST, PIECE, COST, PASSES, SMOOTH = 1 << 15, 4, 1 << 20, 4.0, 20, 0.5
 
+#: The most languages whose cuts are broadcast.
+SENT_LANGUAGES = 100_000
+
 UNKNOWN = "und"
 
 LETTER = r"\p{L}"
@@ -271,6 +274,8 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", tex
     share = max(1, -(-fit_rows // max(1, languages)))
     cuts = per_lang.select(F.col("lang").alias("cut_lang"), (F.lit(2.0 * share + 100) / F.col("rows")).alias("cut"))
     near = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) / float(1 << 20) < F.col("cut")
+    # A bounded number of languages is sent to all tasks, so that rows are left out before they are dealt by language.
+    cuts = F.broadcast(cuts) if languages <= SENT_LANGUAGES else cuts
     some = known.select("id", "lang").join(cuts, (F.col("lang") == F.col("cut_lang")) & near).select("id", "lang")
     hashed = F.md5(F.col("id").cast("string"))
     drawn = some.withColumn("rank", F.dense_rank().over(Window.partitionBy("lang").orderBy(hashed, "id"))).filter(F.col("rank") <= share)
