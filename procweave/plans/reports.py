@@ -261,7 +261,7 @@ def pages_passed(spark, sf_dir):
 
 @query("ag_severity", f"WITH {ISSUES} SELECT page_id, count(*) FILTER (severity = 'error')::BIGINT AS errors, count(*) FILTER (severity = 'warning')::BIGINT AS warnings FROM issues GROUP BY page_id")
 def severities(spark, sf_dir):
-    return structural(spark, sf_dir).groupBy("page_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    return page_issues(spark, sf_dir).groupBy("page_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
 
 
 @query("ag_pass_ratio", f"WITH {ISSUES} SELECT count(*)::BIGINT AS total, (count(*) - (SELECT count(DISTINCT page_id) FROM issues WHERE severity = 'error'))::BIGINT AS passed FROM pages")
