@@ -15,7 +15,7 @@ from procweave.registry import query
 from procweave.session import table
 from procweave.sources import sinks
 from procweave.sources.corpus import last_definitions, list_files, oracle_corpus, read_sources, tsql_corpus
-from procweave.streaming import logs
+from procweave.streaming import logs, subscriptions
 
 @query("src_tsql_dir", "SELECT 'usp_P' || s_suppkey AS procedure_name, CASE WHEN s_suppkey % 3 = 0 THEN 'sales' ELSE 'dbo' END AS schema_name FROM supplier")
 def tsql_dir(spark, sf_dir):
@@ -249,3 +249,37 @@ def graph_of_known(spark, sf_dir):
     known = corpus(spark, sf_dir).select(F.col("k").cast("string").alias("src"))
     kept = relations(spark, sf_dir).filter(F.col("rel").isin("CALLS_REMOTE", "UNRESOLVED_CALL")).join(known, "src", "left_semi")
     return kept.select("src", "dst", "rel").distinct()
+
+
+CHANNELS = """message AS (SELECT user_id AS run_id, event_id, event_type, CASE WHEN event_type = 'signup' THEN 'subscribe' WHEN event_type = 'purchase' AND event_id % 8 = 0 THEN 'end' ELSE 'entry' END AS kind FROM events),
+ending AS (SELECT run_id, min(event_id) AS ended_by FROM message WHERE kind = 'end' GROUP BY 1),
+sub AS (SELECT s.run_id, s.event_id AS subscriber, e.ended_by FROM message s LEFT JOIN ending e USING (run_id) WHERE s.kind = 'subscribe'),
+got AS (SELECT s.run_id, s.subscriber, m.event_id AS entry_id, m.event_type AS text FROM sub s JOIN message m ON m.run_id = s.run_id AND m.kind = 'entry' AND m.event_id > s.subscriber AND (s.ended_by IS NULL OR m.event_id < s.ended_by)),
+inbox AS (SELECT run_id, subscriber, (row_number() OVER (PARTITION BY run_id, subscriber ORDER BY entry_id) - 1)::BIGINT AS sequence, entry_id, text, false AS last FROM got
+UNION ALL SELECT s.run_id, s.subscriber, (SELECT count(*) FROM got g WHERE g.run_id = s.run_id AND g.subscriber = s.subscriber)::BIGINT, NULL, NULL, true FROM sub s WHERE s.ended_by IS NOT NULL)"""
+
+
+def channels(spark, sf_dir):
+    """Every subscriber's inbox of a log that comes in two parts: the stream stops in between and starts again where it was."""
+    arrived, out, mark = (sinks.shared_folder(spark, n) for n in ("messages", "inboxes", "mark"))
+    kind = F.when(F.col("event_type") == "signup", "subscribe").when((F.col("event_type") == "purchase") & (F.col("event_id") % 8 == 0), "end").otherwise("entry")
+    who = F.when(F.col("event_type") == "signup", F.col("event_id")).alias("subscriber")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("message_id"), kind.alias("kind"), who, F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("at"))
+    middle = rows.agg(F.percentile_approx("message_id", 0.5).alias("m")).first()["m"]
+    for part in (F.col("message_id") <= middle, F.col("message_id") > middle):
+        rows.filter(part).write.mode("append").parquet(arrived)
+        # Ends are remembered for the whole month that the events cover.
+        subscriptions.deliver(spark.readStream.schema(rows.schema).parquet(arrived), out, mark, keep_ms=366 * 86_400_000)
+    return subscriptions.inboxes(spark, out)
+
+
+@query("lg_subscribe", f"WITH {CHANNELS} SELECT * FROM inbox")
+def subscribe(spark, sf_dir):
+    """What every subscriber of a run's log gets from its joining on, numbered, with the end mark."""
+    return channels(spark, sf_dir)
+
+
+@query("lg_registry", f"WITH {CHANNELS} SELECT run_id, count(DISTINCT subscriber)::BIGINT AS subscribers, count(entry_id)::BIGINT AS delivered, bool_or(last) AS closed FROM inbox GROUP BY 1")
+def registry(spark, sf_dir):
+    """The channels that anyone listened to: how many did, what they got, whether the channel is closed."""
+    return channels(spark, sf_dir).groupBy("run_id").agg(F.count_distinct("subscriber").alias("subscribers"), F.count("entry_id").alias("delivered"), F.bool_or("last").alias("closed"))

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from procweave.analysis import generate_by_level, generate_in_chunks
@@ -359,16 +358,3 @@ def classify(spark, sf_dir):
 
     text = F.concat("event_type", F.when(F.col("event_type") == "error", " FAILED").when(F.col("value") > 80, " skipped").otherwise(""))
     return classified(table(spark, sf_dir, "events").withColumn("message", text)).select("event_id", "level")
-
-
-@query("lg_registry", "SELECT user_id AS run_id, count(*)::BIGINT AS entries, max(event_id) AS last_entry FROM events GROUP BY 1")
-def registry(spark, sf_dir):
-    """One log channel a run: how much it holds and where it ends."""
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.count("*").alias("entries"), F.max("event_id").alias("last_entry"))
-
-
-@query("lg_subscribe", "SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS seq FROM events")
-def subscribe(spark, sf_dir):
-    """What a subscriber of each run gets, first in first out."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "event_id", F.row_number().over(order).cast("long").alias("seq"))
