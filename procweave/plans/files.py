@@ -15,6 +15,7 @@ from procweave.registry import query
 from procweave.session import table
 from procweave.sources import sinks
 from procweave.sources.corpus import last_definitions, list_files, oracle_corpus, read_sources, tsql_corpus
+from procweave.sources.live_schema import schema_of
 from procweave.streaming import logs, subscriptions
 
 @query("src_tsql_dir", "SELECT 'usp_P' || s_suppkey AS procedure_name, CASE WHEN s_suppkey % 3 = 0 THEN 'sales' ELSE 'dbo' END AS schema_name FROM supplier")
@@ -49,12 +50,25 @@ def dialect_route(spark, sf_dir):
     return listed.agg(F.count("*").alias("files")).select(F.lit("oracle").alias("dialect"), "files")
 
 
-@query("src_live_schema", "SELECT 'orders' AS table_name, c AS column_name, t AS data_type FROM (VALUES ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'), ('o_orderstatus', 'string'), ('o_totalprice', 'double'), ('o_orderdate', 'timestamp'), ('o_orderpriority', 'string')) v(c, t) WHERE (SELECT count(*) FROM orders) > 0")
+@query("src_live_schema", """SELECT 'Account' || s_suppkey AS table_name, p AS ordinal_position, c AS column_name, t AS target, n AS nullable, p = 1 AS is_primary_key, p = 1 AS is_identity, CASE p WHEN 2 THEN 'Branch' || s_nationkey END AS referenced_table
+FROM supplier, (VALUES (1::BIGINT, 'AccountId', 'Integer', false), (2, 'BranchId', 'Integer', true), (3, 'Note', 'String', true)) v(p, c, t, n) WHERE s_suppkey % 2 = 0""")
 def live_schema(spark, sf_dir):
-    """The columns of a table as the catalog knows them; a JDBC table is described in the same way."""
-    rows = table(spark, sf_dir, "orders")
-    described = spark.createDataFrame([("orders", n, "timestamp" if t.startswith("timestamp") else t) for n, t in rows.dtypes], "table_name string, column_name string, data_type string")
-    return described.join(rows.limit(1).select(F.lit("orders").alias("table_name")), "table_name", "left_semi")
+    """Tables of a database by its information schema: its views, here made of the suppliers, are read from the shared folder as over JDBC."""
+    suppliers = table(spark, sf_dir, "supplier")
+    account, branch = F.concat(F.lit("Account"), F.col("s_suppkey").cast("string")), F.concat(F.lit("Branch"), F.col("s_nationkey").cast("string"))
+    made = suppliers.select(account.alias("t"), branch.alias("b"))
+    branches = made.select("b").distinct()
+    cut = lambda values, names: F.inline(F.expr(f"array({values})")).alias(*names)
+    columns = made.select(F.lit("dbo").alias("TABLE_SCHEMA"), F.col("t").alias("TABLE_NAME"), cut("struct('AccountId', 1, 'int', 'NO', null, 1), struct('BranchId', 2, 'int', 'YES', null, 0), struct('Note', 3, 'varchar', 'YES', 40, 0)", ("COLUMN_NAME", "ORDINAL_POSITION", "DATA_TYPE", "IS_NULLABLE", "CHARACTER_MAXIMUM_LENGTH", "IS_IDENTITY_COLUMN")))
+    others = branches.select(F.lit("dbo").alias("TABLE_SCHEMA"), F.col("b").alias("TABLE_NAME"), F.lit("BranchId").alias("COLUMN_NAME"), F.lit(1).alias("ORDINAL_POSITION"), F.lit("int").alias("DATA_TYPE"), F.lit("NO").alias("IS_NULLABLE"), F.lit(None).cast("int").alias("CHARACTER_MAXIMUM_LENGTH"), F.lit(0).alias("IS_IDENTITY_COLUMN"))
+    key = lambda rows, t, kind, column: rows.select(F.lit("dbo").alias("CONSTRAINT_SCHEMA"), F.concat(F.lit(f"{kind[0]}K_"), t).alias("CONSTRAINT_NAME"), F.col(t).alias("TABLE_NAME"), F.lit(kind).alias("CONSTRAINT_TYPE"), F.lit(column).alias("COLUMN_NAME"), F.lit(1).alias("ORDINAL_POSITION"))
+    keys = key(made, "t", "PRIMARY KEY", "AccountId").unionByName(key(branches, "b", "PRIMARY KEY", "BranchId")).unionByName(key(made, "t", "FOREIGN KEY", "BranchId"))
+    links = made.select(F.lit("dbo").alias("CONSTRAINT_SCHEMA"), F.concat(F.lit("FK_"), "t").alias("CONSTRAINT_NAME"), F.lit("dbo").alias("UNIQUE_CONSTRAINT_SCHEMA"), F.concat(F.lit("PK_"), "b").alias("UNIQUE_CONSTRAINT_NAME"))
+    views = {"COLUMNS": columns.unionByName(others), "TABLE_CONSTRAINTS": keys.drop("COLUMN_NAME", "ORDINAL_POSITION"), "KEY_COLUMN_USAGE": keys.drop("CONSTRAINT_TYPE"), "REFERENTIAL_CONSTRAINTS": links}
+    wanted = suppliers.filter("s_suppkey % 2 = 0").select(F.upper(account).alias("table_name"))
+    schema = schema_of({name: sinks.kept(view, name.lower()) for name, view in views.items()}, wanted)
+    found = schema.columns.join(schema.references.drop("referenced_column"), ["table_name", "column_name"], "left")
+    return found.select("table_name", "ordinal_position", "column_name", "target", "nullable", "is_primary_key", "is_identity", "referenced_table")
 
 
 @query("src_plsql_file", f"{UNITS} SELECT k, count(*)::BIGINT AS records, sum(length(raw_sql))::BIGINT AS chars FROM units GROUP BY k")
