@@ -114,12 +114,6 @@ def to_number(spark, sf_dir):
     )
 
 
-@query("fn_rowcount", "SELECT o_orderstatus, count(*)::BIGINT AS affected, count(*) > 0 AS found FROM orders WHERE o_totalprice > 499000 GROUP BY ALL")
-def rowcount(spark, sf_dir):
-    hit = table(spark, sf_dir, "orders").filter("o_totalprice > 499000").groupBy("o_orderstatus").agg(F.count("*").alias("affected"))
-    return hit.withColumn("found", F.col("affected") > 0)
-
-
 @query("fn_concat", f"SELECT c_custkey, c_name || ': ' || coalesce(floor(most)::BIGINT::VARCHAR, '') AS oracle, c_name || ': ' || floor(most)::BIGINT::VARCHAR AS tsql FROM {LAST}")
 def concat(spark, sf_dir):
     whole = F.floor("most")
@@ -138,12 +132,6 @@ def arith(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", (price * 5 * 100).cast("long").alias("discount_of_10000"), (price - F.lit(100).cast("decimal(18,2)")).cast("double").alias("less"))
 
 
-@query("fn_error", "SELECT event_id, CASE WHEN value < 0 THEN 'negative value' END AS error_message FROM events")
-def error(spark, sf_dir):
-    """What RAISERROR would have said, row by row; raising would stop the whole job."""
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("value") < 0, "negative value").alias("error_message"))
-
-
 @query("fn_identity", "SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) AS id, c_custkey FROM customer")
 def identity(spark, sf_dir):
     from procweave.operators.changes import with_identity

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procweave.operators.lookup import tier_lookup
+from procweave.operators.transactions import delete, require, transact, update
 from procweave.plans.relational import TIERS, money
 from procweave.registry import query
 from procweave.session import table
 
+#: Fixed value: the SQLSTATE of what a statement raises by itself.
+RAISED = "P0001"
+
 
 def order_totals(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """What a procedure computes for one order, for all orders at once: subtotal, tier discount, and the discounted total in cents."""
@@ -66,17 +70,47 @@ def script(spark, sf_dir):
         END""")
 
 
-@query("cf_try_tran", "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal >= 0")
+@query("cf_try_tran", """WITH credited AS (SELECT s_suppkey, s_name, CASE WHEN s_nationkey < 10 THEN s_acctbal + 100 ELSE s_acctbal END AS s_acctbal FROM supplier), kept AS (SELECT * FROM credited WHERE NOT s_acctbal < 2000),
+failed AS (SELECT min(s_acctbal) < 5000 AS bad FROM kept)
+SELECT s_suppkey, s_name, CASE WHEN bad THEN s_acctbal ELSE s_acctbal - 5000 END AS s_acctbal, CASE WHEN bad THEN 'balance below zero' END AS error_message,
+(SELECT count(*) FROM supplier WHERE s_nationkey < 10)::BIGINT AS credited, (SELECT count(*) FROM credited WHERE s_acctbal < 2000)::BIGINT AS deleted FROM kept, failed""")
 def try_tran(spark, sf_dir):
-    """Write, check, then take: the new table counts only if the check on what was written holds, else the old one stays."""
-    from procweave.sources.sinks import shared_folder
-
-    old = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    path = shared_folder(spark, "swap")
-    old.filter("s_acctbal >= 0").write.parquet(path)
-    new = spark.read.schema(old.schema).parquet(path)
-    sound = new.filter("s_suppkey is null or s_acctbal < 0").isEmpty()
-    return new if sound else old
+    """Two transactions: the first counts; the second fails on its last check, is rolled back, and its handler reports the message."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey")
+    balance = F.col("s_acctbal")
+    first = transact(suppliers, [update("credit", F.col("s_nationkey") < 10, {"s_acctbal": balance + 100}), delete("purge", balance < 2000)])
+    second = transact(first.rows, [update("debit", F.lit(True), {"s_acctbal": balance - 5000}), require("covered", balance >= 0, "balance below zero")], states=(RAISED,))
+    counts = [F.lit(first.counts[n]).cast("long").alias(into) for n, into in (("credit", "credited"), ("purge", "deleted"))]
+    return second.rows.select("s_suppkey", "s_name", "s_acctbal", F.lit(second.error).cast("string").alias("error_message"), *counts)
+
+
+@query("fn_error", "SELECT event_id, 'value above 400' AS error_message FROM events WHERE value > 400")
+def error(spark, sf_dir):
+    """RAISERROR in a script whose EXIT HANDLER lists the rows at fault; nothing is listed if none is raised.
+
+    What is raised inside a shuffle has no SQLSTATE when it comes to a handler, so the script raises after it has looked.
+    """
+    table(spark, sf_dir, "events").createOrReplaceTempView("pw_events")
+    return spark.sql(f"""
+        BEGIN
+          DECLARE largest DOUBLE;
+          DECLARE EXIT HANDLER FOR SQLSTATE '{RAISED}' BEGIN
+            SELECT event_id, 'value above 400' AS error_message FROM pw_events WHERE value > 400;
+          END;
+          SET largest = (SELECT max(value) FROM pw_events);
+          IF largest > 400 THEN
+            SET largest = (SELECT cast(raise_error('value above 400') AS DOUBLE));
+          END IF;
+          SELECT event_id, 'value above 400' AS error_message FROM pw_events WHERE false;
+        END""")
+
+
+@query("fn_rowcount", "SELECT o_orderstatus, count(*)::BIGINT AS affected, (SELECT count(*) FROM orders WHERE o_totalprice > 400000)::BIGINT AS row_count FROM orders WHERE o_totalprice > 400000 GROUP BY 1")
+def rowcount(spark, sf_dir):
+    """@@ROWCOUNT of an update, told by the job that made it; SQL%FOUND is a count above zero."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit(False).alias("large"))
+    out = transact(orders, [update("mark", F.col("o_totalprice") > 400000, {"large": F.lit(True)})])
+    return out.rows.filter("large").groupBy("o_orderstatus").agg(F.count("*").alias("affected")).withColumn("row_count", F.lit(out.counts["mark"]).cast("long"))
 
 
 @query("cf_dynamic", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000")
