@@ -16,7 +16,7 @@ from procweave.session import table
 from procweave.sources import sinks
 from procweave.sources.corpus import last_definitions, list_files, oracle_corpus, read_sources, tsql_corpus
 from procweave.sources.live_schema import schema_of
-from procweave.streaming import logs, subscriptions
+from procweave.streaming import captured, logs, subscriptions
 
 @query("src_tsql_dir", "SELECT 'usp_P' || s_suppkey AS procedure_name, CASE WHEN s_suppkey % 3 = 0 THEN 'sales' ELSE 'dbo' END AS schema_name FROM supplier")
 def tsql_dir(spark, sf_dir):
@@ -253,8 +253,15 @@ def rollup(spark, sf_dir):
 
 @query("lg_poll", "SELECT user_id AS run_id, count(*)::BIGINT AS open_entries FROM events WHERE event_type NOT IN ('purchase', 'error') GROUP BY 1")
 def poll(spark, sf_dir):
-    """What a poller still sees as running."""
-    return table(spark, sf_dir, "events").filter(~F.col("event_type").isin("purchase", "error")).groupBy(F.col("user_id").alias("run_id")).agg(F.count("*").alias("open_entries"))
+    """What a poller saw as running, batch by batch, until the log said that it was over."""
+    log, out, mark = log_copy(spark, sf_dir), sinks.shared_folder(spark, "polled"), sinks.shared_folder(spark, "mark")
+    last = spark.range(1).select(F.lit(None).cast("long").alias("event_id"), F.lit("over").alias("event_type"))
+    # Written after all others, so it is read after all others.
+    last.write.mode("append").parquet(log)
+    stream = logs.read_log(spark, log, files_each=2).select("user_id", "event_id", "event_type")
+    captured.poll(stream, out, mark, F.col("event_type") == "over", seconds=0.1)
+    seen = spark.read.schema(stream.schema).parquet(out).filter(~F.col("event_type").isin("purchase", "error", "over"))
+    return seen.groupBy(F.col("user_id").alias("run_id")).agg(F.count("*").alias("open_entries"))
 
 
 @query("sink_graph_embedded", f"{RELATIONS} SELECT DISTINCT k::VARCHAR AS src, dst, rel FROM rels WHERE rel IN ('CALLS_REMOTE', 'UNRESOLVED_CALL')")
