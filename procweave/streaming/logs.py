@@ -49,8 +49,13 @@ def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1
 
 
 def append_counts(stream: DataFrame, path: str, checkpoint: str):
-    """Keep a table of the windowed counts: every batch replaces it by the counts so far."""
-    return stream.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keep a table of the windowed counts: every batch adds the windows that it changed, and those that are past go from the state."""
+    return append_log(stream, path, checkpoint, mode="update")
+
+
+def counts_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of every window and type as the last batch left them that changed them."""
+    return spark.read.parquet(path).groupBy(F.col("w.start").alias("since"), "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 def stage_states(stream: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from procweave.streaming import captured as c
+from procweave.streaming import logs
 from procweave.streaming.logs import classified
 
 
@@ -65,3 +66,19 @@ def test_a_poller_sees_each_entry_once_over_restarts(spark, tmp_path):
     assert seen == ["first", *[f"step {n}" for n in range(5)], "all done"]
     # Over is over: the next poller knows it from what was seen.
     assert c.poll(stream, out, mark, done, patience=0) is True
+
+
+def test_counts_are_updated_and_late_entries_left_out(spark, tmp_path):
+    log, out, mark = (str(tmp_path / n) for n in ("log", "counts", "mark"))
+    parts = [
+        [(1, "2024-01-01 00:10:00", "view"), (2, "2024-01-01 00:50:00", "view"), (3, "2024-01-01 00:55:00", "error")],
+        [(4, "2024-01-01 00:59:00", "view"), (5, "2024-01-01 03:00:00", "view")],
+        # The watermark is at 02:50 now: the first is too late, the second is not.
+        [(6, "2024-01-01 00:59:30", "view"), (7, "2024-01-01 02:55:00", "view")],
+    ]
+    for part in parts:
+        df = spark.createDataFrame([(i, at, 1, kind, 0.0, None) for i, at, kind in part], logs.LOG_SCHEMA.replace("timestamp", "string")).withColumn("ts", F.to_timestamp("ts"))
+        df.write.mode("append").parquet(log)
+        logs.append_counts(logs.windowed_counts(logs.read_log(spark, log)), out, mark).awaitTermination()
+    got = {(str(r["since"]), r["event_type"]): r["n"] for r in logs.counts_so_far(spark, out).collect()}
+    assert got == {("2024-01-01 00:00:00", "view"): 3, ("2024-01-01 00:00:00", "error"): 1, ("2024-01-01 03:00:00", "view"): 1, ("2024-01-01 02:00:00", "view"): 1}
