@@ -68,23 +68,57 @@ def out_degree(edges: DataFrame, names: DataFrame) -> DataFrame:
     return names.join(counts, "name", "left").withColumn("out_degree", F.coalesce("out_degree", F.lit(0)))
 
 
+def chains(edges: DataFrame) -> DataFrame:
+    """name, root and distance of every name with exactly one callee (not itself): the first name along its calls that has none or
+    several, and how many calls away it is; root is null if the chain runs into a ring.
+
+    Pointers double: each round joins what a name points to with where that points, so a chain of n calls takes log2 n rounds.
+    """
+    only = edges.groupBy("src").agg(F.min("dst").alias("root"), F.count("*").alias("n")).filter("n = 1 and src <> root")
+    points = cut(only.select(F.col("src").alias("name"), "root", F.lit(1).cast("long").alias("distance")))
+    size, reach = points.count(), 1
+    while True:
+        further = points.select(F.col("name").alias("root"), F.col("root").alias("next"), F.col("distance").alias("more"))
+        open_ = points.join(further, "root", "left_semi")
+        if reach > size or open_.isEmpty():
+            return points.join(open_.select("name", F.lit(True).alias("ring")), "name", "left").select("name", F.when(F.col("ring").isNull(), F.col("root")).alias("root"), "distance")
+        joined = points.join(further, "root", "left")
+        points = cut(joined.select("name", F.coalesce("next", "root").alias("root"), (F.col("distance") + F.coalesce("more", F.lit(0))).alias("distance")))
+        reach *= 2
+
+
 def levels(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """name and level: 0 for leaves, else one more than the deepest callee; null on a cycle or above one.
+    """name and level: 0 for leaves, else one more than the deepest callee; null on a cycle or above one. names holds all ends of edges.
 
-    Layer by layer: a name is placed once all that it calls is placed.
+    Chains of single calls are contracted first. What is left is placed layer by layer, once all that it calls is placed, so rounds
+    grow with the most branching names on one path and only with the logarithm of the longest chain.
     """
-    waiting = cut(edges.select("src", "dst").distinct())
-    placed = cut(leaves(waiting, names).select("name", F.lit(0).cast("long").alias("level")))
-    done = placed
-    rest = cut(names.select("name").join(placed, "name", "left_anti"))
-    for level in range(1, MOST_ROUNDS):
-        waiting = cut(waiting.join(placed.select(F.col("name").alias("dst")), "dst", "left_anti"))
-        placed = cut(rest.join(waiting.select(F.col("src").alias("name")).distinct(), "name", "left_anti").withColumn("level", F.lit(level).cast("long")))
+    calls = cut(edges.select("src", "dst").distinct())
+    pointed = cut(chains(calls))
+    # An edge to a name on a ring keeps its end, which is never placed.
+    ends = pointed.select(F.col("name").alias("dst"), "root", "distance")
+    waiting = calls.join(pointed.select(F.col("name").alias("src")), "src", "left_anti").join(ends, "dst", "left")
+    weight = F.when(F.col("root").isNull(), 1).otherwise(F.col("distance") + 1).cast("long")
+    waiting = cut(waiting.select("src", F.coalesce("root", "dst").alias("dst"), weight.alias("weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+    hubs = names.select("name").join(pointed.select("name"), "name", "left_anti")
+    placed = cut(leaves(waiting.select("src"), hubs).select("name", F.lit(0).cast("long").alias("level")))
+    done, best = placed, waiting.select(F.col("src").alias("name"), F.lit(0).cast("long").alias("level")).limit(0)
+    for _ in range(MOST_ROUNDS):
+        now = placed.select(F.col("name").alias("dst"), "level")
+        told = waiting.join(now, "dst").select(F.col("src").alias("name"), (F.col("level") + F.col("weight")).alias("level"))
+        best = cut(best.unionByName(told).groupBy("name").agg(F.max("level").alias("level")))
+        waiting = cut(waiting.join(now, "dst", "left_anti"))
+        open_ = waiting.select(F.col("src").alias("name")).distinct()
+        placed = cut(best.join(open_, "name", "left_anti"))
         if placed.isEmpty():
-            return done.unionByName(rest.withColumn("level", F.lit(None).cast("long")))
+            break
+        best = best.join(open_, "name", "left_semi")
         done = done.unionByName(placed)
-        rest = cut(rest.join(placed, "name", "left_anti"))
-    raise RuntimeError("the graph is deeper than the most rounds")
+    else:
+        raise RuntimeError("the graph is deeper than the most rounds")
+    done = cut(done)
+    above = pointed.join(done.select(F.col("name").alias("root"), "level"), "root", "left").select("name", (F.col("level") + F.col("distance")).alias("level"))
+    return hubs.join(done, "name", "left").unionByName(above)
 
 
 def plan(edges: DataFrame, procedures: DataFrame) -> DataFrame:
