@@ -37,9 +37,9 @@ def cursor_loop(spark, sf_dir):
 
 @query("cf_call_output", f"SELECT sum(total_cents::BIGINT)::BIGINT AS total_amount, count(*) FILTER (percent > 0)::BIGINT AS discounts FROM ({TOTALS} WHERE o_custkey = 11)")
 def call_output(spark, sf_dir):
-    """A procedure with OUTPUT parameters is a function that returns one row."""
+    """A procedure with OUTPUT parameters is a function that returns one row; halves of a cent go to the even one, as in its SQL's cast."""
     rows = order_totals(table(spark, sf_dir, "orders").filter("o_custkey = 11"), table(spark, sf_dir, "lineitem"))
-    return rows.agg(F.sum(F.round("total_cents").cast("long")).alias("total_amount"), F.count_if(F.col("percent") > 0).alias("discounts"))
+    return rows.agg(F.sum(F.rint("total_cents").cast("long")).alias("total_amount"), F.count_if(F.col("percent") > 0).alias("discounts"))
 
 
 @query("cf_while_if", """SELECT p_partkey, CASE WHEN p_size >= 40 THEN 'large' WHEN p_size >= 20 THEN 'middle' ELSE 'small' END AS size_class,

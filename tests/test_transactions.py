@@ -57,3 +57,13 @@ def test_empty_tables_commit(spark):
 def test_conditions_that_are_null_change_nothing(spark):
     out = t.transact(table(spark), [t.update("u", F.col("amount") > 0, {"name": F.lit("x")}), t.delete("d", F.col("name") == "b")])
     assert out.counts == {"u": 1, "d": 1} and got(out.rows) == got(table(spark, [(1, "x", 10.0), (3, None, -5.0), (3, None, -5.0)]))
+
+
+def test_halves_of_a_cent_go_to_the_even_one(spark, tmp_path):
+    """As the cast of the query's SQL does it: 95 times 100000.30 is 9500028.5."""
+    import procweave.plans  # noqa: F401  registers the queries
+    from procweave import registry
+
+    spark.sql("SELECT 1L AS o_orderkey, 11L AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql("SELECT 1L AS l_orderkey, 100000.30D AS l_extendedprice").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert registry.QUERIES["cf_call_output"](spark, str(tmp_path)).first()["total_amount"] == 9500028
