@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,18 +138,34 @@ def generate_in_chunks(chunks: DataFrame, write: Callable[[str, str, str], str],
     """Generate a large procedure chunk by chunk (key, chunk, position, content): key, output, error.
 
     write gets a chunk, its position (first, middle, last, only) and its own output for the chunk before; the outputs are
-    joined. A group holds the chunks of one procedure, which one call after the other must see in order.
+    joined. The chunks of one procedure, which one call after the other must see in order, stand together in a sorted
+    partition and pass as a stream: what is held is one procedure's output, and no procedure is a group of its own.
     """
     kind = chunks.schema[key].dataType.simpleString()
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        made, before, error = [], "", None
-        try:
-            for text, position in rows.sort_values("chunk")[[content, "position"]].itertuples(index=False):
-                before = write(text, position, before)
-                made.append(before + "\n")
-        except Exception as problem:  # noqa: BLE001  as above
-            error = f"{type(problem).__name__}: {problem}"
-        return pd.DataFrame({key: [rows[key].iloc[0]], "output": [None if error else "".join(made)], "error": [error]})
-
-    return chunks.select(key, "chunk", "position", content).groupBy(key).applyInPandas(fold, f"{key} {kind}, output string, error string")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, made, before, error = False, [], "", None
+        for batch in batches:
+            done = []
+            for name, text, position in zip(*(batch.column(c).to_pylist() for c in (key, content, "position")), strict=True):
+                if not open_ or name != current:
+                    if open_:
+                        done.append((current, None if error else "".join(made), error))
+                    open_, current, made, before, error = True, name, [], "", None
+                if error is None:
+                    try:
+                        before = write(text, position, before)
+                        made.append(before + "\n")
+                    except Exception as problem:  # noqa: BLE001  as above
+                        error = f"{type(problem).__name__}: {problem}"
+            yield answers(done, batch.schema.field(key).type)
+            last = batch.schema.field(key).type
+        if open_:
+            yield answers([(current, None if error else "".join(made), error)], last)
+
+    def answers(done: list[tuple], type_: pa.DataType) -> pa.RecordBatch:
+        names, outputs, errors = zip(*done, strict=True) if done else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(names, type_), pa.array(outputs, pa.string()), pa.array(errors, pa.string())], [key, "output", "error"])
+
+    ordered = chunks.select(key, "chunk", "position", content).repartition(key).sortWithinPartitions(key, "chunk")
+    return ordered.mapInArrow(fold, f"{key} {kind}, output string, error string")
