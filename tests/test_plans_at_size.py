@@ -8,7 +8,7 @@ import io
 from pyspark.sql import functions as F
 
 from procweave.analysis import generate_in_chunks
-from procweave.operators import extract, structure
+from procweave.operators import edge_cases, extract, structure
 
 TEXT = "CREATE PROCEDURE p @a INT\nAS\nBEGIN\n  IF @a = 1\n  BEGIN\n    SET @a = 2;\n  END\nEND"
 
@@ -61,3 +61,25 @@ def test_chunks_pass_as_a_stream(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = {k: (f"{k}-0/\n{k}-0/{k}-1/\n{k}-0/{k}-1/{k}-2/\n", None) for k in (None, *range(40))}
     assert got == want | {7: (None, "ValueError: no")}
+
+
+def test_calls_by_variable_send_no_table_through_the_driver(spark):
+    calls = plan_of(edge_cases.variable_calls(texts(spark), "k")).split("== Physical Plan ==")[1]
+    assert "BroadcastExchange" not in calls and "SortMergeJoin" in calls
+
+
+def test_tokens_of_a_statement_text_are_no_rows(spark):
+    """A text's tokens stay in its row: no window, no sort and no group of them."""
+    plan = plan_of(structure.statements(texts(spark), "k")).split("== Physical Plan ==")[1]
+    assert "Window" not in plan and "Aggregate" not in plan and "Sort" not in plan
+
+
+def test_long_statements_keep_their_depths(spark):
+    """Several stretches of the fold, within one statement and over a text's statements."""
+    items = ", ".join(f"({i}, CASE WHEN (@a) = {i} THEN 1 END)" for i in range(200))
+    text = f"CREATE PROCEDURE p @a INT AS BEGIN INSERT INTO t VALUES {items}; " + "SET @a = (1); " * 700 + "EXEC @a END"
+    got = structure.statements(spark.createDataFrame([(1, text)], "k int, raw_sql string"), "k").orderBy("at").collect()
+    assert [r["word"] for r in got] == ["BEGIN", "INSERT", *["SET"] * 700, "EXEC", "END"]
+    toks = got[1]["toks"]
+    assert [t["at"] for t in toks] == list(range(toks[0]["at"], toks[0]["at"] + len(toks)))
+    assert {(t["paren"], t["cases"]) for t in toks if t["word"] in ("THEN", "END")} == {(1, 1), (1, 0)} and toks[-1]["paren"] == 0
