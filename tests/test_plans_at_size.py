@@ -8,7 +8,7 @@ import io
 from pyspark.sql import functions as F
 
 from procweave.analysis import generate_in_chunks
-from procweave.operators import edge_cases, extract, structure
+from procweave.operators import edge_cases, extract, graph, structure
 
 TEXT = "CREATE PROCEDURE p @a INT\nAS\nBEGIN\n  IF @a = 1\n  BEGIN\n    SET @a = 2;\n  END\nEND"
 
@@ -83,3 +83,13 @@ def test_long_statements_keep_their_depths(spark):
     toks = got[1]["toks"]
     assert [t["at"] for t in toks] == list(range(toks[0]["at"], toks[0]["at"] + len(toks)))
     assert {(t["paren"], t["cases"]) for t in toks if t["word"] in ("THEN", "END")} == {(1, 1), (1, 0)} and toks[-1]["paren"] == 0
+
+
+def test_rounds_of_callers_send_no_table_through_the_driver(spark, monkeypatch):
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c")], "src string, dst string")
+    got = graph.callers(edges, spark.createDataFrame([("a",)], "name string")).collect()
+    assert sorted((r["caller"], r["distance"]) for r in got) == [("b", 1), ("c", 2), ("d", 3)]
+    joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
+    assert joins and all("strategy=merge" in line for line in joins)
