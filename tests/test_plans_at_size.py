@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import io
+import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from procweave.analysis import generate_in_chunks
@@ -93,3 +96,46 @@ def test_rounds_of_callers_send_no_table_through_the_driver(spark, monkeypatch):
     assert sorted((r["caller"], r["distance"]) for r in got) == [("b", 1), ("c", 2), ("d", 3)]
     joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
     assert joins and all("strategy=merge" in line for line in joins)
+
+
+def test_events_are_found_over_whole_batches(spark):
+    """Not by a fold whose steps are interpreted token by token."""
+    plan = plan_of(structure.statements(texts(spark), "k"))
+    assert "aggregate(" not in plan and "ArrowEvalPython" in plan
+
+
+def own_by_walk(words):
+    """The events of a text's words by a plain walk: (at, [(paren, cases) of its tokens])."""
+    word = lambda i: words[i] if 0 <= i < len(words) else ";"
+    paren, cases, last, out = 0, 0, "", []
+    inside = not {"PROC", "PROCEDURE", "FUNCTION", "TRIGGER"} & set(words[:8])
+    for i, w in enumerate(words):
+        starts = {"WITH": word(i + 1) != "(" and word(i + 2) in ("AS", "("), "UPDATE": word(i + 1) != "(", "FETCH": word(i - 1) not in ("ROW", "ROWS")}.get(w, True) and word(i - 1) not in (*structure.WITHIN, "THEN")
+        marks = starts if w in structure.TSQL_STARTS else word(i - 1) not in structure.OBJECTS if w == "IF" else w in (";", "END", "VALUES", "ELSE", "WHILE", "BEGIN")
+        mark = marks and inside and paren == 0 and cases == 0
+        goes_on = (w in ("SELECT", "EXEC", "EXECUTE") and last == "INSERT") or (w == "SET" and last in ("UPDATE", "MERGE")) or (w in ("SELECT", "INSERT", "UPDATE", "DELETE", "MERGE") and last == "WITH")
+        inside = inside or (w == "AS" and not word(i - 1).startswith("@") and word(i - 1) not in ("EXEC", "EXECUTE") and paren == 0)
+        cases = max(cases + (w == "CASE") - (w == "END" and word(i + 1) != "CONVERSATION"), 0)
+        if mark:
+            last = w
+            if w not in (";", "VALUES") and not goes_on:
+                out.append((i, []))
+        if out:
+            out[-1][1].append((paren - (w == ")"), cases))
+        paren += (w == "(") - (w == ")")
+    return out
+
+
+def test_events_equal_a_plain_walk(monkeypatch):
+    """Random words, empty and null texts, in one run and in runs of few tokens."""
+    rng = random.Random(7)
+    some = "SELECT SET @a = ( ) , ; CASE END ELSE IF WHILE BEGIN AS WITH x UPDATE INSERT VALUES EXEC FETCH ROWS DELETE MERGE DROP TABLE THEN CONVERSATION PROC RETURN".split()
+    all_ = [None, [], *([rng.choice(some) for _ in range(rng.randint(0, 60))] for _ in range(400)), None]
+    toks = pa.array([None if t is None else [{"line": 1, "raw": w.lower(), "word": w} for w in t] for t in all_], pa.list_(pa.struct([("line", pa.int32()), ("raw", pa.string()), ("word", pa.string())])))
+    want = [own_by_walk(t or []) for t in all_]
+    for run in (structure.RUN, 100):
+        monkeypatch.setattr(structure, "RUN", run)
+        sizes = np.array([len(t or []) for t in all_])
+        made = [e for a, b in structure.runs_of(sizes) for e in structure.own_tokens(toks.slice(a, b - a), sizes[a:b]).to_pylist()]
+        assert [[(e[0]["at"], [(t["paren"], t["cases"]) for t in e]) for e in events] for events in made] == want
+        assert all(t["word"] == all_[n][t["at"]] and t["raw"] == t["word"].lower() for n, events in enumerate(made) for e in events for t in e)

@@ -307,3 +307,26 @@ create table Plain (a int primary key, b nvarchar(20) not null)"""
     assert primary == [("Order Lines", 0, "Id"), ("Order Lines", 1, "Unit Price"), ("Plain", 0, "a")]
     foreign = sorted((r["column_name"], r["referenced_table"], r["referenced_column"]) for r in catalog.foreign_keys(made, keys).collect())
     assert foreign == [("OrderId", "Big Orders", "Id"), ("Part", "Big Orders", "Part")]
+
+
+def test_straight_code_takes_the_last_assignment(spark, monkeypatch):
+    """Procedures without branches, with blocks, RETURN before or after uses and stray ENDs: as the folds find it, and without them."""
+    rng = random.Random(11)
+    some = ["SET @a = 'x'", "SET @b = 'y'", "EXEC @a", "EXEC @b", "PRINT 'z'", "BEGIN", "END"]
+    made = ["CREATE PROCEDURE p AS BEGIN " + "; ".join(rng.choice(some) for _ in range(rng.randint(1, 14))) + rng.choice(["; RETURN", "; RETURN; EXEC @a", ""]) + " END" for _ in range(120)]
+    rows = spark.createDataFrame(list(enumerate(made)), "k int, raw_sql string")
+    found = ec.statement_table(rows, "k")
+    assigned = ec.assignments(rows, "k", found=found).select("k", "variable", "at")
+    used = ec.executions(found, "k").filter("variable is not null").select("k", "variable", "at")
+    told = lambda: sorted(structure.reaching(found, assigned, used, "k").collect())
+    # Uses that are no statements' are found by neither.
+    odd = used.unionByName(used.withColumn("at", F.lit(-7)))
+    short = told()
+    assert short and sorted(structure.reaching(found, assigned, odd, "k").collect()) == short
+    monkeypatch.setattr(structure, "straight", lambda events, uses: F.lit(False))
+    assert told() == short
+    # Without a RETURN no text needs the folds.
+    monkeypatch.undo()
+    plain = found.filter("word <> 'RETURN'")
+    monkeypatch.setattr(structure, "nest", lambda events: F.raise_error(F.lit("folded")).cast(structure.STREAM))
+    assert structure.reaching(plain, assigned, used, "k").count() >= len(short)
