@@ -131,11 +131,24 @@ def test_events_equal_a_plain_walk(monkeypatch):
     rng = random.Random(7)
     some = "SELECT SET @a = ( ) , ; CASE END ELSE IF WHILE BEGIN AS WITH x UPDATE INSERT VALUES EXEC FETCH ROWS DELETE MERGE DROP TABLE THEN CONVERSATION PROC RETURN".split()
     all_ = [None, [], *([rng.choice(some) for _ in range(rng.randint(0, 60))] for _ in range(400)), None]
-    toks = pa.array([None if t is None else [{"line": 1, "raw": w.lower(), "word": w} for w in t] for t in all_], pa.list_(pa.struct([("line", pa.int32()), ("raw", pa.string()), ("word", pa.string())])))
+    toks = pa.array([{"line": 1, "raw": w.lower(), "word": w} for t in all_ for w in t or []], pa.struct([("line", pa.int32()), ("raw", pa.string()), ("word", pa.string())]))
     want = [own_by_walk(t or []) for t in all_]
     for run in (structure.RUN, 100):
         monkeypatch.setattr(structure, "RUN", run)
         sizes = np.array([len(t or []) for t in all_])
-        made = [e for a, b in structure.runs_of(sizes) for e in structure.own_tokens(toks.slice(a, b - a), sizes[a:b]).to_pylist()]
+        at = lambda n: int(sizes[:n].sum())
+        made = [e for a, b in structure.runs_of(sizes) for e in structure.own_tokens(toks.slice(at(a), at(b) - at(a)), sizes[a:b]).to_pylist()]
         assert [[(e[0]["at"], [(t["paren"], t["cases"]) for t in e]) for e in events] for events in made] == want
         assert all(t["word"] == all_[n][t["at"]] and t["raw"] == t["word"].lower() for n, events in enumerate(made) for e in events for t in e)
+
+
+def test_tokens_of_batches_equal_those_of_texts(spark):
+    """Literals over lines, doubled and open quotes, empty and null texts: as the tokens that become rows, and no lambda for each token."""
+    rng = random.Random(13)
+    some = ["SELECT", "N'a''b'", "'x\n\ny'", "'", "xN'1'", "'5'", "\n", "\t", " ", "[n 'q']", '"d"', "--c '\n", "/* ' */", "@a", "é", "ß", "BEGIN", "IN", "N", "-", "''", "."]
+    made = [None, "", *["BEGIN " + "".join(rng.choice(some) for _ in range(rng.randint(1, 40))) for _ in range(500)]]
+    rows = spark.createDataFrame(list(enumerate(made)), "k int, raw_sql string")
+    want = sorted((r["k"], r["line"], r["at"], r["raw"], r["word"]) for r in structure.tokens(rows, "k").collect())
+    got = structure.statements(rows, "k").select("k", F.inline("toks")).collect()
+    assert sorted((r["k"], r["line"], r["at"], r["raw"], r["word"]) for r in got) == want and len(want) > 3000
+    assert "upper(" not in plan_of(structure.statements(texts(spark), "k"))
