@@ -142,6 +142,38 @@ def test_events_equal_a_plain_walk(monkeypatch):
         assert all(t["word"] == all_[n][t["at"]] and t["raw"] == t["word"].lower() for n, events in enumerate(made) for e in events for t in e)
 
 
+def test_texts_without_four_part_names_are_not_taken_apart(spark):
+    """Dots, comments and quoted names in all layouts: as found in the code's lines, and by the first look at the text."""
+    rng = random.Random(3)
+    some = ["FROM", "EXEC", "srv", "db", "[a.b]", '"c d"', ".", ".", ".", ".", " ", "\n", "\r\n", "/* . */", "-- . .\n", "--x\r", "'. '", "N'a'", "[", '"', "=", ",", "/", "*", "-", "]"]
+    made = ["".join(rng.choice(some) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    for gap in ("", " ", "/* [ */", " /* ' */ "):
+        names = [("s", "d", "o", "t"), ("[s.x]", "d", "", "t"), ('"s s"', "", "", "[t]"), ("sN", "Nd", "N", "Nt")]
+        made += ["SELECT 1 -- '\n FROM " + f"{gap}.{gap}".join(n) + " x" for n in names]
+    rows = spark.createDataFrame(list(enumerate(made)), "k int, raw_sql string")
+    lines = edge_cases.code_lines(rows, "k", "raw_sql").filter(F.rlike("content", F.lit(edge_cases.LINKED)))
+    want = {r["k"] for r in lines.select("k").collect()}
+    assert len(want) >= 16 and {r["k"] for r in edge_cases.linked_servers(rows, "k").select("k").collect()} == want
+    assert edge_cases.linked_servers(texts(spark), "k").count() == 0
+    assert "RLIKE(raw_sql" in plan_of(edge_cases.linked_servers(texts(spark), "k"))
+
+
+def test_queries_run_only_what_their_rows_need(spark, small_dir, monkeypatch):
+    """No statements for remote servers or tables alone, and no more texts than a report is of."""
+    from procweave.plans import edge_cases as plans
+    from procweave.plans import graph as graphs
+
+    asked = []
+    monkeypatch.setattr(edge_cases, "kept", lambda df, label: asked.append(df.select("k").distinct().count()) or df)
+    graphs.linked_report(spark, small_dir), graphs.ref_tables(spark, small_dir), graphs.unique_nodes(spark, small_dir)
+    assert asked == []
+    plans.by_procedure(spark, small_dir)
+    assert asked == [2]
+    monkeypatch.setattr(edge_cases, "linked_servers", lambda *a, **b: 1 / 0)
+    graphs.unresolved_report(spark, small_dir), graphs.procedure_nodes(spark, small_dir)
+    assert len(asked) == 3
+
+
 def test_tokens_of_batches_equal_those_of_texts(spark):
     """Literals over lines, doubled and open quotes, empty and null texts: as the tokens that become rows, and no lambda for each token."""
     rng = random.Random(13)
