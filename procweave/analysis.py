@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from procweave.operators import edge_cases, extract, graph, plsql
 from procweave.sources.config import AnalysisConfig
 from procweave.sources.corpus import last_definitions, read_sources
+from procweave.sources.sinks import kept
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """Tables of one analysis; each is planned when it is asked for an action and not before."""
+    """Tables of one analysis; each is planned when it is asked for an action and not before, but for the statements and the calls by variable,
+    which several of them take and which are written once."""
 
     procedures: DataFrame
     calls: DataFrame
@@ -53,6 +55,8 @@ def analyze_procedures(procedures: DataFrame, config: AnalysisConfig | None = No
         linked = edge_cases.linked_servers(rows, key, mode=config.mode)
         dynamic, variable = edge_cases.dynamic_sql(rows, key, found=found), edge_cases.variable_calls(rows, key, found=found)
         temps = extract.temp_tables(rows, key, mode=config.mode)
+    # Edges and nodes both take them.
+    variable = kept(variable, "variable-calls")
     edges = graph.typed_edges(calls, linked, dynamic, variable, tables, temps, key)
     by_call = edges.filter("rel = 'CALLS'").select("src", "dst")
     nodes = graph.nodes(by_call, rows.select(F.col(key).alias("name")))

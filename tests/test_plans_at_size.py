@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from procweave.analysis import generate_in_chunks
+from procweave.analysis import analyze_procedures, generate_in_chunks
 from procweave.operators import edge_cases, extract, graph, structure
 
 TEXT = "CREATE PROCEDURE p @a INT\nAS\nBEGIN\n  IF @a = 1\n  BEGIN\n    SET @a = 2;\n  END\nEND"
@@ -184,3 +184,11 @@ def test_tokens_of_batches_equal_those_of_texts(spark):
     got = structure.statements(rows, "k").select("k", F.inline("toks")).collect()
     assert sorted((r["k"], r["line"], r["at"], r["raw"], r["word"]) for r in got) == want and len(want) > 3000
     assert "upper(" not in plan_of(structure.statements(texts(spark), "k"))
+
+
+def test_an_analysis_traces_its_calls_once(spark):
+    """Edges and nodes read the calls by variable that are written, and do not find them again."""
+    result = analyze_procedures(texts(spark).select(F.concat(F.lit("p"), "k").alias("procedure_name"), "raw_sql"))
+    for df in (result.edges, result.nodes):
+        assert "SortMergeJoin" not in plan_of(df)
+    assert {r["name"] for r in result.nodes.collect()} == {"p1", "p2"}
