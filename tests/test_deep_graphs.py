@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from procweave.operators import graph
 
@@ -52,3 +53,31 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert got["c00000"] == n and got[f"c{n:05d}"] == 0 and got["top"] == n + 1 and got["other"] == 0
     assert got["ring"] is None and got["ring2"] is None
     assert len(cuts) < 2 * math.log2(n) + 15
+
+
+def test_a_plan_sends_no_names_through_the_driver(spark, monkeypatch):
+    """No join is broadcast unless its rows are counted and few, and rings take no more rounds than chains."""
+    seen, rounds = [], []
+    own, own_kept = graph.cut, getattr(graph, "kept", None)
+    monkeypatch.setattr(graph, "cut", lambda df: seen.append(df) or own(df))
+    monkeypatch.setattr(graph, "kept", lambda df, label: seen.append(df) or rounds.append(1) or own_kept(df, label), raising=False)
+    monkeypatch.setattr(graph, "FEW_NAMES", -1, raising=False)
+    tree = [(f"p{k}", f"p{k // 2}") for k in range(1, 30)]
+    edges = tree + [(f"ring{s}_{i}", f"ring{s}_{(i + 1) % 3}") for s in range(100) for i in range(3)] + [("p30", "ring0_1"), ("p31", "p30"), ("p32", "p32"), ("p33", "p32"), ("p33", "p1")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    rows = graph.plan(df, df.select(F.col("src").alias("name")))
+    got = {r["name"]: (r["level"], r["external"], r["cyclic"]) for r in rows.collect()}
+    want = by_hand(edges)
+    assert got == {n: (want[n], n == "p0", n.startswith("ring") or n == "p32") for n in want}
+    plans = [d._jdf.queryExecution() for d in [*seen, rows]]
+    assert not [p for p in plans if "BroadcastExchange" in p.executedPlan().toString()]
+    # Two tables a round over chains of four calls.
+    assert 0 < len(rounds) <= 8
+
+
+def test_rounds_over_a_long_chain_keep_estimates_small(spark):
+    """Joins multiply the estimates of their sides; carried on from round to round, these would have as many digits as the chain has names."""
+    n = 300
+    found = graph.chains(spark.createDataFrame([(f"c{i:03d}", f"c{i + 1:03d}") for i in range(n)], "src string, dst string"))
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 300
+    assert {r["name"]: r["distance"] for r in found.collect()} == {f"c{i:03d}": n - i for i in range(n)}
